@@ -1,11 +1,12 @@
 """Registry of the training-data queries."""
 
-from tidemark.llm import license_scan, ring_shard, simhash, url_filter
+from tidemark.llm import license_scan, packing, ring_shard, simhash, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op5_url_filter": url_filter.op5_url_filter,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ring_shard": ring_shard.op9_ring_shard,
+    "op10_best_fit": packing.op10_best_fit,
 }
 ORACLES = {"op5_url_filter": url_filter.ORACLE, "op8_license_scan": license_scan.ORACLE}
