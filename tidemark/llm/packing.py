@@ -93,9 +93,10 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT, sh
     sizes = np.array(sorted(classes), dtype=np.int64)
     rest = np.array([sum(left[n] for n in classes[s]) for s in sizes.tolist()], dtype=np.int64)
     weights, bound = np.ones(len(sizes)), capacity // unit
+    worth = sizes * (1 + sizes / (2 * bound * bound))  # of two configurations that fill a sequence, the one of longer pieces
     while True:
         open_ = np.flatnonzero(rest > 0)
-        found = price(sizes[open_], weights[open_] * sizes[open_], rest[open_], bound) if len(open_) else {}
+        found = price(sizes[open_], weights[open_] * worth[open_], rest[open_], bound) if len(open_) else {}
         found = {int(open_[i]): t for i, t in found.items()}
         if not found:
             break
