@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import os
 import sys
 import types
 from collections.abc import Callable
@@ -27,16 +28,20 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
 
 
 class WordTokens:
-    """Ids of a lower-case word vocabulary, encoded word by word and remembered.
+    """Ids of a lower-case word vocabulary; what stands between white space is encoded once and remembered.
 
-    Its tokenizer merges within words only, so a text's ids are its words' ids in a row. Texts that hold other
-    characters than PLAIN, or the start of a special token, are encoded as a whole.
+    Its tokenizer merges within words only and drops white space, so a text's ids are those of its parts in a row. Texts
+    that hold other characters than PLAIN, or the start of a special token, are encoded as a whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.bare = Tokenizer.from_file(path)  # for pieces that are normalised and cut already
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def ids(self, text: str) -> bytes:
         """uint32 ids of a text."""
@@ -48,20 +53,24 @@ class WordTokens:
             if end - start > STEP:  # long texts go in parts, cut after white space
                 space = SPACE.search(text, start + STEP)
                 end = space.end() if space else end
-            out.append(self._words(PIECES.findall(text[start:end].lower())))
+            out.append(self._parts(text[start:end].lower().split()))
             start = end
         return b"".join(out)
 
-    def _words(self, words: list[str]) -> bytes:
+    def _parts(self, parts: list[str]) -> bytes:
         memo = self.memo
-        if new := set(words).difference(memo):
+        if new := set(parts).difference(memo):
             if len(memo) + len(new) > MEMO:
                 memo.clear()
-                new = set(words)
+                new = set(parts)
             new = list(new)
-            for word, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[word] = np.array(code.ids, dtype="<u4").tobytes()
-        return b"".join(map(memo.__getitem__, words))
+            pieces = [PIECES.findall(p) for p in new]
+            code = self.bare.encode([x for p in pieces for x in p], is_pretokenized=True, add_special_tokens=False)
+            ends = np.cumsum([0, *map(len, pieces)])
+            cuts = (4 * np.searchsorted(np.array(code.word_ids, dtype=np.int64), ends)).tolist()
+            ids = np.array(code.ids, dtype="<u4").tobytes()
+            memo.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+        return b"".join(map(memo.__getitem__, parts))
 
 
 class ByteTokens:
