@@ -1,10 +1,11 @@
 """Registry of the training-data queries."""
 
-from tidemark.llm import decontaminate, license_scan, packing, ring_shard, simhash, url_filter
+from tidemark.llm import decontaminate, license_scan, packing, ring_shard, simhash, toxicity, url_filter
 
 QUERIES = {
     "op2_simhash": simhash.op2_simhash,
     "op5_url_filter": url_filter.op5_url_filter,
+    "op6_text_cnn": toxicity.op6_text_cnn,
     "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_ring_shard": ring_shard.op9_ring_shard,
