@@ -1,8 +1,9 @@
 """Registry of the training-data queries."""
 
-from tidemark.llm import decontaminate, license_scan, packing, ring_shard, simhash, toxicity, url_filter
+from tidemark.llm import decontaminate, license_scan, packing, ring_shard, simhash, token_counts, toxicity, url_filter
 
 QUERIES = {
+    "op1_separator_scan": token_counts.op1_separator_scan,
     "op2_simhash": simhash.op2_simhash,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_text_cnn": toxicity.op6_text_cnn,
