@@ -84,13 +84,13 @@ def scan_licenses(docs: DataFrame, text_col: str = "text", known: dict[str, str]
     kept = [c for c in docs.columns if c not in ("sentence_ids", "licenses", "n_unmatched")]
     out = docs.select(*kept, ids.alias("sentence_ids"))
     left = F.concat(F.lit(""), F.array_join(F.transform("sentence_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), ""))
-    out = out.withColumn("_left", left).withColumn("_found", F.array().cast("array<string>"))
+    out = out.withColumn("_tm_left", left).withColumn("_tm_found", F.array().cast("array<string>"))
     for name, sequence in rules:
         pattern = F.lit("".join(f"<{i}>" for i in sequence))
-        hit = F.contains(F.col("_left"), pattern)
-        out = out.withColumns({"_found": F.when(hit, F.array_append("_found", F.lit(name))).otherwise(F.col("_found")), "_left": F.when(hit, F.replace(F.col("_left"), pattern, F.lit("|"))).otherwise(F.col("_left"))})
-    unmatched = F.length("_left") - F.length(F.translate("_left", "<", ""))
-    return out.select(*kept, "sentence_ids", F.array_sort(F.array_distinct("_found")).alias("licenses"), unmatched.cast("long").alias("n_unmatched"))
+        hit = F.contains(F.col("_tm_left"), pattern)
+        out = out.withColumns({"_tm_found": F.when(hit, F.array_append("_tm_found", F.lit(name))).otherwise(F.col("_tm_found")), "_tm_left": F.when(hit, F.replace(F.col("_tm_left"), pattern, F.lit("|"))).otherwise(F.col("_tm_left"))})
+    unmatched = F.length("_tm_left") - F.length(F.translate("_tm_left", "<", ""))
+    return out.select(*kept, "sentence_ids", F.array_sort(F.array_distinct("_tm_found")).alias("licenses"), unmatched.cast("long").alias("n_unmatched"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

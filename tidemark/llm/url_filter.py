@@ -76,12 +76,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
         F.concat("r_host", "r_path").alias("rule"),
         F.col("r_action").alias("action"),
     )
-    best = expanded.join(table, "prefix").filter(F.col("e_digest") == F.col("r_digest")).groupBy("u_url").agg(F.max(rank).alias("best"))
+    best = expanded.join(table, "prefix").filter(F.col("e_digest") == F.col("r_digest")).groupBy(F.col("u_url").alias("_tm_url")).agg(F.max(rank).alias("_tm_best"))
     host, path = url_parts(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     return (
-        pages.select(*kept).join(best, F.col(url_col) == F.col("u_url"), "left")
-        .select(*kept, host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce(F.col("best.action"), F.lit(default)).alias("verdict"))
+        pages.select(*kept).join(best, F.col(url_col) == F.col("_tm_url"), "left")
+        .select(*kept, host.alias("host"), path.alias("path"), F.col("_tm_best.rule").alias("rule"), F.coalesce(F.col("_tm_best.action"), F.lit(default)).alias("verdict"))
     )
 
 
