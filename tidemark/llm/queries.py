@@ -1,11 +1,12 @@
 """Registry of the training-data queries."""
 
-from tidemark.llm import decontaminate, license_scan, packing, ring_shard, simhash, substring_dedup, token_counts, toxicity, url_filter
+from tidemark.llm import decontaminate, license_scan, media, packing, ring_shard, simhash, substring_dedup, token_counts, toxicity, url_filter
 
 QUERIES = {
     "op1_separator_scan": token_counts.op1_separator_scan,
     "op2_simhash": simhash.op2_simhash,
     "op3_repeated_phrases": substring_dedup.op3_repeated_phrases,
+    "op4_progressive_jpeg": media.op4_progressive_jpeg,
     "op5_url_filter": url_filter.op5_url_filter,
     "op6_text_cnn": toxicity.op6_text_cnn,
     "op7_spaced_seeds": decontaminate.op7_spaced_seeds,
