@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import drop, materialise
 from tidemark.llm.graph import connected_components
 
 SEED = 42
@@ -171,6 +171,61 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int) -> bytes:
+    """The distinct shingles of a text as sorted 32-bit hashes."""
+    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64).astype(np.uint32)).tobytes()
+
+
+def overlap(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets."""
+    x, y = np.frombuffer(a, dtype=np.uint32), np.frombuffer(b, dtype=np.uint32)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10, similarity: float = 0.8, rounds: int = 6) -> DataFrame:
+    """(id): the ids of df that go if one document of each group of near copies is to stay.
+
+    Groups are the components of near_duplicates(). In each round the smallest id of a group stays, those whose shingles
+    have a Jaccard similarity of `similarity` or more with it go, and the others form the group of the next round; what
+    the last round leaves stays. So an id only goes where one that stays is that similar. Rows with null ids and texts
+    without words are left out; rows that share an id count as one text, the greatest. Every step is an equi-join on the
+    component or a minimum, so groups of any size are split between tasks.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
+    groups = materialise(near_duplicates(rows, "id", "text", shingle, radius).filter("fingerprint <> repeat('0', 16)").select("id", F.col("component_id").alias("component")), "groups")
+    linked = groups.filter("id <> component").select("component").distinct()
+    members = groups.distinct().join(linked, "component", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), shingle) for t in part.column(2)], pa.binary())], names=["id", "component", "shingles"])
+
+    sets = rows.join(members, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, shingles binary")
+    left = materialise(sets.groupBy("id", "component").agg(F.max("shingles").alias("shingles")), "sets")
+    drop(groups)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [overlap(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_())], names=["id", "component", "shingles", "copy"])
+
+    gone = spark.createDataFrame([], "id long")
+    for _ in range(rounds):
+        heads = left.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("head"))
+        models = left.select(F.col("component").alias("c"), F.col("id").alias("head"), F.col("shingles").alias("model")).join(heads, ["c", "head"])
+        met = left.join(models, F.col("component") == F.col("c")).filter("id <> head").select("id", "component", "shingles", "model")
+        judged = materialise(met.mapInArrow(compare, "id long, component long, shingles binary, copy boolean"), "judged")
+        gone = gone.unionAll(judged.filter("copy").select("id"))
+        left = judged.filter("NOT copy").select("id", "component", "shingles")
+        if left.isEmpty():
+            break
+    return gone
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs, shingle=4, radius=4)
