@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,8 +46,10 @@ def drop(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove shuffle files of finished steps, which else stay until the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the cleaner works in the background: the second round finds what the first one freed
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
