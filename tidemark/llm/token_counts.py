@@ -110,7 +110,7 @@ def scan_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, keys
     """
     kept = max(keys, 1)
     name = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    blocks = spark.sparkContext.newAPIHadoopFile(path, name, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{name}.recordLength": str(2 * block)})
+    blocks = spark.sparkContext.newAPIHadoopFile(path, name, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{name}.recordLength": str(2 * block)}, batchSize=1)
     schema = "summary boolean, split long, rank long, start long, stop long, head array<int>, tail array<int>"
     rows = spark.createDataFrame(blocks.mapPartitions(lambda it: scan_split(it, separator, kept, block)), schema, verifySchema=False)
     rows = materialise(rows.withColumn("file", F.input_file_name()), "scan")
