@@ -41,7 +41,7 @@ def walk_radius_km(minutes: float) -> float:
 
 
 def walk_minutes(km: Column) -> Column:
-    return F.round(km * WALK_DETOUR / WALK_KM_PER_HOUR * 60).cast("long")
+    return F.greatest(F.lit(1), F.round(km * WALK_DETOUR / WALK_KM_PER_HOUR * 60)).cast("long")
 
 
 def grid_cell(lat: Column, lng: Column) -> tuple[Column, Column]:

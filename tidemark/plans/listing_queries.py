@@ -129,7 +129,7 @@ filters("near_walk", lambda: geo.near(LAT, LNG, geo.walk_radius_km(90)), f"{HAVE
 VENUES = "SELECT DISTINCT venue_id, lat, lng FROM listing"
 venues = lambda df: df.select("venue_id", "lat", "lng").distinct()
 add("haversine", f"SELECT venue_id, round({HAVERSINE}, 3) AS km FROM ({VENUES})")(lambda df: venues(df).select("venue_id", F.round(away(), 3).alias("km")))
-add("walk_minutes", f"SELECT venue_id, CAST(round(round({HAVERSINE}, 3) * 1.3 / 5 * 60) AS BIGINT) AS minutes FROM ({VENUES})")(lambda df: venues(df).select("venue_id", geo.walk_minutes(F.round(away(), 3)).alias("minutes")))
+add("walk_minutes", f"SELECT venue_id, CAST(greatest(1, round(round({HAVERSINE}, 3) * 1.3 / 5 * 60)) AS BIGINT) AS minutes FROM ({VENUES})")(lambda df: venues(df).select("venue_id", geo.walk_minutes(F.round(away(), 3)).alias("minutes")))
 CELL = "CAST(round(round({0} / {1}) * {1}, 4) AS DECIMAL(9, 4))::VARCHAR AS cell_{0}"
 add("grid_cell", f"SELECT venue_id, {CELL.format('lat', 0.002)}, {CELL.format('lng', 0.003)} FROM (SELECT venue_id, round(lat + 0.0003, 5) AS lat, round(lng + 0.0004, 5) AS lng FROM ({VENUES}))")(
     lambda df: venues(df).select("venue_id", *[c.cast("decimal(9,4)").cast("string").alias(f"cell_{n}") for n, c in zip(("lat", "lng"), geo.grid_cell(F.round(F.col("lat") + 0.0003, 5), F.round(F.col("lng") + 0.0004, 5)))])

@@ -1 +1 @@
-
+"""Structured Streaming forms of ingest, windows and limits."""
