@@ -17,6 +17,10 @@ WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
 #: English words without meaning for search.
 STOP = set("i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so than too very s t can will just don should now".split())
 
+#: Words that the published stemmer treats apart, and those it leaves after the plural.
+APART = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl", "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos", "bias": "bias", "andes": "andes"}
+LEFT = {"inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"}
+
 VOWEL = "aeiouy"
 STEP2 = [("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"), ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("izer", "ize"), ("ator", "ate"), ("alli", "al"), ("bli", "ble")]
 STEP3 = [("ational", "ate"), ("tional", "tion"), ("alize", "al"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")]
@@ -38,8 +42,8 @@ def short(word: str) -> bool:
 
 def stem(word: str) -> str:
     """English stem by the published Porter2 rules."""
-    if len(word) < 3:
-        return word
+    if len(word) < 3 or word in APART:
+        return APART.get(word, word)
     word = re.sub(f"(^|[{VOWEL}])y", r"\1Y", word.lstrip("'"))
     r1, r2 = regions(word)
     word = re.sub("'(s'?)?$", "", word)
@@ -49,6 +53,8 @@ def stem(word: str) -> str:
         word = word[:-2] if len(word) > 4 else word[:-1]
     elif word.endswith("s") and not word.endswith(("us", "ss")) and re.search(f"[{VOWEL}].+s$", word):
         word = word[:-1]
+    if word in LEFT:
+        return word
     if word.endswith(("eedly", "eed")):
         cut = 5 if word.endswith("eedly") else 3
         if len(word) - cut >= r1:
