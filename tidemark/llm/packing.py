@@ -86,10 +86,10 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT, sh
         plan.append(([capacity], left.pop(capacity)))
     if not left:
         return plan
-    # lengths in classes of `unit` tokens for the program; pieces keep their own lengths
+    # lengths in classes, to the nearest `unit` tokens, for the program; pieces keep their own lengths
     classes: dict[int, list[int]] = {}
     for n in sorted(left, reverse=True):
-        classes.setdefault(-(-n // unit), []).append(n)
+        classes.setdefault(max(1, (n + unit // 2) // unit), []).append(n)
     sizes = np.array(sorted(classes), dtype=np.int64)
     rest = np.array([sum(left[n] for n in classes[s]) for s in sizes.tolist()], dtype=np.int64)
     weights, bound = np.ones(len(sizes)), capacity // unit
@@ -108,25 +108,41 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT, sh
                 break
             weights[:] = 1
             continue
+        wanted = copies
+        while wanted:  # lengths of the classes that fill a sequence best, in runs of equal sequences
+            lengths = choose([int(sizes[i]) for i, t in found.items() for _ in range(t)], classes, left, capacity)
+            if not lengths:
+                break
+            run = min([wanted] + [left[n] // lengths.count(n) for n in set(lengths)])
+            for n in lengths:
+                left[n] -= run
+            plan.append((lengths, run))
+            wanted -= run
         for i, t in found.items():
             weights[i] *= 1 - fall * min(1.0, copies * t / rest[i])
-            rest[i] -= copies * t
-        while copies:  # the class's own lengths, longest first, in runs of equal sequences
-            lengths, run, spent = [], copies, {}
-            for i, t in found.items():
-                own = classes[int(sizes[i])]
-                for _ in range(t):
-                    n = next(x for x in own if left.get(x, 0) - spent.get(x, 0) > 0)
-                    spent[n] = spent.get(n, 0) + 1
-                    lengths.append(n)
-            run = min([run] + [left[n] // t for n, t in spent.items()])
-            for n, t in spent.items():
-                left[n] -= run * t
-            plan.append((sorted(lengths, reverse=True), run))
-            copies -= run
+            rest[i] -= (copies - wanted) * t
+        if wanted:  # none of these lengths fit together: the class with the least left goes to the remainder
+            rest[min(found, key=lambda i: rest[i])] = 0
     return plan + best_fit({n: c for n, c in left.items() if c}, capacity)
 
 
+def choose(wanted: list[int], classes: dict[int, list[int]], left: dict[int, int], capacity: int) -> list[int]:
+    """Lengths, one of each wanted class, with the greatest sum that fits; none if no choice does."""
+    steps: list[dict[int, tuple[int, int]]] = [{0: (0, 0)}]
+    for n, size in enumerate(wanted):
+        again = wanted[:n].count(size)  # a length needs as many pieces as its class may take of it
+        open_ = [x for x in classes[size] if left.get(x, 0) > again] or [x for x in classes[size] if left.get(x, 0) > 0][:1]
+        steps.append({total + x: (total, x) for total in steps[-1] for x in open_ if total + x <= capacity})
+    out: list[int] = []
+    total = max(steps[-1], default=None)
+    if total is None:
+        return out
+    for step in reversed(steps[1:]):
+        total, x = step[total]
+        out.append(x)
+    return sorted(out, reverse=True) if all(out.count(x) <= left[x] for x in set(out)) else []
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
     """Best-fit decreasing on a histogram: sequences with equal contents are kept as one entry with their number."""
     groups: dict[int, list[tuple[tuple[int, ...], int]]] = {}
