@@ -63,13 +63,15 @@ class WordTokens:
             if len(memo) + len(new) > MEMO:
                 memo.clear()
                 new = set(parts)
-            new = list(new)
-            pieces = [PIECES.findall(p) for p in new]
-            code = self.bare.encode([x for p in pieces for x in p], is_pretokenized=True, add_special_tokens=False)
-            ends = np.cumsum([0, *map(len, pieces)])
-            cuts = (4 * np.searchsorted(np.array(code.word_ids, dtype=np.int64), ends)).tolist()
+            pieces = {part: PIECES.findall(part) for part in new}
+            fresh = list({x for p in pieces.values() for x in p}.difference(memo))
+            code = self.bare.encode(fresh, is_pretokenized=True, add_special_tokens=False)
+            cuts = (4 * np.searchsorted(np.array(code.word_ids, dtype=np.int64), np.arange(len(fresh) + 1))).tolist()
             ids = np.array(code.ids, dtype="<u4").tobytes()
-            memo.update(zip(new, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+            memo.update(zip(fresh, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+            for part, own in pieces.items():
+                if len(own) != 1:
+                    memo[part] = b"".join([memo[x] for x in own])
         return b"".join(map(memo.__getitem__, parts))
 
 
