@@ -159,8 +159,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, seed: int = 0) -> Model:
 
 
 def best_threshold(logits: np.ndarray, labels: np.ndarray, default: float) -> float:
-    """The middle of the gap between logits at which balanced accuracy is highest; the default without three of each label."""
-    if min((labels == 0).sum(), (labels == 1).sum()) < 3:
+    """The middle of the gap between logits at which balanced accuracy is highest; the default without ten of each label."""
+    if min((labels == 0).sum(), (labels == 1).sum()) < 10:
         return float(default)
     order = np.argsort(logits)
     z, y = logits[order], labels[order]
