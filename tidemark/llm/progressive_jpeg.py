@@ -60,7 +60,7 @@ AC_CODES, AC_TABLE = canonical(huffman_lengths(True))
 
 
 def as_arrays(codes: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    code, length = np.zeros(256, dtype=np.int64), np.zeros(256, dtype=np.int64)
+    code, length = np.zeros(256, dtype=np.int32), np.zeros(256, dtype=np.int32)
     for s, (c, n) in codes.items():
         code[s], length[s] = c, n
     return code, length
@@ -68,7 +68,7 @@ def as_arrays(codes: dict[int, tuple[int, int]]) -> tuple[np.ndarray, np.ndarray
 
 DC_CODE, DC_LENGTH = as_arrays(DC_CODES)
 AC_CODE, AC_LENGTH = as_arrays(AC_CODES)
-BIT_SIZE = np.array([int(n).bit_length() for n in range(1 << 12)])
+BIT_SIZE = np.array([int(n).bit_length() for n in range(1 << 12)], dtype=np.int32)
 
 
 # ---------------------------------------------------------------- encoder
@@ -77,19 +77,23 @@ BIT_SIZE = np.array([int(n).bit_length() for n in range(1 << 12)])
 def magnitude(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sizes, and the bits that follow a symbol of that size."""
     size = BIT_SIZE[np.abs(values)]
-    return size, np.where(values < 0, values + (1 << size) - 1, values)
+    return size, np.where(values < 0, values + (np.int32(1) << size) - np.int32(1), values)
 
 
 def pack_lanes(codes: np.ndarray, lengths: np.ndarray, lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all lanes in a row, each filled up with ones, and the number of bytes of each; entries are in order."""
-    bits = np.bincount(lane, weights=lengths, minlength=lanes).astype(np.int64)
+    after = np.cumsum(lengths, dtype=np.int64)
+    entries = np.bincount(lane, minlength=lanes)
+    total = np.concatenate(([0], after))[np.concatenate(([0], np.cumsum(entries)))]
+    bits = np.diff(total)
     sizes = -(-bits // 8)
     ends = np.cumsum(sizes)
-    start = np.cumsum(lengths) - lengths + (8 * (ends - sizes) - (np.cumsum(bits) - bits))[lane]
-    word, left = start >> 6, 64 - (start & 63) - lengths
-    over = left < 0
+    start = after - lengths + np.repeat(8 * (ends - sizes) - total[:-1], entries)
+    word, left = start >> 6, (64 - (start & 63)).astype(np.int32) - lengths
+    over = np.flatnonzero(left < 0)
     code = codes.astype(np.uint64)
-    high = np.where(over, code >> np.maximum(-left, 0).astype(np.uint64), code << np.maximum(left, 0).astype(np.uint64))
+    high = code << (left & 63).astype(np.uint64)
+    high[over] = code[over] >> (-left[over]).astype(np.uint64)
     out = np.zeros(int(ends[-1] if lanes else 0) // 8 + 2, dtype=np.uint64)
     if len(word):
         first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
@@ -131,13 +135,13 @@ def lanes_of(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def encode_first(values: np.ndarray, lane: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """First scan of a band; values: blocks x band, point-transformed."""
     block, k = np.nonzero(values)
-    value = values[block, k].astype(np.int64)
+    value = values[block, k]
     fresh = np.concatenate(([True], block[1:] != block[:-1])) if len(block) else np.zeros(0, bool)
     run = k - np.where(fresh, -1, np.concatenate(([-1], k[:-1]))) - 1
     size, bits = magnitude(value)
     long = run // 16
     each = long + 1
-    per_block = np.bincount(block, weights=each, minlength=len(values)).astype(np.int64)
+    per_block = np.bincount(block, minlength=len(values)) if not long.any() else np.bincount(block, weights=each, minlength=len(values)).astype(np.int64)
     last = np.full(len(values), -1)
     last[block] = k
     ends = last < values.shape[1] - 1
@@ -170,7 +174,7 @@ def encode_refine(values: np.ndarray, lane: np.ndarray, lanes: int) -> tuple[np.
     length = np.concatenate((np.full((len(used), 1), AC_LENGTH[0]), np.ones_like(size[plain])), axis=1)[used]
     if others:
         base, own = np.cumsum(total) - total, total[plain]
-        codes, lengths = np.zeros(int(total.sum()), dtype=np.int64), np.zeros(int(total.sum()), dtype=np.int64)
+        codes, lengths = np.zeros(int(total.sum()), dtype=np.int32), np.zeros(int(total.sum()), dtype=np.int32)
         at = np.repeat(base[plain] - (np.cumsum(own) - own), own) + np.arange(own.sum())
         codes[at], lengths[at] = code, length
         for b, entries in others.items():
@@ -206,7 +210,7 @@ def segment(marker: int, body: bytes) -> bytes:
 
 def encode(coefficients: np.ndarray, mcus: np.ndarray, comments: list[bytes]) -> list[bytes]:
     """Images 16 pixels wide of so many MCUs each; coefficients: MCUs x 6 blocks x 64 in zigzag order, within +-1023."""
-    values = coefficients.astype(np.int64)
+    values = coefficients.astype(np.int32)
     parts = [values[:, :4].reshape(-1, 64), values[:, 4], values[:, 5]]
     counts = [4 * mcus, mcus, mcus]
     lane_ids = [lanes_of(c) for c in counts]
@@ -220,7 +224,7 @@ def encode(coefficients: np.ndarray, mcus: np.ndarray, comments: list[bytes]) ->
     lane, per = lanes_of(mcus)
     order = values[:, :, 0] >> 1
     fresh = np.concatenate(([True], lane[1:] != lane[:-1])) if len(lane) else np.zeros(0, bool)
-    previous = np.where(fresh[:, None], 0, np.concatenate((np.zeros((1, 6), np.int64), order[:-1])))
+    previous = np.where(fresh[:, None], 0, np.concatenate((np.zeros((1, 6), np.int32), order[:-1])))
     diff = order.copy()
     diff[:, 1:4] -= order[:, :3]
     diff[:, 0] -= previous[:, 3]
@@ -234,7 +238,7 @@ def encode(coefficients: np.ndarray, mcus: np.ndarray, comments: list[bytes]) ->
             scan([c], low, high, 0, 1, *encode_first(shifted[c][:, low : high + 1], lane_ids[c][0], int(lane_ids[c][1].sum())), lane_ids[c][1])
     for c in range(3):
         scan([c], 1, 63, 1, 0, *encode_refine(parts[c][:, 1:], lane_ids[c][0], int(lane_ids[c][1].sum())), lane_ids[c][1])
-    ones = np.ones(6 * len(values), dtype=np.int64)
+    ones = np.ones(6 * len(values), dtype=np.int32)
     data, sizes = pack_lanes((values[:, :, 0] & 1).ravel(), ones, np.repeat(lane, 6), int(per.sum()))
     scan([0, 1, 2], 0, 0, 1, 0, data, sizes, per)
     tables = segment(0xDB, b"\0" + b"\1" * 64) + segment(0xC4, b"\0" + DC_TABLE + b"\x10" + AC_TABLE) + segment(0xDD, struct.pack(">H", INTERVAL))
