@@ -168,6 +168,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(names, "root").select(F.col("fp").alias("fp2"), "component")
     named = distinct.join(named, distinct["fp"] == named["fp2"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    named = materialise(named, "named")  # a scan, so that Spark can split the join where one fingerprint has many rows
     return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
