@@ -40,3 +40,23 @@ def valid(hours: Column) -> Column:
     days = F.flatten(F.transform(hours, lambda r: F.array_distinct(r["days"])))
     good = F.forall(hours, lambda r: (F.size(r["days"]) > 0) & (r["opens"] < r["closes"]) & F.forall(r["days"], lambda d: d.between(1, 7)))
     return F.coalesce((F.size(hours) > 0) & good & (F.size(days) == F.size(F.array_distinct(days))), F.lit(False))
+
+
+def from_schema_org(specs: Column) -> Column:
+    """Rules of strings like "Mo-Fr 10:00-17:00" or "Tu,We 11:00-18:00"; null if one can't be read or they don't go together."""
+    codes = F.array(*[F.lit(d[:2].lower()) for d in DAYS])
+    code = lambda c: F.array_position(codes, F.lower(F.trim(c))).cast("int")
+    spec = r"^\s*([A-Za-z,-]+) +([0-9]{2}:[0-9]{2}) *- *([0-9]{2}:[0-9]{2})\s*$"
+
+    def span(part: Column) -> Column:
+        ends = F.split(part, "-")
+        low, high = code(ends[0]), code(F.try_element_at(ends, F.lit(-1)))
+        return F.when((low > 0) & (high > 0), F.transform(F.sequence(F.lit(0), F.pmod(high - low, F.lit(7))), lambda k: (low - 1 + k) % 7 + 1))
+
+    def rule(s: Column) -> Column:
+        days = F.flatten(F.transform(F.split(F.regexp_extract(s, spec, 1), ","), span))
+        return F.struct(F.array_sort(F.array_distinct(days)).alias("days"), F.regexp_extract(s, spec, 2).alias("opens"), F.regexp_extract(s, spec, 3).alias("closes"))
+
+    rules = F.transform(specs, rule)
+    read = F.forall(specs, lambda s: s.rlike(spec))
+    return F.when(read & F.forall(rules, lambda r: r["days"].isNotNull()) & valid(rules), rules)

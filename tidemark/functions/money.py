@@ -58,3 +58,16 @@ def price_from_amounts(low: Column, high: Column, currency: Column) -> Column:
 def call_cost(input_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column) -> Column:
     """Cost of a call at prices per million tokens."""
     return ((input_tokens * input_price + output_tokens * output_price) / F.lit(1_000_000)).cast("decimal(18,6)")
+
+
+#: Phrases that say that entry is free.
+FREE = ["free entry", "free admission", "free event", "free exhibition", "free installation", "free display", "free talk", "free tour", "free to attend", "free to enter", "free to visit", "entry is free", "admission is free", "free of charge"]
+
+
+def describes_free_entry(text: Column) -> Column:
+    """Prose says that entry is free and names no price; hyphens are part of words ("step-free" isn't free)."""
+    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}-]+", " ")), F.lit(" "))
+    said = F.lit(False)
+    for phrase in FREE:
+        said = said | F.contains(words, F.lit(f" {phrase} "))
+    return F.coalesce(said & ~(F.coalesce(parse_price(text)["price_max"], F.lit(0)) > 0), F.lit(False))

@@ -126,3 +126,9 @@ def late_opening(text: Column) -> Column:
         return known & (hour < 24) & (minute < 60) & (hour * 60 + minute > 18 * 60)
 
     return F.coalesce(F.contains(lower, F.lit("late opening")) | F.exists(times, is_late), F.lit(False))
+
+
+def outward_postcode(text: Column) -> Column:
+    """The outward part, in capitals, of the first UK postcode written in two parts."""
+    found = F.regexp_extract(text, r"(?:^|[\s,])([A-Za-z](?=[A-Za-z]{0,3}[0-9])[A-Za-z0-9]{1,3})[\s,]+[0-9][A-Za-z]{2}(?:$|[\s,])", 1)
+    return F.when(found != "", F.upper(found))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from datetime import date
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,3 +82,52 @@ def set_sessions(sessions: Column) -> Column:
 def next_session(sessions: Column, now: Column) -> Column:
     """The first session that hasn't ended; a session without end ends when it starts."""
     return F.get(F.filter(sessions, lambda s: F.coalesce(s["ends_at"], s["starts_at"]) > now), F.lit(0))
+
+
+#: Names of months.
+MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+
+
+def month_number(word: str) -> int | None:
+    """1 to 12 of a month's name or of its first three or four letters."""
+    word = word.lower()
+    return next((n for n, m in enumerate(MONTHS, 1) if m == word or (3 <= len(word) <= 4 and m.startswith(word))), None)
+
+
+def spelled_days(text: str | None, first: date | None, last: date | None) -> list[date] | None:
+    """Days that a text lists as "<day> <month>", with a year or the one before's; none unless they rise from first to last."""
+    if not text or first is None or last is None:
+        return None
+    words, days, year, month = re.findall(r"[^\W_]+", text), [], first.year, first.month
+    for n, (a, b) in enumerate(zip(words, words[1:])):
+        if not (a.isdigit() and 1 <= int(a) <= 31 and (found := month_number(b))):
+            continue
+        year, month = year + (found < month), found
+        if n + 2 < len(words) and re.fullmatch("(19|20|21)[0-9]{2}", words[n + 2]):
+            year = int(words[n + 2])
+        try:
+            days.append(date(year, month, int(a)))
+        except ValueError:
+            return None
+    rising = len(days) >= 2 and all(a < b for a, b in zip(days, days[1:]))
+    return days if rising and days[0] == first and days[-1] == last else None
+
+
+def session_days(text: Column, first: Column, last: Column) -> Column:
+    """spelled_days() of columns; a scan with state, so it runs in Arrow batches."""
+
+    @F.pandas_udf("array<date>")
+    def run(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
+        return pd.Series([spelled_days(*row) for row in zip(texts, firsts, lasts)])
+
+    return run(text, first, last)
+
+
+def day_sessions(days: Column, opens: Column, closes: Column) -> Column:
+    """A session on each day, at London times HH:mm, or all day where opens is null."""
+
+    def session(d: Column) -> Column:
+        at = lambda t: utc(F.to_timestamp(F.concat_ws(" ", d.cast("string"), t), "yyyy-MM-dd HH:mm"))
+        return F.struct(F.when(opens.isNull(), midnight(d)).otherwise(at(opens)).alias("starts_at"), F.when(opens.isNotNull() & closes.isNotNull(), at(closes)).alias("ends_at"))
+
+    return F.transform(days, session)

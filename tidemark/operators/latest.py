@@ -38,3 +38,10 @@ def priority_union(*frames: DataFrame, key: str) -> DataFrame:
         part = df.withColumn("_priority", F.lit(n))
         out = part if out is None else out.unionByName(part)
     return latest(out, [key], F.col("_priority")).drop("_priority")
+
+
+def save_attempts(jobs: DataFrame, results: DataFrame) -> DataFrame:
+    """(id, failures) after a round: a success sets failures in a row to zero, a failure adds one, no attempt changes nothing."""
+    done = results.select(F.col("id").alias("_id"), F.col("ok"))
+    joined = jobs.join(done, F.col("id") == F.col("_id"), "left")
+    return joined.select("id", F.when(F.col("ok"), 0).when(~F.col("ok"), F.coalesce("failures", F.lit(0)) + 1).otherwise(F.coalesce("failures", F.lit(0))).cast("long").alias("failures"))

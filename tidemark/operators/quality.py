@@ -77,3 +77,18 @@ def due_reason(now: Column, rules: Column) -> Column:
         F.when(F.col("checked_at").isNull(), "first").when(F.col("checked_version") != F.col("version"), "code changed")
         .when(F.col("checked_at") <= now - F.expr("INTERVAL 7 DAYS"), "weekly").when(new, "new rule")
     )
+
+
+def issue_actions(latest: DataFrame, open_issues: DataFrame) -> DataFrame:
+    """(source_id, action) from each source's latest run (source_id, tripped, clean) and the open issues (source_id): one
+    issue a source at most, closed by a clean run."""
+    held = open_issues.select("source_id").distinct().withColumn("_open", F.lit(True))
+    joined = latest.join(held, "source_id", "left").withColumn("_open", F.coalesce("_open", F.lit(False)))
+    action = F.when(F.col("tripped"), F.when(F.col("_open"), "already open").otherwise("open")).when(~F.col("clean"), "degraded").when(F.col("_open"), "close").otherwise("healthy")
+    return joined.select("source_id", action.alias("action"))
+
+
+def alert_latch(state: DataFrame, raised: DataFrame, now: Column) -> DataFrame:
+    """(key, active_since): alerts raised anew keep the time at which they first became active, others are cleared."""
+    joined = raised.select("key").distinct().withColumn("_raised", F.lit(True)).join(state, "key", "full")
+    return joined.select("key", F.when(F.col("_raised"), F.coalesce("active_since", now)).alias("active_since"))

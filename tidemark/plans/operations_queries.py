@@ -275,6 +275,29 @@ def _(spark, sf):
     return df.select("source_id", Q.due_reason(now, F.array(F.lit("span"), F.lit("year"))).alias("reason"))
 
 
+@add("issue_lifecycle", O.query("SELECT source_id, CASE WHEN failing OR zero OR dropped THEN CASE WHEN source_id % 4 = 0 THEN 'already open' ELSE 'open' END WHEN NOT ok THEN 'degraded' WHEN source_id % 4 = 0 THEN 'close' ELSE 'healthy' END AS action FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY run_day DESC) AS k FROM flagged) WHERE k = 1", HEALTH))
+def _(spark, sf):
+    runs = Q.consecutive_errors(Q.with_history(C.source_runs(spark, sf)))
+    last = L.latest(runs, ["source_id"], F.col("run_day").desc())
+    last = last.select("source_id", (F.col("failing") | Q.zero_events() | Q.count_drop()).alias("tripped"), F.col("ok").alias("clean"))
+    return Q.issue_actions(last, spark.range(0, 60, 4).select(F.col("id").alias("source_id")))
+
+
+@add("alert_latch", f"SELECT coalesce(u, k) AS key, CASE WHEN u IS NOT NULL THEN coalesce(s, '2024-01-15 12:00:00') ELSE '' END AS active_since FROM (SELECT DISTINCT user_id AS u FROM events WHERE event_type = 'error' AND ts >= {ENOW} - INTERVAL 1 DAY AND ts < {ENOW}) FULL JOIN (SELECT r AS k, '2024-01-01 00:00:00' AS s FROM range(0, 150, 2) t(r)) ON u = k")
+def _(spark, sf):
+    now = C.instant(C.EVENTS_NOW)
+    raised = C.table(spark, sf, "events").filter((F.col("event_type") == "error") & (F.col("ts") >= now - F.expr("INTERVAL 1 DAY")) & (F.col("ts") < now)).select(F.col("user_id").alias("key"))
+    state = spark.range(0, 150, 2).select(F.col("id").alias("key"), C.instant("2024-01-01 00:00:00").alias("active_since"))
+    return Q.alert_latch(state, raised, now).select("key", F.coalesce(shown(F.col("active_since")), F.lit("")).alias("active_since"))
+
+
+@add("thumbnail_save", O.listing("SELECT id, CASE WHEN id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN id % 6 + 1 ELSE id % 6 END AS failures FROM listing WHERE has_image"))
+def _(spark, sf):
+    jobs = C.listings(spark, sf).filter("has_image").select("id", (F.col("id") % 6).alias("failures"))
+    results = C.listings(spark, sf).filter("id % 4 < 2").select("id", (F.col("id") % 4 == 0).alias("ok"))
+    return L.save_attempts(jobs, results)
+
+
 # ---------------------------------------------------------------- limits over a stream of requests
 
 

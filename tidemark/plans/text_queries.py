@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import catalog as C
-from tidemark.functions import classify, geo, hours, money, text, timex
+from tidemark.functions import classify, geo, hours, hours_text, money, text, timex
 from tidemark.functions.timex import shown
 from tidemark.operators import calendar as K
 from tidemark.operators import dims, resolve, search
@@ -229,6 +229,13 @@ literal("today_status", [("1@11:00-15:00", "Open now until 15:00"), ("1@14:00-15
 literal("is_open_at", [("1@11:00-15:00", "true"), ("1@13:00-15:00", "true"), ("1@09:00-13:00", "false"), ("2@09:00-20:00", "false")], "rules", lambda c: hours.is_open_at(schedule(c), C.instant(C.NOW)).cast("string"), "open")
 literal("hours_valid", [("1@11:00-15:00;2@10:00-12:00", "true"), ("1@15:00-11:00", "false"), ("1,2@10:00-12:00;2@13:00-14:00", "false"), ("8@10:00-12:00", "false")], "rules", lambda c: hours.valid(schedule(c)).cast("string"), "valid")
 
+literal("postcode_outward", [("12 High St, London E1W 3AB", "E1W"), ("se1 9tg, n1 7aa", "SE1"), ("no code", ""), ("SW1A1AA", ""), ("Room B12 100x", "")], "said", lambda c: F.coalesce(text.outward_postcode(c), F.lit("")), "code")
+literal("describes_free_entry", [("This free installation runs daily", "true"), ("Entry is free, donations £5", "false"), ("Step-free access", "false"), ("Join for free", "false"), ("Free of charge", "true"), ("debt-free talk", "false")], "said", lambda c: money.describes_free_entry(c).cast("string"), "free")
+literal("schema_hours", [("Mo-Fr 10:00-17:00|Sa 11:00-16:00", "Mon, Tue, Wed, Thu, Fri · 10:00–17:00; Sat · 11:00–16:00"), ("Sa-Mo 12:00-18:00", "Mon, Sat, Sun · 12:00–18:00"), ("Tu,We 18:00-11:00", ""), ("Xx 10:00-11:00", ""), ("Mo 10-11", "")], "said", lambda c: F.coalesce(hours.display(hours.from_schema_org(F.split(c, r"\|"))), F.lit("")), "shown")
+literal("parse_hours", [("Open Tue–Sun, 10:00–17:00.", "Tue, Wed, Thu, Fri, Sat, Sun · 10:00–17:00"), ("10am to 5pm daily", "Daily · 10:00–17:00"), ("Friday 10am-5pm", ""), ("Mon-Fri 9-5", "")], "said", lambda c: F.coalesce(hours.display(hours_text.parse(c)), F.lit("")), "shown")
+literal("session_days", [("20 October, 3 November, 26 January|2026-10-20|2027-01-26", "2026-10-20,2026-11-03,2027-01-26"), ("Saturdays: 10 Oct, 24 Oct 2026|2026-10-10|2026-10-24", "2026-10-10,2026-10-24"), ("10 Oct|2026-10-10|2026-10-10", ""), ("10 Oct, 9 Oct|2026-10-10|2026-10-09", ""), ("31 June, 1 July|2026-06-30|2026-07-01", "")], "said", lambda c: F.coalesce(F.array_join(F.transform(timex.session_days(F.split(c, r"\|")[0], F.split(c, r"\|")[1].cast("date"), F.split(c, r"\|")[2].cast("date")), day), ","), F.lit("")), "days")
+literal("call_cost", [("1000 200 0.5 1.5", "0.000800"), ("1 1 3 15", "0.000018"), ("0 0 1 1", "0.000000")], "said", lambda c: money.call_cost(*[F.split(c, " ")[n].cast("decimal(12,4)") for n in range(4)]).cast("string"), "cost")
+
 # ---------------------------------------------------------------- sessions, calendar, feeds
 
 
