@@ -14,12 +14,10 @@ JUMP_POINTS, JUMP_HISTORY, JUMP_KEPT = 30, 3, 5
 def with_history(runs: DataFrame) -> DataFrame:
     """Add n_history and average over the last five ok runs before each run; runs that weren't ok take no place.
 
-    A window ordered by run carries the array of the latest ok counts, so that each source is one sort and no self-join.
+    The five counts are lags that pass over other runs, so a source is one sort and a row holds five numbers.
     """
-    order = Window.partitionBy("source_id").orderBy("run_day").rowsBetween(Window.unboundedPreceding, -1)
-    held = F.collect_list(F.when(F.col("ok"), F.col("found"))).over(order)
-    last = F.slice(held, F.greatest(F.size(held) - HISTORY + 1, F.lit(1)), HISTORY)
-    runs = runs.withColumn("history", last).withColumn("n_history", F.size("history"))
+    held = [F.expr(f"lag(CASE WHEN ok THEN found END, {n}) IGNORE NULLS OVER (PARTITION BY source_id ORDER BY run_day)") for n in range(1, HISTORY + 1)]
+    runs = runs.withColumn("history", F.filter(F.array(*held), lambda x: x.isNotNull())).withColumn("n_history", F.size("history"))
     total = F.aggregate("history", F.lit(0).cast("long"), lambda a, x: a + x)
     return runs.withColumn("average", F.when(F.col("n_history") > 0, total / F.col("n_history"))).drop("history")
 
