@@ -77,3 +77,19 @@ def test_confirmed_copies_are_similar(spark):
     missed = [(a, b) for a in kept for b in kept if a < b and like(a, b)]
     assert len(missed) <= 0.1 * len(gone)
     assert simhash.confirmed_copies(frame.limit(0)).count() == 0
+
+
+def test_stages_on_empty_and_odd_tables(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score double, component long, hash string, piece int"
+    odd = [(1, None, None, None, None, 0.5, 1, "h", 1), (None, None, None, None, None, None, None, None, None), (2, "", "en", "s", 0, 0.5, 1, "h", 1), (2, "", "en", "s", 0, 0.5, 1, "h", 1), (3, "one", None, "s", 3, None, None, None, None)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows in ([], odd):
+        frame = spark.createDataFrame(rows, schema)
+        for n, (name, stage) in enumerate(pipeline.STAGES):
+            out = stage(spark, frame, str(tmp_path))
+            if n < 4:
+                assert out.columns == pipeline.COLUMNS
+            assert out.count() == (0 if not rows else 4 if name == "near_duplicates" else 5)
