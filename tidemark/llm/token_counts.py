@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise, new_path
+from tidemark.llm.common import delete, materialise, new_path
 from tidemark.llm.tokens import ByteTokens, once
 
 SEPARATOR, FILLER = 50256, 0xFFFF
 BLOCK = 1 << 15  # ids
 GROUP = 64  # blocks searched at once
+ROUNDS = 2
 KEY_IDS, KEY_BITS, NO_KEY = 5, 15, 1 << 15
 
 
@@ -126,15 +127,21 @@ def scan_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, keys
     return docs.filter((F.size("key_ids") == 0) | (F.get("key_ids", F.lit(0)) != FILLER))
 
 
-def count_tokens(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def count_tokens(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, rounds: int = ROUNDS) -> DataFrame:
     """(id, n_tokens) of each row of df: its texts are written as flat token files in the shared folder, which are scanned.
 
-    Null and empty texts have no tokens; repeated rows are counted each, a null id stays null; other columns go.
+    The rows are dealt into rounds by a hash of the id, and the token files of a round are deleted once they are scanned,
+    so that only a share of all tokens takes space at a time. Null and empty texts have no tokens; repeated rows are
+    counted each, a null id stays null; other columns go.
     """
-    spark = df.sparkSession
-    path = new_path(spark, "tokens")
-    write_tokens(df, path, ranks, pattern, id_col, text_col, block=block)
-    return scan_tokens(spark, path, block=block).select(key_of(F.col("key_ids")).alias(id_col), "n_tokens")
+    spark, out = df.sparkSession, None
+    for n in range(rounds):
+        path = new_path(spark, "tokens")
+        write_tokens(df.filter(F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(rounds)) == n), path, ranks, pattern, id_col, text_col, block=block)
+        found = scan_tokens(spark, path, block=block).select(key_of(F.col("key_ids")).alias(id_col), "n_tokens")
+        delete(spark, path)
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
