@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from tidemark.llm import decontaminate
 
 
@@ -48,3 +50,30 @@ def test_finds_passages_with_exchanged_words(spark):
     assert sum(r.doc_id == 503 and r.item_id == 93 for r in rows) == 2
     assert decontaminate.overlaps(frame.limit(0), bench).count() == 0
     assert decontaminate.overlaps(frame, bench.limit(0)).count() == 0
+
+
+def qualifying(equal, need):
+    return [(a, b) for a in range(len(equal)) for b in range(a + need, len(equal) + 1) if 5 * sum(equal[a:b]) >= 4 * (b - a)]
+
+
+def test_longest_runs_against_every_run():
+    rng = random.Random(5)
+    for _ in range(400):
+        equal = [rng.random() < rng.choice([0.6, 0.8, 0.9]) for _ in range(rng.randrange(0, 50))]
+        found = decontaminate.longest_runs(np.array(equal, dtype=bool), 13)
+        every = qualifying(equal, 13)
+        assert [n for _, n, _ in found[:1]] == [max(b - a for a, b in every)] if every else found == []
+        assert all((start, start + n) in every and m == sum(equal[start : start + n]) for start, n, m in found)
+        assert all(any(a < start + n and start < b for start, n, _ in found) for a, b in every)
+        assert len({p for start, n, _ in found for p in range(start, start + n)}) == sum(n for _, n, _ in found)
+
+
+def test_every_overlap_of_four_words_in_five(spark):
+    items = [[f"i{n}w{k}" for k in range(n)] for n in (13, 16, 17, 60)]
+    changed = lambda item, at: ["other" if k in at else w for k, w in enumerate(item)]
+    texts = [changed(items[0], {2}), changed(items[0], {0, 6}), changed(items[1], {4, 11}), changed(items[2], {8, 13}), changed(items[0], {2, 5, 8}), changed(items[3], range(20, 40))]
+    docs = [(n, " ".join(["before", *t, "after"]), None) for n, t in enumerate(texts)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, other string")
+    bench = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(items)], "item_id long, text string")
+    rows = sorted(tuple(r) for r in decontaminate.overlaps(frame, bench).collect())
+    assert rows == [(0, 0, 1, 0, 13, 12), (1, 0, 1, 0, 13, 11), (2, 1, 1, 0, 16, 14), (3, 2, 1, 0, 17, 15), (5, 3, 1, 0, 25, 20), (5, 3, 36, 35, 25, 20)]

@@ -3,8 +3,8 @@
 A seed hashes the words of a window under a fixed mask that ignores some positions, so that a passage with words
 exchanged still shares seeds with its benchmark item. Benchmark seeds are joined with the seeds of every document on
 the map side: the benchmark is dealt into blocks of a bounded number of words, each is broadcast, and each document
-passes once per block. Every hit names a diagonal (document position less item position); the overlap around it is
-the best aligned run with at least four words in five equal.
+passes once per block. Every hit names a diagonal (document position less item position); overlaps are
+the longest aligned runs on it with at least four words in five equal.
 """
 
 from __future__ import annotations
@@ -77,20 +77,35 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def best_run(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, matches) of the run with the highest score: 1 for an equal word, -PENALTY for another."""
-    total = np.concatenate(([0], np.cumsum(np.where(equal, 1, -PENALTY))))
-    least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
-    start = int(np.flatnonzero(total[: end + 1] == least[end])[-1])
-    return start, end - start, int(equal[start:end].sum())
+def longest_runs(equal: np.ndarray, need: int) -> list[tuple[int, int, int]]:
+    """(start, length, matches) of disjoint runs of need words or more with 4/5 equal, the longest first, then what lies beside it.
+
+    A run qualifies if its sum of 1 for an equal word and -PENALTY for another isn't negative.
+    """
+    out, parts = [], [(0, len(equal))]
+    while parts:
+        low, high = parts.pop()
+        if high - low < need or (1 + PENALTY) * int(equal[low:high].sum()) < PENALTY * need:
+            continue
+        total = np.concatenate(([0], np.cumsum(np.where(equal[low:high], 1, -PENALTY))))
+        most = np.maximum.accumulate(total[::-1])[::-1]  # falls: the last end whose sum is at least that of a start
+        length = np.searchsorted(-most, -total, side="right") - 1 - np.arange(len(total))
+        start = int(np.argmax(length))
+        size = int(length[start])
+        if size < need:
+            continue
+        start += low
+        out.append((start, size, int(equal[start : start + size].sum())))
+        parts += [(low, start), (start + size, high)]
+    return out
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, item_id, doc_start, item_start, length, matches): every overlap of a row of docs with a benchmark item.
 
     Texts are compared as words (runs of letters, digits and _), lower-cased; positions count words. An overlap is an
-    aligned run around a shared seed of min_words words or more, or a whole shorter item, of which at least 4/5 are equal.
+    aligned run, on the diagonal of a shared seed, of min_words words or more, or a whole shorter item, of which at least
+    4/5 are equal; of runs that share words the longest is given, so changed words may stand at its ends.
     Items of fewer than SPAN words must occur exactly; null or wordless items and texts overlap nothing. A row of docs
     is never compared with another, repeated rows repeat their overlaps, null ids are kept.
     """
@@ -137,10 +152,12 @@ def found_in(block: Block, ids: list, texts: list[np.ndarray], min_words: int) -
         low, high = max(0, -shift), min(len(words), len(texts[d]) - shift)
         if high <= low:
             continue  # the window ran over the end of its text
-        start, length, matches = best_run(texts[d][low + shift : high + shift] == words[low:high])
-        need = min(min_words, len(words)) if len(words) >= SPAN else len(words)
-        if length >= need:
-            rows.append((ids[d], name, low + shift + start, low + start, length, matches))
+        equal = texts[d][low + shift : high + shift] == words[low:high]
+        if len(words) < SPAN:
+            runs = [(0, len(words), len(words))] if len(equal) == len(words) and equal.all() else []
+        else:
+            runs = longest_runs(equal, min(min_words, len(words)))
+        rows += [(ids[d], name, low + shift + start, low + start, length, matches) for start, length, matches in runs]
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=["id", "item_id", "doc_start", "item_start", "length", "matches"])
 
