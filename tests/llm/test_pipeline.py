@@ -93,3 +93,24 @@ def test_stages_on_empty_and_odd_tables(spark, tmp_path):
             if n < 4:
                 assert out.columns == pipeline.COLUMNS
             assert out.count() == (0 if not rows else 4 if name == "near_duplicates" else 5)
+
+
+def test_long_groups_are_settled_to_the_end(spark):
+    rng = random.Random(17)
+    words = [f"c{k}" for k in range(300)]
+    texts = {}
+    for step in range(36):
+        for k in range(3):
+            words[(step * 3 + k) * 47 % 300] = f"s{step}n{k}"
+        texts[step] = " ".join(words)
+        texts[1_000 + step] = texts[step].upper()
+    rows = list(texts.items())
+    rng.shuffle(rows)
+    gone = {r.id for r in simhash.confirmed_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: simhash.shingle_set(t, 5) for i, t in texts.items()}
+    kept = set()
+    for i in sorted(texts):
+        if all(simhash.overlap(sets[i], sets[k]) < 0.8 for k in kept):
+            kept.add(i)
+    assert len(kept) > 7 and {i for i in texts if i >= 1_000} <= gone
+    assert all(any(simhash.overlap(sets[g], sets[k]) >= 0.8 for k in {*texts} - gone) for g in gone)

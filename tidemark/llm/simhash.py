@@ -184,12 +184,12 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10, similarity: float = 0.8, rounds: int = 6) -> DataFrame:
+def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
     """(id): the ids of df that go if one document of each group of near copies is to stay.
 
     Groups are the components of near_duplicates(). In each round the smallest id of a group stays, those whose shingles
-    have a Jaccard similarity of `similarity` or more with it go, and the others form the group of the next round; what
-    the last round leaves stays. So an id only goes where one that stays is that similar. Rows with null ids and texts
+    have a Jaccard similarity of `similarity` or more with it go, and the others form the group of the next round, until
+    none is left. So an id only goes where one that stays is that similar. Equal shingle sets of a group count once. Rows with null ids and texts
     without words are left out; rows that share an id count as one text, the greatest. Every step is an equi-join on the
     component or a minimum, so groups of any size are split between tasks.
     """
@@ -214,16 +214,16 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             good = [overlap(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_())], names=["id", "component", "shingles", "copy"])
 
-    gone = spark.createDataFrame([], "id long")
-    for _ in range(rounds):
+    firsts = left.groupBy("component", "shingles").agg(F.min("id").alias("id"))
+    gone = left.select("id").join(firsts.select("id"), "id", "left_anti")
+    left = materialise(firsts.select("id", "component", "shingles"), "firsts")
+    while not left.isEmpty():
         heads = left.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("head"))
         models = left.select(F.col("component").alias("c"), F.col("id").alias("head"), F.col("shingles").alias("model")).join(heads, ["c", "head"])
         met = left.join(models, F.col("component") == F.col("c")).filter("id <> head").select("id", "component", "shingles", "model")
         judged = materialise(met.mapInArrow(compare, "id long, component long, shingles binary, copy boolean"), "judged")
         gone = gone.unionAll(judged.filter("copy").select("id"))
         left = judged.filter("NOT copy").select("id", "component", "shingles")
-        if left.isEmpty():
-            break
     return gone
 
 
