@@ -114,3 +114,26 @@ def test_long_groups_are_settled_to_the_end(spark):
             kept.add(i)
     assert len(kept) > 7 and {i for i in texts if i >= 1_000} <= gone
     assert all(any(simhash.overlap(sets[g], sets[k]) >= 0.8 for k in {*texts} - gone) for g in gone)
+
+
+def test_every_pair_of_near_copies_is_found(spark):
+    rng = random.Random(19)
+    texts, line = {}, [f"l{k}" for k in range(30)]
+    for g in range(60):
+        base = [f"v{rng.randrange(9_000)}" for _ in range(rng.choice([12, 60, 200, 400]))] + line * (g % 2)
+        for share in (0, 0, 0.01, 0.02, 0.02, 0.03):
+            own = [f"new{rng.randrange(99)}" if rng.random() < share else w for w in base]
+            texts[rng.randrange(1 << 40)] = " ".join(own[: len(own) - rng.randrange(3)])
+    rows = [(i, t) for i, t in texts.items()]
+    gone = [r.id for r in simhash.confirmed_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sets, kept = {i: simhash.shingle_set(t, 5) for i, t in texts.items()}, set()
+    for i in sorted(texts):
+        if all(simhash.overlap(sets[i], sets[k]) < 0.8 for k in kept):
+            kept.add(i)
+    assert {*texts} - {*gone} == kept and len(gone) == len({*gone})
+
+
+def test_chains_are_settled_least_first(spark):
+    edges = [(a, b) for a in range(30) for b in (a + 1, a + 2)]
+    gone = {r.id for r in simhash.independent(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert gone == {n for n in range(31) if n % 3}

@@ -9,6 +9,7 @@ than it has members and no link between components is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,12 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, materialise
+from tidemark.llm.common import materialise
 from tidemark.llm.graph import connected_components
 
 SEED = 42
 TILE = 1 << 16
 CHUNK = 1 << 15
+SAMPLE, COMMON = 20_000, 500_000
 
 
 def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -184,47 +186,111 @@ def overlap(a: bytes, b: bytes) -> float:
     return both / max(1, len(x) + len(y) - both)
 
 
-def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 10, similarity: float = 0.8) -> DataFrame:
-    """(id): the ids of df that go if one document of each group of near copies is to stay.
+def rarest(df: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, counts) of what about SAMPLE rows of df share: an order for prefixes, right whatever the sample."""
 
-    Groups are the components of near_duplicates(). In each round the smallest id of a group stays, those whose shingles
-    have a Jaccard similarity of `similarity` or more with it go, and the others form the group of the next round, until
-    none is left. So an id only goes where one that stays is that similar. Equal shingle sets of a group count once. Rows with null ids and texts
-    without words are left out; rows that share an id count as one text, the greatest. Every step is an equi-join on the
-    component or a minimum, so groups of any size are split between tasks.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(shingle_set(text.as_py(), shingle), dtype=np.int32))], names=["token"])
+
+    share = max(1, df.count() // SAMPLE)
+    some = df.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
+    common = some.mapInArrow(run, "token int").groupBy("token").count().filter("count > 2").orderBy(F.desc("count"), "token").limit(COMMON).toArrow()
+    keys, counts = common["token"].to_numpy().view(np.uint32), common["count"].to_numpy()
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def prefix(found: np.ndarray, size: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first `size` of the sorted shingles of a set, those that keys lacks before those it has, rare before common."""
+    if len(keys) == 0:
+        return found[:size]
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return found[np.lexsort((found, np.where(keys[at] == found, counts[at], 0)))[:size]]
+
+
+def independent(edges: DataFrame) -> DataFrame:
+    """(id): the nodes of edges (u < v) that go if, least first, each node stays that has no edge to one that stays."""
+    gone = edges.select(F.col("v").alias("id")).limit(0)
+    while not edges.isEmpty():
+        heads = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_anti").distinct()
+        out = materialise(edges.join(heads, "u").select("v").distinct(), "out")
+        gone = gone.unionAll(out.select(F.col("v").alias("id")))
+        edges = materialise(edges.join(out, "v", "left_anti").join(out.select(F.col("v").alias("u")), "u", "left_anti").select("u", "v"), "edges")
+    return gone
+
+
+def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id): the ids of df that go if, least id first, each stays whose shingles are like those of none that stays.
+
+    Alike are sets with a Jaccard similarity of `similarity` or more, and every such pair is found: two of them share one
+    of the first shingles of each in an order of all shingles, rare ones first. Equal sets count once. While that helps,
+    each shingle's least id is compared with the others that have it, so that large groups go without a pair for any two
+    of their members; what is left is joined on shingles, by size and position, and each pair confirmed. Rows with null
+    ids and texts without words are left out; rows that share an id count as one of their texts.
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    groups = materialise(near_duplicates(rows, "id", "text", shingle, radius).filter("fingerprint <> repeat('0', 16)").select("id", F.col("component_id").alias("component")), "groups")
-    linked = groups.filter("id <> component").select("component").distinct()
-    members = groups.distinct().join(linked, "component", "left_semi")
+    order = spark.sparkContext.broadcast(rarest(rows, shingle))
+    least = lambda n: math.ceil(similarity * n - 1e-9)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 512):
                 part = batch.slice(low, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingle_set(t.as_py(), shingle) for t in part.column(2)], pa.binary())], names=["id", "component", "shingles"])
+                sets = [np.frombuffer(shingle_set(t.as_py(), shingle), dtype=np.uint32) for t in part.column(1)]
+                firsts = [prefix(x, len(x) - least(len(x)) + 1, *order.value).view(np.int32) if len(x) else x.view(np.int32) for x in sets]
+                sums = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(firsts, pa.list_(pa.int32()))], names=["id", "digest", "size", "first"])
+
+    every = materialise(rows.mapInArrow(start, "id long, digest long, size long, first array<int>").filter("size > 0"), "prefixes")
+    named = every.groupBy("id").agg(F.min(F.struct("digest", "size")).alias("set")).select("id", "set.*")
+    firsts = materialise(named.groupBy("digest", "size").agg(F.min("id").alias("id")), "firsts")
+    gone = named.select("id").join(firsts.select("id"), "id", "left_anti")
+    tokens = every.join(firsts, ["id", "digest", "size"]).dropDuplicates(["id"]).select("id", "size", F.posexplode("first").alias("at", "token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    tokens = materialise(tokens.join(shared, "token").select("id", "size", "at", "token"), "tokens")
+
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                sets = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
 
-    sets = rows.join(members, "id").select("id", "component", "text").mapInArrow(run, "id long, component long, shingles binary")
-    left = materialise(sets.groupBy("id", "component").agg(F.max("shingles").alias("shingles")), "sets")
-    drop(groups)
+    wanted = tokens.select("id").distinct()
+    texts = rows.join(wanted, "id", "left_semi").mapInArrow(collect, "id long, digest long, shingles binary")
+    sets = materialise(texts.join(firsts.select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [overlap(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(good, pa.bool_())], names=["id", "component", "shingles", "copy"])
-
-    firsts = left.groupBy("component", "shingles").agg(F.min("id").alias("id"))
-    gone = left.select("id").join(firsts.select("id"), "id", "left_anti")
-    left = materialise(firsts.select("id", "component", "shingles"), "firsts")
-    while not left.isEmpty():
-        heads = left.groupBy(F.col("component").alias("c")).agg(F.min("id").alias("head"))
-        models = left.select(F.col("component").alias("c"), F.col("id").alias("head"), F.col("shingles").alias("model")).join(heads, ["c", "head"])
-        met = left.join(models, F.col("component") == F.col("c")).filter("id <> head").select("id", "component", "shingles", "model")
-        judged = materialise(met.mapInArrow(compare, "id long, component long, shingles binary, copy boolean"), "judged")
-        gone = gone.unionAll(judged.filter("copy").select("id"))
-        left = judged.filter("NOT copy").select("id", "component", "shingles")
-    return gone
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        side = lambda name, content: sets.select(F.col("id").alias(name), F.col("shingles").alias(content))
+        met = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
+        return materialise(met.mapInArrow(compare, "u long, v long"), "confirmed")
+
+    left = wanted.count()
+    while left:
+        heads = tokens.groupBy("token").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+        near = materialise(tokens.join(heads, "token").filter("id <> u").select("u", F.col("id").alias("v")).distinct(), "near")
+        first = near.select("u").join(near.select(F.col("v").alias("u")), "u", "left_anti").distinct()
+        out = confirm(near.join(first, "u")).select(F.col("v").alias("id")).distinct()
+        gone = gone.unionAll(out)
+        settled = out.unionAll(first.select(F.col("u").alias("id")))
+        tokens = materialise(tokens.join(settled, "id", "left_anti"), "tokens")
+        went = out.count()
+        if 20 * went < left:
+            break
+        left = tokens.select("id").distinct().count()
+    a, b = (tokens.select("token", *[F.col(c).alias(p + c) for c in ("id", "size", "at")]) for p in "ab")
+    enough = (F.col("asize") + F.col("bsize")) * (similarity / (1 + similarity)) - 1e-6
+    fits = F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat")) >= enough
+    pairs = a.join(b, "token").filter((F.col("aid") < F.col("bid")) & fits).select(F.col("aid").alias("u"), F.col("bid").alias("v")).distinct()
+    return gone.unionAll(independent(confirm(materialise(pairs, "pairs"))))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
