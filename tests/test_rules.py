@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import calendar, resolve, search
 from tidemark.operators.components import components
+from tidemark.plans import text_queries
 from tidemark.sources import html, ical, listings
 from tidemark.streaming import streams
 
@@ -70,6 +71,16 @@ def test_recurrence_equals_the_walk(spark, rule):
     assert got == ical.occurrences_of(first, dict(p.split("=") for p in rule.split(";")), {dt.date(2026, 10, 6)}, now)
 
 
+def test_recurrences_of_all_orders(spark):
+    sf, now = "/root/testdata/sf0.001", dt.date(1998, 6, 15)
+    rules = ["FREQ=WEEKLY;BYDAY=TU,SA", "FREQ=DAILY;INTERVAL=3;COUNT=90", "FREQ=WEEKLY;INTERVAL=2;UNTIL=19980801"]
+    want = set()
+    for i, first in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.to_date("o_orderdate")).collect():
+        days = ical.occurrences_of(first, dict(p.split("=") for p in rules[i % 5].split(";")), {dt.date(1998, 6, 20)}, now) if i % 5 < 3 else [first]
+        want |= {(i, str(d)) for d in days if i % 5 > 2 or d >= now - dt.timedelta(1)}
+    assert {(r.id, str(r.day)) for r in text_queries.QUERIES["rrule_expand"](spark, sf).collect()} == want
+
+
 def test_ical_files(spark, tmp_path):
     lines = ["BEGIN:VCALENDAR", "BEGIN:VEVENT", "UID:1", "SUMMARY:Talk\\, with ", " tea", "DTSTART;TZID=Europe/London:20260702T193000", "DTEND:20260702T203000Z", "END:VEVENT", "BEGIN:VEVENT", "UID:2", "DTSTART;VALUE=DATE:20261002", "RRULE:FREQ=WEEKLY", "EXDATE;VALUE=DATE:20261009", "END:VEVENT", "END:VCALENDAR"]
     (tmp_path / "a.ics").write_bytes("\r\n".join(lines).encode())

@@ -95,16 +95,20 @@ def recurrences(df: DataFrame, now: Column) -> DataFrame:
     step = F.greatest(F.coalesce(F.expr("try_cast(regexp_extract(coalesce(rrule, ''), '(?:^|;)INTERVAL=([^;]*)', 1) AS int)"), F.lit(1)), F.lit(1))
     today = F.to_date(now)
     last = F.greatest(F.date_add(today, HORIZON_DAYS), F.col("first"))
-    days = F.sequence("first", last)
+    count = F.expr("try_cast(regexp_extract(coalesce(rrule, ''), '(?:^|;)COUNT=([^;]*)', 1) AS int)")
+    # without COUNT past days needn't be walked; with it, no longer than its occurrences can take
+    reach = F.date_add("first", F.least(F.datediff(last, "first"), (F.greatest(count, F.lit(1)).cast("long") + 1) * step * F.when(weekly, 7).otherwise(1)).cast("int"))
+    start = F.when(count.isNull(), F.greatest("first", F.date_sub(today, 1))).otherwise(F.col("first"))
+    stop = F.when(count.isNull(), last).when(reach < F.date_sub(today, 1), F.col("first")).otherwise(reach)
+    days = F.sequence(start, stop)
     monday = lambda d: F.date_sub(d, F.weekday(d))
     names = F.array(*map(F.lit, WEEKDAYS))
     on = lambda d: F.when(part("BYDAY") == "", F.weekday(d) == F.weekday("first")).otherwise(F.array_contains(by, F.get(names, F.weekday(d))))
     every = lambda d: F.when(weekly, (F.floor(F.datediff(d, monday(F.col("first"))) / 7) % step == 0) & on(d)).otherwise(F.datediff(d, "first") % step == 0)
     hits = F.filter(days, every)
-    count = F.expr("try_cast(regexp_extract(coalesce(rrule, ''), '(?:^|;)COUNT=([^;]*)', 1) AS int)")
     hits = F.when(count.isNull(), hits).otherwise(F.slice(hits, F.lit(1), F.greatest(F.coalesce(count, F.lit(1)), F.lit(1))))
     until = F.try_to_date(F.substring(part("UNTIL"), 1, 8), "yyyyMMdd") if hasattr(F, "try_to_date") else F.to_date(F.substring(part("UNTIL"), 1, 8), "yyyyMMdd")
-    kept = F.filter(hits, lambda d: (d >= F.date_sub(today, 1)) & (until.isNull() | (d <= until)) & ~F.array_contains(F.coalesce("exdates", F.array().cast("array<string>")), F.date_format(d, "yyyyMMdd")))
+    kept = F.filter(hits, lambda d: (d >= F.date_sub(today, 1)) & (d <= F.date_add(today, HORIZON_DAYS)) & (until.isNull() | (d <= until)) & ~F.array_contains(F.coalesce("exdates", F.array().cast("array<string>")), F.date_format(d, "yyyyMMdd")))
     out = F.when(simple, F.slice(kept, 1, MOST_OCCURRENCES)).otherwise(F.array("first"))
     return df.select("id", F.explode(out).alias("day"))
 
