@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark import catalog
 from tidemark.operators import calendar, resolve, search
 from tidemark.operators.components import components
 from tidemark.plans import text_queries
@@ -71,6 +72,12 @@ def test_recurrence_equals_the_walk(spark, rule):
     assert got == ical.occurrences_of(first, dict(p.split("=") for p in rule.split(";")), {dt.date(2026, 10, 6)}, now)
 
 
+def test_every_order_is_resolved(spark):
+    sf = "/root/testdata/sf0.001"
+    found = [r.listing for r in text_queries.QUERIES["resolve_events"](spark, sf).collect()]
+    assert sorted(found) == sorted(r.id for r in catalog.listings(spark, sf, lines=True).select("id").collect())
+
+
 def test_recurrences_of_all_orders(spark):
     sf, now = "/root/testdata/sf0.001", dt.date(1998, 6, 15)
     rules = ["FREQ=WEEKLY;BYDAY=TU,SA", "FREQ=DAILY;INTERVAL=3;COUNT=90", "FREQ=WEEKLY;INTERVAL=2;UNTIL=19980801"]

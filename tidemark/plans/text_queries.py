@@ -377,9 +377,10 @@ def _(spark, sf):
 # ---------------------------------------------------------------- resolution
 
 
-def matchable(spark, sf):
-    """Listings of a month at the boroughs, titled by their parts."""
-    df = C.listings(spark, sf, lines=True).filter(P.from_day("1998-05-15") & P.to_day("1998-07-14"))
+def matchable(spark, sf, months=False):
+    """Listings at the boroughs, titled by their parts; those of the two months of MATCHABLE if asked."""
+    df = C.listings(spark, sf, lines=True)
+    df = df.filter(P.from_day("1998-05-15") & P.to_day("1998-07-14")) if months else df
     return df.select("id", "title", F.concat(F.col("borough"), F.lit(" Gallery Hall")).alias("venue"), "lat", "lng", "starts_at", "ends_at")
 
 
@@ -393,7 +394,7 @@ _METRES = "2 * 6371000 * asin(least(1.0, sqrt(power(sin(radians(b.lat - a.lat) /
 @add("fuzzy_pairs", O.query(f"""SELECT a, b FROM (SELECT a.id AS a, b.id AS b, array_to_string(a.t, ' ') AS ta, array_to_string(b.t, ' ') AS tb, len(list_intersect(a.t, b.t)) AS common, len(list_distinct(list_concat(a.t, b.t))) AS total
     FROM m a JOIN m b ON a.id < b.id AND (a.f = b.f OR (a.l > a.f AND b.l > b.f AND a.f <= b.l AND b.f <= a.l)) AND (a.v = b.v OR {_METRES} <= 150)) WHERE 5 * common >= 4 * total OR {_DICE} >= 0.9""", O.LISTING, O.LINES, MATCHABLE))
 def _(spark, sf):
-    return resolve.fuzzy_pairs(matchable(spark, sf))
+    return resolve.fuzzy_pairs(matchable(spark, sf, months=True))
 
 
 @add("resolve_events")
