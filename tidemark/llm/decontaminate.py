@@ -17,8 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.tokens import once
-from tidemark.llm.words import Numbers, folded, numbers
+from tidemark.llm.words import folded_hashes, slices
 
 #: The masks; 1 compares a word, 0 ignores it.
 MASKS = ["11100100011", "11000101101", "10110001011", "10011110001"]
@@ -26,13 +25,14 @@ SPAN = 11
 MIN_WORDS = 13
 PENALTY = 4
 BLOCK_WORDS = 1_000_000
-BATCH_WORDS = 1 << 17
+HITS = 1 << 18
 FILTER_BITS = 22
 MULTIPLIER = 0x9E3779B97F4A7C15
 
 
-def word_hash(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    counts, (hashes,) = folded_hashes(texts)
+    return np.split(hashes, np.cumsum(counts)[:-1]) if len(texts) else []
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -64,17 +64,36 @@ class Block:
         self.known = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.known[(self.keys >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
 
-    def hits(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position, item number, item position) of all seeds in common."""
-        out = []
+    def diagonals(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """(text, item number, shift) of all seeds in common, once each; hashes are the words of texts that start at `first`.
+
+        What a chunk of positions hits is made unique before the next, so equal words that meet equal words don't pile up.
+        """
+        found = np.zeros((0, 3), dtype=np.int64)
         for mask in self.masks:
             own = seeds(hashes, mask)
             at = np.flatnonzero(self.known[(own >> np.uint64(64 - FILTER_BITS)).astype(np.int64)])
             low, high = np.searchsorted(self.keys, own[at]), np.searchsorted(self.keys, own[at], side="right")
-            times = high - low
-            entry = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
-            out.append((np.repeat(at, times), self.owner[entry], self.at[entry]))
-        return tuple(np.concatenate(x) for x in zip(*out))
+            hit = high > low
+            at, low, times = at[hit], low[hit], (high - low)[hit]
+            ends, begin = np.cumsum(times), 0
+            while begin < len(at):
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + HITS, side="right")))
+                n = times[begin:end]
+                entry = np.repeat(low[begin:end] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                place = np.repeat(at[begin:end], n)
+                text = np.searchsorted(first, place, side="right") - 1
+                new = np.stack((text, self.owner[entry].astype(np.int64), place - first[text] - self.at[entry].astype(np.int64)), axis=1)
+                found = unique_rows(np.concatenate((found, unique_rows(new))))
+                begin = end
+        return found
+
+
+def unique_rows(rows: np.ndarray) -> np.ndarray:
+    if len(rows) < 2:
+        return rows
+    rows = rows[np.lexsort(rows.T[::-1])]
+    return rows[np.concatenate(([True], (rows[1:] != rows[:-1]).any(axis=1)))]
 
 
 def longest_runs(equal: np.ndarray, need: int) -> list[tuple[int, int, int]]:
@@ -116,22 +135,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     out = None
     for n in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).toLocalIterator()
-        memo = Numbers(word_hash)
-        block = spark.sparkContext.broadcast(Block([(r.item_id, numbers(folded(r.text), memo)) for r in own]))
+        own = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).toLocalIterator()]
+        block = spark.sparkContext.broadcast(Block(list(zip([i for i, _ in own], word_hashes([t for _, t in own])))))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
-            memo = once(("decontaminate", "words"), lambda: Numbers(word_hash))
-            for batch in batches:
-                ids, texts, size = [], [], 0
-                for i, text in zip(batch.column(0), batch.column(1)):
-                    ids.append(i.as_py())
-                    texts.append(numbers(folded(text.as_py()), memo))
-                    size += len(texts[-1])
-                    if size >= BATCH_WORDS:
-                        yield from found_in(block.value, ids, texts, min_words)
-                        ids, texts, size = [], [], 0
-                yield from found_in(block.value, ids, texts, min_words)
+            for batch in slices(batches, 1):
+                yield from found_in(block.value, batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), min_words)
 
         part = rows.mapInArrow(run, "id long, item_id long, doc_start long, item_start long, length long, matches long")
         out = part if out is None else out.unionAll(part)
@@ -143,11 +152,8 @@ def found_in(block: Block, ids: list, texts: list[np.ndarray], min_words: int) -
         return
     hashes = np.concatenate(texts)
     first = np.cumsum([0, *map(len, texts)])
-    at, item, item_at = block.hits(hashes)
-    doc = np.searchsorted(first, at, side="right") - 1
-    diagonals = np.unique(np.stack((doc, item.astype(np.int64), at - first[doc] - item_at.astype(np.int64)), axis=1), axis=0)
     rows = []
-    for d, n, shift in diagonals.tolist():
+    for d, n, shift in block.diagonals(hashes, first).tolist():
         name, words = block.items[n]
         low, high = max(0, -shift), min(len(words), len(texts[d]) - shift)
         if high <= low:

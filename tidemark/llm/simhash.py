@@ -18,8 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import drop, materialise
 from tidemark.llm.graph import connected_components
+from tidemark.llm.words import MULTIPLIER, mix, plain_hashes, slices
 
 SEED = 42
 TILE = 1 << 16
@@ -59,14 +60,11 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """(id, fp) for each row of df; fp is the 64-bit fingerprint as a signed long, 0 for null, empty and blank texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                lists = [shingle_hashes(x.as_py(), shingle) for x in part.column(1)]
-                counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-                hashes = np.fromiter((h for x in lists for h in x), dtype=np.uint64, count=int(counts.sum()))
-                prints = bit_majority(hashes, np.cumsum(counts) - counts, counts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        for part in slices(batches, 1):
+            lists = [np.array(shingle_hashes(x.as_py(), shingle), dtype=np.uint64) for x in part.column(1)]
+            counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+            prints = bit_majority(np.concatenate(lists), np.cumsum(counts) - counts, counts)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, fp long")
@@ -162,21 +160,55 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     component; a component of null ids alone has a null component_id. Repeated rows stay, other columns are dropped.
     """
     prints = materialise(fingerprint(df, id_col, text_col, shingle), "prints")
+    named = materialise(component_names(prints, radius, tile), "named")  # a scan, so that Spark can split the join where one fingerprint has many rows
+    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def component_names(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of prints (id, fp): the smallest id that links within the radius reach."""
     distinct = prints.groupBy("fp").agg(F.min("id").alias("least"))
     members = connected_components(links(distinct, radius, tile))
-    rooted = distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("child"))
+    rooted = distinct.join(members, distinct["fp"] == members["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     heads = members.select("root").distinct()
     linked = rooted.join(heads, "root", "left_semi")
     names = linked.groupBy("root").agg(F.min("least").alias("component"))
     named = linked.join(names, "root").select(F.col("fp").alias("fp2"), "component")
-    named = distinct.join(named, distinct["fp"] == named["fp2"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    named = materialise(named, "named")  # a scan, so that Spark can split the join where one fingerprint has many rows
-    return prints.join(named, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return distinct.join(named, distinct["fp"] == named["fp2"], "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+
+
+def shingle_runs(texts: list[str | None], shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of each text, 64-bit hashes of all in a row), repeats included; a shorter text is one shingle, if it has words."""
+    counts, words = plain_hashes(texts)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    powers = [np.uint64(pow(MULTIPLIER, j + 1, 1 << 64)) for j in range(shingle)]
+    size = max(0, len(words) - shingle + 1)
+    grams = np.zeros(size, dtype=np.uint64)
+    for j, power in enumerate(powers):
+        grams += words[j : j + size] * power
+    whole = owner[:size] == owner[shingle - 1 :] if size else np.zeros(0, dtype=bool)
+    found, of = grams[whole], owner[:size][whole]
+    first = np.cumsum(counts) - counts
+    short = np.flatnonzero((counts > 0) & (counts < shingle))
+    if len(short):
+        rest = np.array([sum(int(words[first[n] + j]) * int(powers[j]) for j in range(counts[n])) + int(counts[n]) & (1 << 64) - 1 for n in short.tolist()], dtype=np.uint64)
+        found, of = np.concatenate((found, rest)), np.concatenate((of, short))
+        order = np.argsort(of, kind="stable")
+        found, of = found[order], of[order]
+    return np.bincount(of, minlength=len(counts)), mix(found)
+
+
+def shingle_sets(texts: list[str | None], shingle: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct shingles of each text as sorted 32-bit hashes, and the texts' 64-bit fingerprints."""
+    counts, runs = shingle_runs(texts, shingle)
+    prints = bit_majority(runs, np.cumsum(counts) - counts, counts)
+    key = np.unique((np.repeat(np.arange(len(counts), dtype=np.uint64), counts) << np.uint64(32)) | (runs >> np.uint64(32)))
+    ends = np.searchsorted(key, np.arange(1, len(counts), dtype=np.uint64) << np.uint64(32))
+    return np.split(key.astype(np.uint32), ends) if len(counts) else [], prints
 
 
 def shingle_set(text: str | None, shingle: int) -> bytes:
     """The distinct shingles of a text as sorted 32-bit hashes."""
-    return np.unique(np.array(shingle_hashes(text, shingle), dtype=np.uint64).astype(np.uint32)).tobytes()
+    return shingle_sets([text], shingle)[0][0].tobytes()
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -190,9 +222,8 @@ def rarest(df: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles, counts) of what about SAMPLE rows of df share: an order for prefixes, right whatever the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(1):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(shingle_set(text.as_py(), shingle), dtype=np.int32))], names=["token"])
+        for part in slices(batches, 1):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part.column(1).to_pylist(), shingle)[0]).view(np.int32))], names=["token"])
 
     share = max(1, df.count() // SAMPLE)
     some = df.filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0)
@@ -221,47 +252,54 @@ def independent(edges: DataFrame) -> DataFrame:
     return gone
 
 
-def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, radius: int = 6) -> DataFrame:
     """(id): the ids of df that go if, least id first, each stays whose shingles are like those of none that stays.
 
-    Alike are sets with a Jaccard similarity of `similarity` or more, and every such pair is found: two of them share one
-    of the first shingles of each in an order of all shingles, rare ones first. Equal sets count once. While that helps,
-    each shingle's least id is compared with the others that have it, so that large groups go without a pair for any two
-    of their members; what is left is joined on shingles, by size and position, and each pair confirmed. Rows with null
-    ids and texts without words are left out; rows that share an id count as one of their texts.
+    Alike are sets with a Jaccard similarity of `similarity` or more, and every such pair is found. Equal sets count once.
+    Fingerprints of the shingles within `radius` bits form components; the members of each are compared with its least id,
+    where that surely stays, so a large group of near copies goes without a pair for any two of its members. An exact
+    search finds what fingerprints miss: two sets that are alike share one of the first shingles of each in an order of
+    all shingles, rare ones first. While that helps, each shingle's least id is compared with the others that have it;
+    what is left is joined on shingles, by size and position, and each pair confirmed. Rows with null ids and texts
+    without words are left out; rows that share an id count as one of their texts. Texts of any length are taken whole; an
+    empty table gives no ids; columns of df other than these two play no part.
     """
     spark = df.sparkSession
+    scratch: list[DataFrame] = []
+
+    def keep(frame: DataFrame, name: str) -> DataFrame:
+        scratch.append(materialise(frame, name))
+        return scratch[-1]
+
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     order = spark.sparkContext.broadcast(rarest(rows, shingle))
     least = lambda n: math.ceil(similarity * n - 1e-9)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                sets = [np.frombuffer(shingle_set(t.as_py(), shingle), dtype=np.uint32) for t in part.column(1)]
-                firsts = [prefix(x, len(x) - least(len(x)) + 1, *order.value).view(np.int32) if len(x) else x.view(np.int32) for x in sets]
-                sums = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sums, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(firsts, pa.list_(pa.int32()))], names=["id", "digest", "size", "first"])
-
-    every = materialise(rows.mapInArrow(start, "id long, digest long, size long, first array<int>").filter("size > 0"), "prefixes")
+        for part in slices(batches, 1):
+            sets, prints = shingle_sets(part.column(1).to_pylist(), shingle)
+            firsts = [prefix(x, len(x) - least(len(x)) + 1, *order.value).view(np.int32) if len(x) else x.view(np.int32) for x in sets]
+            sums = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
+            columns = [part.column(0), pa.array(sums, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints.view(np.int64)), pa.array(firsts, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "size", "fp", "first"])
+
+    every = keep(rows.mapInArrow(start, "id long, digest long, size long, fp long, first array<int>").filter("size > 0"), "prefixes")
     named = every.groupBy("id").agg(F.min(F.struct("digest", "size")).alias("set")).select("id", "set.*")
-    firsts = materialise(named.groupBy("digest", "size").agg(F.min("id").alias("id")), "firsts")
+    firsts = keep(named.groupBy("digest", "size").agg(F.min("id").alias("id")), "firsts")
     gone = named.select("id").join(firsts.select("id"), "id", "left_anti")
-    tokens = every.join(firsts, ["id", "digest", "size"]).dropDuplicates(["id"]).select("id", "size", F.posexplode("first").alias("at", "token"))
+    chosen = every.join(firsts, ["id", "digest", "size"]).dropDuplicates(["id"])
+    tokens = chosen.select("id", "size", F.posexplode("first").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
-    tokens = materialise(tokens.join(shared, "token").select("id", "size", "at", "token"), "tokens")
+    tokens = keep(tokens.join(shared, "token").select("id", "size", "at", "token"), "tokens")
+    wanted = tokens.select("id").distinct()
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                sets = [shingle_set(t.as_py(), shingle) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
+        for part in slices(batches, 1):
+            sets = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), shingle)[0]]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
 
-    wanted = tokens.select("id").distinct()
     texts = rows.join(wanted, "id", "left_semi").mapInArrow(collect, "id long, digest long, shingles binary")
-    sets = materialise(texts.join(firsts.select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "sets")
+    sets = keep(texts.join(firsts.select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,17 +309,24 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def confirm(pairs: DataFrame) -> DataFrame:
         side = lambda name, content: sets.select(F.col("id").alias(name), F.col("shingles").alias(content))
         met = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-        return materialise(met.mapInArrow(compare, "u long, v long"), "confirmed")
-
-    left = wanted.count()
+        return keep(met.mapInArrow(compare, "u long, v long"), "confirmed")
+
+    prints = keep(chosen.select("id", "fp").join(wanted, "id", "left_semi"), "prints")
+    linked = prints.join(keep(component_names(prints, radius), "named"), "fp").filter("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v"))
+    least_of = tokens.groupBy("token").agg(F.min("id").alias("u"))
+    later = tokens.join(least_of, "token").filter("u < id").select(F.col("id").alias("u")).distinct()
+    out = confirm(linked.join(later, "u", "left_anti")).select(F.col("v").alias("id")).distinct()
+    gone = gone.unionAll(out)
+    tokens = keep(tokens.join(out, "id", "left_anti"), "tokens")
+    left = tokens.select("id").distinct().count()
     while left:
         heads = tokens.groupBy("token").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        near = materialise(tokens.join(heads, "token").filter("id <> u").select("u", F.col("id").alias("v")).distinct(), "near")
+        near = keep(tokens.join(heads, "token").filter("id <> u").select("u", F.col("id").alias("v")).distinct(), "near")
         first = near.select("u").join(near.select(F.col("v").alias("u")), "u", "left_anti").distinct()
         out = confirm(near.join(first, "u")).select(F.col("v").alias("id")).distinct()
         gone = gone.unionAll(out)
         settled = out.unionAll(first.select(F.col("u").alias("id")))
-        tokens = materialise(tokens.join(settled, "id", "left_anti"), "tokens")
+        tokens = keep(tokens.join(settled, "id", "left_anti"), "tokens")
         went = out.count()
         if 20 * went < left:
             break
@@ -290,7 +335,10 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     enough = (F.col("asize") + F.col("bsize")) * (similarity / (1 + similarity)) - 1e-6
     fits = F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat")) >= enough
     pairs = a.join(b, "token").filter((F.col("aid") < F.col("bid")) & fits).select(F.col("aid").alias("u"), F.col("bid").alias("v")).distinct()
-    return gone.unionAll(independent(confirm(materialise(pairs, "pairs"))))
+    found = materialise(gone.unionAll(independent(confirm(keep(pairs, "pairs")))), "gone")
+    for table in scratch:
+        drop(table)
+    return found
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

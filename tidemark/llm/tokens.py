@@ -16,17 +16,34 @@ import regex
 PLAIN = regex.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile("[\t\n\r ]")
-STEP, MEMO = 1 << 20, 600_000
+STEP = 1 << 20
+#: What a vocabulary remembers: twice as many pieces at most, and as many characters.
+MEMO, MEMO_SIZE = 300_000, 4 << 20
 
 
 def once(key: tuple, make: Callable[[], Any]) -> Any:
-    """make()'s result, kept for later tasks of the same Python worker."""
+    """make()'s result, kept for later tasks of the same Python worker; for what has a fixed size."""
     kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__
     if key not in kept:
         kept[key] = make()
     return kept[key]
 
 
+class Memo:
+    """text -> bytes; keeps what was used of late, MEMO entries and MEMO_SIZE characters in each of two generations."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
+
+    def add(self, found: dict[str, bytes]) -> None:
+        self.new.update(found)
+        self.size += sum(map(len, found))
+        if len(self.new) > MEMO or self.size > MEMO_SIZE:
+            self.old, self.new, self.size = self.new, {}, 0
+
+
 class WordTokens:
     """Ids of a lower-case word vocabulary; what stands between white space is encoded once and remembered.
 
@@ -38,41 +55,64 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
+        self.tokenizer, self.memo = Tokenizer.from_file(path), Memo()
         self.bare = Tokenizer.from_file(path)  # for pieces that are normalised and cut already
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def ids(self, text: str) -> bytes:
         """uint32 ids of a text."""
-        if "<|" in text or not PLAIN.fullmatch(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        out, start = [], 0
-        while start < len(text):
-            end = len(text)
-            if end - start > STEP:  # long texts go in parts, cut after white space
-                space = SPACE.search(text, start + STEP)
-                end = space.end() if space else end
-            out.append(self._parts(text[start:end].lower().split()))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        """uint32 ids of each of some texts of about a megabyte; a longer text goes in parts, cut after white space."""
+        out: list[list[bytes]] = [[] for _ in texts]
+        parts: list[str] = []
+        ends: list[tuple[int, int]] = []
+        for n, text in enumerate(texts):
+            if "<|" in text or not PLAIN.fullmatch(text):
+                out[n].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
+                continue
+            start = 0
+            while start < len(text):
+                space = SPACE.search(text, start + STEP) if len(text) - start > STEP else None
+                end = space.end() if space else len(text)
+                parts += text[start:end].lower().split()
+                ends.append((n, len(parts)))
+                start = end
+                if end < len(text):
+                    self._spell(parts, ends, out)
+                    parts, ends = [], []
+        self._spell(parts, ends, out)
+        return [b"".join(x) for x in out]
+
+    def _spell(self, parts: list[str], ends: list[tuple[int, int]], out: list[list[bytes]]) -> None:
+        codes = list(map(self.memo.new.get, parts))
+        if None in codes:
+            found = self._learn({p for p, code in zip(parts, codes) if code is None})
+            codes = [found[p] if code is None else code for p, code in zip(parts, codes)]
+        start = 0
+        for n, end in ends:
+            out[n].append(b"".join(codes[start:end]))
             start = end
-        return b"".join(out)
-
-    def _parts(self, parts: list[str]) -> bytes:
-        memo = self.memo
-        if new := set(parts).difference(memo):
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = set(parts)
-            pieces = {part: PIECES.findall(part) for part in new}
-            fresh = list({x for p in pieces.values() for x in p}.difference(memo))
+
+    def _learn(self, parts: set[str]) -> dict[str, bytes]:
+        """The codes of parts, which the memo takes."""
+        old, new = self.memo.old, self.memo.new
+        found = {p: old[p] for p in parts if p in old}
+        compound = {p: own for p in parts.difference(found) if not p.isalpha() and (own := PIECES.findall(p)) != [p]}
+        wanted = {x for own in compound.values() for x in own}
+        known = {x: code for x in wanted if (code := new.get(x) or old.get(x)) is not None}
+        fresh = list((parts | wanted).difference(compound, found, known))
+        if fresh:
             code = self.bare.encode(fresh, is_pretokenized=True, add_special_tokens=False)
             cuts = (4 * np.searchsorted(np.array(code.word_ids, dtype=np.int64), np.arange(len(fresh) + 1))).tolist()
             ids = np.array(code.ids, dtype="<u4").tobytes()
-            memo.update(zip(fresh, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
-            for part, own in pieces.items():
-                if len(own) != 1:
-                    memo[part] = b"".join([memo[x] for x in own])
-        return b"".join(map(memo.__getitem__, parts))
+            found.update(zip(fresh, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
+        known |= found
+        found.update((part, b"".join(map(known.__getitem__, own))) for part, own in compound.items())
+        self.memo.add(found)
+        return found
 
 
 class ByteTokens:

@@ -14,13 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from tidemark.llm.tokens import once
-from tidemark.llm.words import Numbers, folded, numbers
+from tidemark.llm.words import Numbers, folded, folded_hashes, hash_word, slices
 
 #: Function words that tell languages apart.
 LANGUAGES = {
@@ -33,22 +32,37 @@ BUCKETS, WIDTHS, DIM, FILTERS = 1 << 16, (1, 2, 3), 12, 8
 STEPS, BATCH, RATE = 600, 48, 0.02
 MAX_ROWS = 3_000
 THRESHOLD = 0.7
-BATCH_WORDS, PART = 1 << 16, 1 << 16
+BATCH_WORDS, PART = 1 << 16, 1 << 16  # words in one run of the network; of a text in one part
 PAD, BLANK = -1, -2
 
 
+def flags() -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the function words, sorted, and for each a bit for every language that has it, from bit 48."""
+    words = {w: sum((w in own) << 48 + n for n, own in enumerate(LANGUAGES.values())) for own in LANGUAGES.values() for w in own}
+    keys = {hash_word(w): bits for w, bits in words.items()}
+    return np.array(sorted(keys), dtype=np.uint64), np.array([keys[k] for k in sorted(keys)], dtype=np.int64)
+
+
+def packed_texts(texts: list[str | None]) -> list[np.ndarray]:
+    """A code for each word of each text: three 16-bit buckets (of the word, its first four and its first five letters) and
+    the flags of the languages whose function word it is; a text without words is one BLANK."""
+    counts, (whole, four, five) = folded_hashes(texts, (4, 5))
+    keys, bits = once(("toxicity", "flags"), flags)
+    at = np.minimum(np.searchsorted(keys, whole), len(keys) - 1)
+    codes = np.where(keys[at] == whole, bits[at], 0)
+    for n, own in enumerate((whole, four * np.uint64(3), five * np.uint64(5))):
+        codes |= (own >> np.uint64(48)).astype(np.int64) % BUCKETS << 16 * n
+    blank = np.array([BLANK], dtype=np.int64)
+    return [part if len(part) else blank for part in np.split(codes, np.cumsum(counts)[:-1])] if len(texts) else []
+
+
 def pack_word(word: str) -> int:
-    """Three 16-bit buckets and, from bit 48, a flag for each language whose function word it is."""
-    code = 0
-    for n, part in enumerate((word, word[:4] + "-", word[:5] + "--")):
-        code |= (xxhash.xxh64_intdigest(part.encode("utf-8", "surrogatepass"), n) % BUCKETS) << 16 * n
-    for n, words in enumerate(LANGUAGES.values()):
-        code |= (word in words) << 48 + n
-    return code
+    return int(packed_texts([word])[0][0])
 
 
 def packed(text: str | None, memo: Numbers) -> np.ndarray:
-    found = numbers(folded(text), memo, np.int64)
+    """packed_texts() for one text, word by word."""
+    found = np.array([memo[w] for w in folded(text)], dtype=np.int64)
     return found if len(found) else np.array([BLANK], dtype=np.int64)
 
 
@@ -180,16 +194,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Rows with a null id, label or text and repeated labels are left out.
     """
-    memo = Numbers(pack_word)
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     chosen = [usable.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * max_rows rows at most
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = once(("toxicity", "words"), lambda: Numbers(pack_word))
-        for batch in batches:
-            codes = [packed(t.as_py(), memo).tobytes() for t in batch.column("text")]
+        for batch in slices(batches, "text"):
+            codes = [c.tobytes() for c in packed_texts(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label").cast(pa.int32()), pa.array(codes, pa.binary())], names=["id", "label", "codes"])
 
     found = rows.mapInArrow(run, "id long, label int, codes binary").toArrow()
@@ -208,17 +220,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     schema = docs.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, own = once(("toxicity", "words"), lambda: Numbers(pack_word)), shared.value
-        for batch in batches:
-            texts, scores, size = [], [], 0
-            for n, text in enumerate(batch.column(text_col)):
-                texts.append(packed(text.as_py(), memo))
-                size += len(texts[-1])
-                if size >= BATCH_WORDS or n == batch.num_rows - 1:
-                    scores.append(own.score(long_forward(own, texts), np.array([language(t) for t in texts])))
-                    texts, size = [], 0
-            if scores:
-                values = np.concatenate(scores).astype(np.float64)
+        own = shared.value
+        for batch in slices(batches, text_col):
+            texts = packed_texts(batch.column(text_col).to_pylist())
+            if texts:
+                values = own.score(long_forward(own, texts), np.array([language(t) for t in texts])).astype(np.float64)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))], names=[*kept, "score", "predicted"])
 
     return docs.select(*kept).mapInArrow(run, schema.add("score", DoubleType()).add("predicted", IntegerType()))
@@ -234,7 +240,7 @@ def long_forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     tops, low = [], 0
     while low < len(parts):
         high, size = low, 0
-        while high < len(parts) and (high == low or size + len(parts[high][0]) <= 2 * BATCH_WORDS):
+        while high < len(parts) and (high == low or size + len(parts[high][0]) <= BATCH_WORDS):
             size += len(parts[high][0])
             high += 1
         codes, starts = lay_out([t for t, _ in parts[low:high]])
