@@ -9,6 +9,7 @@ from tidemark.functions.timex import clock, london_date
 
 HISTORY, ZERO_AVERAGE, DROP_HISTORY, DROP_AVERAGE, DROP_SHARE = 5, 2, 3, 5, 0.4
 JUMP_POINTS, JUMP_HISTORY, JUMP_KEPT = 30, 3, 5
+SAME_DATE, EXAMPLES = 5, 5
 
 
 def with_history(runs: DataFrame) -> DataFrame:
@@ -61,6 +62,22 @@ def duplicate_titles(df: DataFrame) -> DataFrame:
     return df.groupBy("title", london_date(F.col("starts_at")).alias("day")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def same_date(df: DataFrame, key: str) -> DataFrame:
+    """(key, kept) of groups of SAME_DATE events or more that all start on one London day."""
+    day = london_date(F.col("starts_at"))
+    days = df.groupBy(key).agg(F.count(F.lit(1)).alias("kept"), F.min(day).alias("_first"), F.max(day).alias("_last"))
+    return days.filter((F.col("kept") >= SAME_DATE) & (F.col("_first") == F.col("_last"))).select(key, "kept")
+
+
+def finding_examples(df: DataFrame, rule: Column, order: str, most: int = EXAMPLES) -> DataFrame:
+    """(affected, examples) of the rows that break a rule: their number, and of the first by `order` id, title and London
+    start and end. One row; only `most` rows are ever gathered."""
+    hits = df.filter(rule)
+    when = lambda c: F.date_format(london(F.col(c)), "yyyy-MM-dd HH:mm")
+    first = hits.orderBy(order).limit(most).agg(F.array_sort(F.collect_list(F.struct(order, "title", when("starts_at").alias("starts_at"), when("ends_at").alias("ends_at")))).alias("examples"))
+    return hits.agg(F.count(F.lit(1)).alias("affected")).crossJoin(first)  # one row each
+
+
 def missing_jump(df: DataFrame, share: str) -> DataFrame:
     """Add jump: a run with enough kept lies 30 points or more above the mean of the last five runs."""
     order = Window.partitionBy("source_id").orderBy("run_day").rowsBetween(-HISTORY, -1)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -99,27 +100,42 @@ def stem(word: str) -> str:
     return word.replace("Y", "y")
 
 
-def lexemes(text: str) -> list[str]:
-    return [stem(w) for w in re.findall("[a-z0-9]+", text) if w not in STOP]
+def lexemes(text: str) -> list[tuple[str, int]]:
+    """(stem, position) of the words of a folded text; stop words take a position, from 1 on, but are no lexemes."""
+    return [(stem(w), n) for n, w in enumerate(re.findall("[a-z0-9]+", text), 1) if w not in STOP]
 
 
 def index(df: DataFrame, id_col: str, weighted: dict[str, Column]) -> DataFrame:
-    """(id, lexeme, weight, position) of folded texts by weight class; a row per occurrence, to be stored by lexeme."""
+    """(id, lexeme, weight, position): a row per occurrence in folded texts by weight class, to be stored by lexeme.
+
+    Positions run on from one class to the next, after the last lexeme before. A null text has no words.
+    """
     schema = f"{id_col} {dict(df.dtypes)[id_col]}, lexeme string, weight string, position int"
     classes = list(weighted)
     folded = df.select(id_col, *[search_fold(F.coalesce(c, F.lit(""))).alias(w) for w, c in weighted.items()])
 
+    def rows_of(i: object, texts: tuple[str, ...]) -> Iterator[tuple]:
+        base = 0
+        for w, text in zip(classes, texts):
+            found = lexemes(text)
+            yield from ((i, x, w, base + n) for x, n in found)
+            base += found[-1][1] if found else 0
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(i, x, w, n) for w in classes for i, text in zip(frame[id_col], frame[w]) for n, x in enumerate(lexemes(text))]
+            rows = [r for i, *texts in frame[[id_col, *classes]].itertuples(index=False) for r in rows_of(i, texts)]
             yield pd.DataFrame(rows, columns=[id_col, "lexeme", "weight", "position"])
 
     return folded.mapInPandas(run, schema)
 
 
-def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
-    """Alternatives of conjunctions of (negated, lexemes in a row): quotes, `or`, `-word`, else all words."""
-    out: list[list[tuple[bool, list[str]]]] = [[]]
+Term = tuple[bool, list[tuple[str, int]]]
+
+
+def parse_websearch(query: str) -> list[list[Term]]:
+    """Alternatives of conjunctions of (negated, lexemes with their distances from the first): quotes, `or`, `-word`, else
+    all words. Stop words within quotes count as distance."""
+    out: list[list[Term]] = [[]]
     for minus, quoted, word in re.findall(r'(-?)"([^"]*)"|(\S+)', query[:MOST_CHARS]):
         if word.lower() == "or":
             out.append([])
@@ -127,20 +143,24 @@ def parse_websearch(query: str) -> list[list[tuple[bool, list[str]]]]:
         negated = minus == "-" or (word.startswith("-") and len(word) > 1)
         found = lexemes(quoted.lower() if quoted else word.lstrip("-").lower())
         if found:
-            out[-1].append((negated, found))
+            out[-1].append((negated, [(x, n - found[0][1]) for x, n in found]))
     return [a for a in out if a]
 
 
-def websearch(index_rows: DataFrame, id_col: str, query: str) -> DataFrame:
-    """Ids that the query finds; only the rows of the query's lexemes are read."""
+def websearch(index_rows: DataFrame, id_col: str, query: str, ids: DataFrame | None = None) -> DataFrame:
+    """Ids that the query finds; only the rows of the query's lexemes are read.
+
+    What only negates (`-word`) finds all other rows, so that it needs `ids`, a table with all of them; those of the index
+    are taken where it is left out. A query without lexemes finds nothing.
+    """
     alternatives = parse_websearch(query)
-    wanted = {x for a in alternatives for _, words in a for x in words}
-    lists = index_rows.filter(F.col("lexeme").isin(list(wanted) or [""])).groupBy(id_col).agg(F.collect_set(F.struct("lexeme", "weight", "position")).alias("hits"))
+    wanted = sorted({x for a in alternatives for _, words in a for x, _ in words})
+    lists = index_rows.filter(F.col("lexeme").isin(wanted or [""])).groupBy(id_col).agg(F.collect_set(F.struct("lexeme", "position")).alias("hits"))
 
-    def row(words: list[str]) -> Column:
-        starts = F.filter("hits", lambda h: h["lexeme"] == words[0])
-        follows = lambda h: F.forall(F.array(*[F.struct(F.lit(w).alias("lexeme"), F.lit(n).alias("after")) for n, w in enumerate(words)]), lambda w: F.exists("hits", lambda x: (x["lexeme"] == w["lexeme"]) & (x["weight"] == h["weight"]) & (x["position"] == h["position"] + w["after"])))
-        return F.exists(starts, follows)
+    def row(words: list[tuple[str, int]]) -> Column:
+        starts = F.filter("hits", lambda h: h["lexeme"] == words[0][0])
+        at = lambda h: [F.array_contains("hits", F.struct(F.lit(w).alias("lexeme"), (h["position"] + n).alias("position"))) for w, n in words[1:]]
+        return F.exists(starts, lambda h: reduce(lambda x, y: x & y, at(h), F.lit(True)))
 
     test = F.lit(False)
     for alternative in alternatives:
@@ -148,6 +168,9 @@ def websearch(index_rows: DataFrame, id_col: str, query: str) -> DataFrame:
         for negated, words in alternative:
             ok = ok & (~row(words) if negated else row(words))
         test = test | ok
+    if any(all(negated for negated, _ in a) for a in alternatives):  # rows without any of the lexemes may pass
+        every = (index_rows if ids is None else ids).select(id_col).distinct()
+        lists = every.join(lists, id_col, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<struct<lexeme:string,position:int>>")))
     return lists.filter(test).select(id_col)
 
 
@@ -237,9 +260,28 @@ def corrections(words: list[str], known: DataFrame) -> DataFrame:
 
 
 def rank(index_rows: DataFrame, id_col: str, query: str) -> DataFrame:
-    """(id, rank): each lexeme of the query adds its best weight, halved by each further occurrence's place."""
-    wanted = sorted({x for a in parse_websearch(query) for negated, words in a if not negated for x in words})
+    """(id, rank) by the published rules of PostgreSQL's ts_rank, for rows with a lexeme of the query.
+
+    One conjunction or phrase: each two occurrences of different lexemes add the root of their weights' product times a
+    factor that falls with their distance, as probabilities are joined. Else each lexeme adds its weights, divided by the
+    square of their place, the greatest at full weight, over the number of lexemes.
+    """
+    alternatives = parse_websearch(query)
+    wanted = sorted({x for a in alternatives for _, words in a for x, _ in words})
+    joined = len(alternatives) == 1 and (len(alternatives[0]) > 1 or len(alternatives[0][0][1]) > 1) and len(wanted) > 1
     weight = F.create_map(*[F.lit(x) for pair in WEIGHTS.items() for x in pair])
-    hits = index_rows.filter(F.col("lexeme").isin(wanted or [""])).groupBy(id_col, "lexeme").agg(F.sort_array(F.collect_list(weight[F.col("weight")]), asc=False).alias("w"))
-    value = F.aggregate(F.transform("w", lambda x, i: x / F.pow(F.lit(2.0), i * 2)), F.lit(0.0), lambda s, x: s + x)
-    return hits.groupBy(id_col).agg((F.sum(value) / max(1, len(wanted))).alias("rank"))
+    hits = index_rows.filter(F.col("lexeme").isin(wanted or [""])).groupBy(id_col, "lexeme").agg(F.array_sort(F.collect_set(F.struct("position", weight[F.col("weight")].alias("w")))).alias("at"))
+    if not joined:
+        shares = F.transform("at", lambda x, i: x["w"] / ((i + 1) * (i + 1)))
+        most = F.array_max(F.transform("at", lambda x: x["w"]))
+        place = F.array_position(F.transform("at", lambda x: x["w"]), most)
+        value = (most + F.aggregate(shares, F.lit(0.0), lambda s, x: s + x) - most / (place * place)) / 1.64493406685
+        return hits.groupBy(id_col).agg((F.sum(value) / max(1, len(wanted))).alias("rank"))
+    every = hits.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "at"))).alias("of"))
+    far = lambda d: F.when(d > 100, F.lit(1e-30)).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+    own = lambda x: F.coalesce(F.element_at("of", F.lit(x)), F.array().cast("array<struct<position:int,w:double>>"))
+    meet = lambda p, q: F.sqrt(p["w"] * q["w"] * far(F.abs(p["position"] - q["position"])))
+    every_pair = lambda x, y: F.flatten(F.transform(own(x), lambda p: F.transform(own(y), lambda q: meet(p, q))))
+    values = F.concat(*[every_pair(x, y) for n, x in enumerate(wanted) for y in wanted[:n]])
+    value = F.when(F.size(values) == 0, F.lit(1e-20)).otherwise(1 - F.aggregate(values, F.lit(1.0), lambda s, x: s * (1 - x)))
+    return every.select(id_col, value.alias("rank"))

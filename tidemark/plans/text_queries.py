@@ -353,25 +353,51 @@ def indexed(spark, sf):
     return search.index(titles(spark, sf), "id", {"A": F.col("title"), "B": F.col("venue"), "C": F.col("p_type")})
 
 
-@add("search_index")
+#: The stems of the tables' words that differ from them, and which of their words are stop words.
+STEMS = [("exhibition", "exhibit"), ("large", "larg"), ("conversation", "convers"), ("gallery", "galleri"), ("community", "communiti"), ("library", "librari"), ("economy", "economi"), ("strasse", "strass")]
+STOPS = ["the", "in", "s"]
+_CLASSES = " UNION ALL ".join(f"SELECT id, '{w}' AS weight, coalesce({FOLD.replace('title', c)}, '') AS t FROM titles" for w, c in (("A", "title"), ("B", "venue"), ("C", "p_type")))
+INDEX = f"""wl AS (SELECT id, weight, list_filter(string_split_regex(t, '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM ({_CLASSES})),
+    un AS (SELECT id, weight, unnest(ws) AS w, generate_subscripts(ws, 1) AS n FROM wl),
+    stemmed AS (SELECT id, weight, coalesce(stem, w) AS lexeme, n FROM un LEFT JOIN (VALUES {", ".join(f"('{a}', '{b}')" for a, b in STEMS)}) x(word, stem) ON w = word WHERE NOT list_contains({sql_list(STOPS)}, w)),
+    ends AS (SELECT id, coalesce(max(n) FILTER (weight = 'A'), 0) AS a, coalesce(max(n) FILTER (weight = 'B'), 0) AS b FROM stemmed GROUP BY id),
+    idx AS (SELECT stemmed.id, lexeme, weight, CAST(n + CASE weight WHEN 'A' THEN 0 WHEN 'B' THEN a ELSE a + b END AS INT) AS position, CASE weight WHEN 'A' THEN 1.0 WHEN 'B' THEN 0.4 ELSE 0.2 END::DOUBLE AS share FROM stemmed JOIN ends USING (id))"""
+_HAS = lambda x: f"EXISTS (SELECT 1 FROM idx x WHERE x.id = titles.id AND x.lexeme = '{x}')"
+_PHRASE = lambda x, y: f"EXISTS (SELECT 1 FROM idx x JOIN idx y ON x.id = y.id AND y.position = x.position + 1 WHERE x.id = titles.id AND x.lexeme = '{x}' AND y.lexeme = '{y}')"
+_RANKED = lambda x, y: f"""SELECT r.id, coalesce(1 - product(1 - sqrt(a.share * b.share / (1.005 + 0.05 * exp(abs(a.position - b.position) / 1.5 - 2)))), 1e-20) AS rank
+    FROM (SELECT DISTINCT id FROM idx WHERE lexeme IN ('{x}', '{y}')) r LEFT JOIN (idx a JOIN idx b ON a.id = b.id AND a.lexeme = '{x}' AND b.lexeme = '{y}') ON r.id = a.id GROUP BY r.id"""
+
+
+@add("search_index", O.query("SELECT id, lexeme, weight, position FROM idx", TITLES, INDEX))
 def _(spark, sf):
     return indexed(spark, sf)
 
 
-@add("search_websearch")
+@add("search_websearch", O.query(f"SELECT id FROM titles WHERE ({_PHRASE('big', 'band')} AND NOT {_HAS('hot')}) OR ({_HAS('workshop')} AND {_HAS('widget')})", TITLES, INDEX))
 def _(spark, sf):
     return search.websearch(indexed(spark, sf), "id", '"big band" -hot or workshops widgets')
 
 
-@add("search_rank")
+@add("search_negation", O.query(f"SELECT id FROM titles WHERE NOT {_HAS('widget')} AND NOT {_PHRASE('red', 'bolt')}", TITLES, INDEX))
+def _(spark, sf):
+    return search.websearch(indexed(spark, sf), "id", '-widgets -"red bolts"', titles(spark, sf))
+
+
+@add("search_rank", O.query(f"SELECT id, round(rank, 6) AS rank FROM ({_RANKED('jazz', 'widget')})", TITLES, INDEX))
 def _(spark, sf):
     return search.rank(indexed(spark, sf), "id", "jazz widgets").withColumn("rank", F.round("rank", 6))
 
 
-@add("sort_relevance")
+@add("search_rank_any", O.query("SELECT id, round(sum(v) / 2, 6) AS rank FROM (SELECT id, lexeme, (max(share) + sum(share / (k * k)) - max(share) / (arg_max(k, (share, -k)) * arg_max(k, (share, -k)))) / 1.64493406685 AS v FROM (SELECT *, row_number() OVER (PARTITION BY id, lexeme ORDER BY position) AS k FROM idx WHERE lexeme IN ('galleri', 'small')) GROUP BY id, lexeme) GROUP BY id", TITLES, INDEX))
+def _(spark, sf):
+    return search.rank(indexed(spark, sf), "id", "gallery or small").withColumn("rank", F.round("rank", 6))
+
+
+@add("sort_relevance", O.query(f"SELECT id, round(rank, 6) AS rank FROM ({_RANKED('widget', 'jazz')}) ORDER BY round(rank, 6) DESC, id LIMIT 50", TITLES, INDEX))
 def _(spark, sf):
-    found = search.websearch(indexed(spark, sf), "id", "widgets or jazz").join(search.rank(indexed(spark, sf), "id", "widgets jazz"), "id")
-    return found.orderBy(F.col("rank").desc(), "id").limit(50).select("id", F.round("rank", 6).alias("rank"))
+    rows = indexed(spark, sf)
+    found = search.websearch(rows, "id", "widgets or jazz").join(search.rank(rows, "id", "widgets jazz"), "id")
+    return found.select("id", F.round("rank", 6).alias("rank")).orderBy(F.col("rank").desc(), "id").limit(50)
 
 
 # ---------------------------------------------------------------- resolution
