@@ -64,6 +64,19 @@ def call_cost(input_tokens: Column, output_tokens: Column, input_price: Column,
 FREE = ["free entry", "free admission", "free event", "free exhibition", "free installation", "free display", "free talk", "free tour", "free to attend", "free to enter", "free to visit", "entry is free", "admission is free", "free of charge"]
 
 
+def max_tokens(batch: Column) -> Column:
+    """Output tokens that a batch of so many results may use."""
+    return batch.cast("long") * 300 + 2000
+
+
+def estimate_cost(prompt_chars: Column, most_output: Column, input_price: Column, write_price: Column, output_price: Column) -> Column:
+    """Upper estimate of a call: a token for each three characters at the dearer input price, and all output used; prices
+    are for a million tokens."""
+    tokens = F.floor(prompt_chars / 3).cast("long") + 1
+    million = F.lit(1_000_000)
+    return tokens * F.greatest(input_price, write_price) / million + F.greatest(most_output, F.lit(0)) * output_price / million
+
+
 def describes_free_entry(text: Column) -> Column:
     """Prose says that entry is free and names no price; hyphens are part of words ("step-free" isn't free)."""
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}-]+", " ")), F.lit(" "))

@@ -5,8 +5,11 @@ Three foldings are kept apart: for keys (`key_words`), for search and slugs (`se
 
 from __future__ import annotations
 
+import json
+import re
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +135,65 @@ def outward_postcode(text: Column) -> Column:
     """The outward part, in capitals, of the first UK postcode written in two parts."""
     found = F.regexp_extract(text, r"(?:^|[\s,])([A-Za-z](?=[A-Za-z]{0,3}[0-9])[A-Za-z0-9]{1,3})[\s,]+[0-9][A-Za-z]{2}(?:$|[\s,])", 1)
     return F.when(found != "", F.upper(found))
+
+
+#: Phrases that name presentations away from a gallery.
+OFFSITE = ["art fair", "biennale", "biennial", "frieze", "1-54", "pad london", "armory show", "art basel", "design miami", "lapada", "tefaf", "international art exhibition", "institutional exhibition"]
+
+
+def is_offsite(text: Column) -> Column:
+    """Names a fair or the like, or a booth or stand followed by a word with a digit."""
+    lower = F.lower(text)
+    stand = lower.rlike(r"(^|[\s,|])(booth|stands?)[\s,|]+[^\s,|]*[0-9]")
+    return F.coalesce(lower.rlike("|".join(OFFSITE)) | stand, F.lit(False))
+
+
+def cut_text(text: str) -> str:
+    """excerpt() of a Python string."""
+    whole = text.strip(" ")
+    if len(whole) <= EXCERPT:
+        return whole
+    if sentence := re.match(r"(?s)(.{79,297}(?:[.!?…](?=[ \t\n\v\f\r])|[。！？]))", whole):
+        return sentence[1] + " …"
+    words = re.match(r"(?s)(.+)[ \t\n\v\f\r][^ \t\n\v\f\r]*$", head := whole[: EXCERPT - 1])
+    return re.sub(r"[ \t\n\v\f\r,;:\-–—]+$", "", words[1] if words else head) + "…"
+
+
+def _cut_all(value: object) -> object:
+    if isinstance(value, dict):
+        return {k: _cut_all(v) for k, v in value.items()}
+    if isinstance(value, list):
+        return [_cut_all(v) for v in value]
+    return cut_text(value) if isinstance(value, str) and len(value) > EXCERPT and re.search(r"\s", value) else value
+
+
+def excerpt_raw(payload: Column) -> Column:
+    """A JSON payload whose long texts, at any depth, are cut by excerpt(); long strings without white space stay.
+
+    Payloads have no known shape, so this walks them in Python, in Arrow batches. Null and broken JSON becomes null.
+    """
+
+    @F.pandas_udf("string")
+    def run(payloads: pd.Series) -> pd.Series:
+        out = []
+        for x in payloads:
+            try:
+                out.append(None if x is None else json.dumps(_cut_all(json.loads(x)), ensure_ascii=False, separators=(",", ":")))
+            except ValueError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(payload)
+
+
+#: Public suffixes that are known where no longer list is given.
+SUFFIXES = ["com", "org", "net", "edu", "gov", "info", "io", "art", "gallery", "museum", "london", "uk", "co.uk", "org.uk", "ac.uk", "gov.uk", "eu", "de", "fr", "es", "ie", "it"]
+
+
+def registrable_domain(host: Column, suffixes: list[str] | None = None) -> Column:
+    """The label before the longest known public suffix, with it; null for a bare suffix and for hosts without a known one."""
+    labels = F.split(F.regexp_replace(F.lower(host), r"\.+$", ""), r"\.")
+    known = F.array(*map(F.lit, suffixes or SUFFIXES))
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.slice(labels, n, F.size(labels)), "."))
+    first = F.array_position(F.transform(ends, lambda e: F.array_contains(known, e)), True)
+    return F.when(first > 1, F.get(ends, (first - 2).cast("int")))

@@ -72,6 +72,41 @@ def weekdays_between(first: Column, last: Column, weekdays: Column) -> Column:
     return F.when(F.size(days) >= 2, days)
 
 
+#: Weekdays in full, from Monday on.
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
+def weekly_days(text: Column, first: Column, last: Column) -> Column:
+    """"every Saturday": each such day from first to last; null without the phrase or with fewer than two days."""
+    lower = F.lower(text)
+    number = F.coalesce(*[F.when(F.contains(lower, F.lit(f"every {day}")), n) for n, day in enumerate(WEEKDAYS, 1)])
+    return F.when(number.isNotNull(), weekdays_between(first, last, F.array(number)))
+
+
+def weekday_range_days(text: Column, first: Column, last: Column) -> Column:
+    """"Sat 10 Oct - Sat 3 Jul": each such weekday from first to last, where both fall on it and the text names it at least
+    twice and no other weekday; else null. A weekday may be written in full or by three letters."""
+    words = F.split(F.lower(text), r"\P{L}+")
+    named = F.filter(F.transform(words, lambda w: F.coalesce(*[F.when(w.isin(day, day[:3]), n) for n, day in enumerate(WEEKDAYS, 1)])), lambda n: n.isNotNull())
+    own = iso_weekday(first)
+    fits = (F.size(named) >= 2) & F.forall(named, lambda n: n == own) & (iso_weekday(last) == own)
+    return F.when(fits, weekdays_between(first, last, F.array(own)))
+
+
+def weekend(today: Column) -> tuple[Column, Column]:
+    """First and last day of the weekend to come; on a Saturday or Sunday of this one, from today on."""
+    to_saturday = F.greatest(6 - iso_weekday(today), F.lit(0))
+    to_sunday = 7 - iso_weekday(today)
+    return F.date_add(today, to_saturday.cast("int")), F.date_add(today, to_sunday.cast("int"))
+
+
+def date_presets(today: Column) -> Column:
+    """(label, first, last) of the quick ranges; an open end is null."""
+    saturday, sunday = weekend(today)
+    rows = [("Any date", today, F.lit(None).cast("date")), ("Today", today, today), ("This weekend", saturday, sunday), ("Next 7 days", today, F.date_add(today, 6))]
+    return F.array(*[F.struct(F.lit(label).alias("label"), first.alias("first"), last.alias("last")) for label, first, last in rows])
+
+
 def set_sessions(sessions: Column) -> Column:
     """Sessions by start, one for each start, without ends that aren't after it."""
     tidy = F.transform(sessions, lambda s: F.struct(s["starts_at"].alias("starts_at"), F.when(s["ends_at"] > s["starts_at"], s["ends_at"]).alias("ends_at")))

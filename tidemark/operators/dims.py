@@ -60,3 +60,70 @@ def needs_enrichment(current: Column, gave_up: Column, page_missing: Column, has
 def embedding_text(*parts: Column) -> Column:
     """Lines of what is known of a listing; missing parts leave no line."""
     return F.concat_ws("\n", *[F.when(F.trim(p) != "", F.trim(p)) for p in parts])
+
+
+def forced_targets(listings: DataFrame, overrides: DataFrame, links: DataFrame) -> DataFrame:
+    """(source_id, listing, event): events that overrides force listings into, the oldest override first.
+
+    overrides (override, source_a, listing_a, source_b, listing_b) hold both ways: one equi-join on both directions in place
+    of a join on OR. links are (source_id, listing, event).
+    """
+    side = lambda a, b: overrides.select("override", F.col(f"source_{a}").alias("source_id"), F.col(f"listing_{a}").alias("listing"), F.col(f"source_{b}").alias("other_source"), F.col(f"listing_{b}").alias("other_listing"))
+    other = links.select(F.col("source_id").alias("other_source"), F.col("listing").alias("other_listing"), "event")
+    met = listings.select("source_id", "listing").join(side("a", "b").unionAll(side("b", "a")), ["source_id", "listing"]).join(other, ["other_source", "other_listing"])
+    return met.groupBy("source_id", "listing").agg(F.min(F.struct("override", "event")).alias("first")).select("source_id", "listing", "first.event")
+
+
+def orphans(events: DataFrame, links: DataFrame, id_col: str = "id") -> DataFrame:
+    """The events that no source lists any more, to be deleted."""
+    return events.join(links.select(id_col), id_col, "left_anti")
+
+
+def others_listing(links: DataFrame, event: str, source: str) -> DataFrame:
+    """links with others: how many other sources list the same event."""
+    counts = links.groupBy(event).agg(F.count_distinct(source).alias("_n"))
+    return links.join(counts, event).withColumn("others", F.col("_n") - 1).drop("_n")
+
+
+def venue_points(listings: DataFrame, venues: DataFrame) -> DataFrame:
+    """(id, lat, lng): own coordinates, else those of the venue with the listing's name, the lowest venue id first."""
+    known = venues.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    first = known.groupBy(F.lower("name").alias("_name")).agg(F.min(F.struct("venue_id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))).alias("_v"))
+    own = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    at = lambda c: F.when(own, F.col(c)).otherwise(F.col(f"_v._{c}")).alias(c)
+    return listings.join(first, F.lower("venue") == F.col("_name"), "left").select("id", at("lat"), at("lng"))
+
+
+def held_forms(forms: DataFrame) -> DataFrame:
+    """One row: how many suggestions and how many messages are held, from (kind, held)."""
+    of = lambda kind: F.count_if((F.col("kind") == kind) & F.col("held"))
+    return forms.agg(of("suggestion").alias("suggestions"), of("contact").alias("messages"))
+
+
+REDACTED = '{"redacted":"content policy"}'
+
+
+def enforce_policy(listings: DataFrame, links: DataFrame, sources: DataFrame, excerpt: Column) -> tuple[DataFrame, DataFrame]:
+    """Listings and links as the sources' terms allow.
+
+    listings (id, description, image_url, image_source_id, thumbnail): an image goes if its source may not store it, a
+    description if all of its sources forbid storing it, the rest is cut to `excerpt`; a thumbnail goes with its image.
+    links (id, source_id, raw): raw goes where a source restricts either. A listing without links keeps its description.
+    """
+    may = sources.select("source_id", "store_description", "store_image")
+    text = links.join(may, "source_id").groupBy("id").agg(F.bool_or("store_description").alias("_text"))
+    image = may.select(F.col("source_id").alias("image_source_id"), F.col("store_image").alias("_image"))
+    found = listings.join(text, "id", "left").join(image, "image_source_id", "left")
+    shown = F.coalesce("_image", F.lit(True))
+    kept = found.select(
+        "id", F.when(F.coalesce("_text", F.lit(True)), excerpt).alias("description"), F.when(shown, F.col("image_url")).alias("image_url"),
+        F.when(shown, F.col("image_source_id")).alias("image_source_id"), (F.col("thumbnail") & shown & F.col("image_url").isNotNull()).alias("thumbnail"),
+    )
+    free = F.col("store_description") & F.col("store_image")
+    return kept, links.join(may, "source_id").select("id", "source_id", F.when(free, F.col("raw")).otherwise(F.lit(REDACTED)).alias("raw"))
+
+
+def next_image_source(old_url: Column, old_source: Column, new_url: Column, stored_url: Column, source: Column) -> Column:
+    """Whose image a listing shows after a source sent new_url and stored_url was kept: the source's if that is new or had no owner."""
+    takes = new_url.isNotNull() & (stored_url == new_url) & (~stored_url.eqNullSafe(old_url) | old_source.isNull())
+    return F.when(takes, source).otherwise(old_source)
