@@ -22,6 +22,10 @@ SEGMENTS = {"AUTOMOBILE": "museum", "BUILDING": "commercial_gallery", "FURNITURE
 NOW, EVENTS_NOW = "1998-06-15 12:00:00", "2024-01-15 12:00:00"
 
 
+#: No listing ends later after its order's date, in days.
+LONGEST = 62
+
+
 def instant(text: str) -> Column:
     return F.lit(text).cast("timestamp")
 
@@ -47,9 +51,11 @@ def pick(values: list[str], number: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), number.cast("int"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, price_min, price_max, mediums, formats) of orders that have lines."""
+def order_lines(spark: SparkSession, sf_dir: str, orders: DataFrame | None = None) -> DataFrame:
+    """(id, title, price_min, price_max, mediums, formats) of orders that have lines; of these orders only, if given."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice")
+    if orders is not None:
+        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
     pence = F.floor(F.round(F.col("l_extendedprice") * 100) / 1000).cast("long")
     return (
@@ -58,8 +64,12 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def listings(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame:
-    """One row per listing; with lines also title, prices and tags."""
+def listings(spark: SparkSession, sf_dir: str, lines: bool = False, since: str | None = None, until: str | None = None) -> DataFrame:
+    """One row per listing; with lines also title, prices and tags.
+
+    since and until are days that the caller filters by: orders that can't overlap them are left out by their date, so that
+    lines are joined and grouped for the orders at hand only.
+    """
     o = F.col("o_orderkey")
     day = F.col("o_orderdate").cast("date").cast("timestamp")
     all_day = o % 3 == 0
@@ -69,7 +79,14 @@ def listings(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame
     many = (o % 7 == 0) & ~all_day
     session = lambda k: F.struct(utc(start + F.make_dt_interval(days=k * 7)).alias("starts_at"), utc(start + F.make_dt_interval(days=k * 7, hours=F.lit(2))).alias("ends_at"))
     sessions = F.when(many, F.transform(F.sequence(F.lit(0), (F.lit(1) + o % 5).cast("int")), session))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate")
+    date = F.col("o_orderdate")
+    if since:
+        orders = orders.filter(date >= F.date_sub(F.lit(since).cast("date"), LONGEST).cast(orders.schema["o_orderdate"].dataType))
+    if until:
+        orders = orders.filter(date < F.date_add(F.lit(until).cast("date"), 2).cast(orders.schema["o_orderdate"].dataType))
+    pruned = orders if since or until else None
+    orders = orders.withColumn("o_orderdate", date.cast("timestamp"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     kinds = F.create_map(*[F.lit(x) for pair in SEGMENTS.items() for x in pair])
@@ -90,7 +107,7 @@ def listings(spark: SparkSession, sf_dir: str, lines: bool = False) -> DataFrame
         (o % 13 == 0).alias("late_opening"), (o % 17 == 0).alias("opening_tag"), (o % 19 == 0).alias("workshop_tag"),
     )
     if lines:
-        more = order_lines(spark, sf_dir)
+        more = order_lines(spark, sf_dir, pruned)
         out = out.join(more, out["id"] == more["line_order"], "left").drop("line_order")
         out = out.withColumns({"title": F.coalesce("title", F.lit("untitled")), **{c: F.coalesce(c, F.array().cast("array<string>")) for c in ("mediums", "formats")}})
     return out

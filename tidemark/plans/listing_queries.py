@@ -16,11 +16,11 @@ WHEN = "strftime(starts_at, '%Y-%m-%d %H:%M:%S') AS starts_at"
 QUERIES, ORACLES = {}, {}
 
 
-def add(name, sql, lines=False):
-    """Register a function of the listings."""
+def add(name, sql, lines=False, since=None, until=None):
+    """Register a function of the listings, of those around the days that it filters by."""
 
     def keep(function):
-        QUERIES[name] = lambda spark, sf_dir: function(C.listings(spark, sf_dir, lines))
+        QUERIES[name] = lambda spark, sf_dir: function(C.listings(spark, sf_dir, lines, since, until))
         if sql:
             ORACLES[name] = O.listing(sql, lines)
         return function
@@ -38,7 +38,7 @@ def filters(name, test, sql, lines=False, window=True):
             df = df.filter(P.from_day(FROM) & P.to_day(TO))
         return df.filter(test()).select("id", shown(F.col("starts_at")).alias("starts_at"))
 
-    add(name, f"SELECT id, {WHEN} FROM {view} WHERE {inside} AND ({sql})", lines)(run)
+    add(name, f"SELECT id, {WHEN} FROM {view} WHERE {inside} AND ({sql})", lines, *((FROM, TO) if window else ()))(run)
 
 
 now, until = lambda: C.instant(C.NOW), lambda: C.instant("1998-06-15 20:00:00")
@@ -156,7 +156,7 @@ def sort(name, order_sql, order, columns, sql_columns, lines=False, extra=None,
         return ranking.first_rows(df.select("id", "starts_at", *columns()), 100, *order()).select("id", "position", *[c for c in sql_columns])
 
     picked = "".join(f", {c}" for c in sql_columns)
-    add(name, f"SELECT id, row_number() OVER (ORDER BY {order_sql}) AS position{picked} FROM (SELECT {prepare_sql} FROM {view} WHERE {INSIDE}) WHERE {extra_sql} ORDER BY position LIMIT 100", lines)(run)
+    add(name, f"SELECT id, row_number() OVER (ORDER BY {order_sql}) AS position{picked} FROM (SELECT {prepare_sql} FROM {view} WHERE {INSIDE}) WHERE {extra_sql} ORDER BY position LIMIT 100", lines, FROM, TO)(run)
 
 
 KM = f"round({HAVERSINE}, 6) AS km"
@@ -174,7 +174,7 @@ sort("sort_fullest", "day, gap, starts_at, id", lambda: (F.col("day"), F.col("ga
 add("richness_score", f"SELECT id, CAST({RICH} AS INT) AS score FROM full_listing", True)(lambda df: df.select("id", ranking.richness().alias("score")))
 add("fullness_score", f"SELECT id, CAST({FULL} AS INT) AS score FROM full_listing", True)(lambda df: df.select("id", ranking.fullness().alias("score")))
 AFTER = "TIMESTAMP '1998-06-18 10:00:00'"
-add("page_after_cursor", f"SELECT id, {WHEN} FROM (SELECT id, starts_at FROM listing WHERE {INSIDE} AND (starts_at > {AFTER} OR (starts_at = {AFTER} AND id > 5000)) ORDER BY listing.starts_at, id LIMIT 51)")(
+add("page_after_cursor", f"SELECT id, {WHEN} FROM (SELECT id, starts_at FROM listing WHERE {INSIDE} AND (starts_at > {AFTER} OR (starts_at = {AFTER} AND id > 5000)) ORDER BY listing.starts_at, id LIMIT 51)", False, FROM, TO)(
     lambda df: ranking.page(inside(df).select("id", "starts_at"), [("starts_at", False), ("id", False)], 50, [C.instant("1998-06-18 10:00:00"), 5000]).select("id", shown(F.col("starts_at")).alias("starts_at"))
 )
 
@@ -189,7 +189,7 @@ CHOSEN_SQL = {"good_for": "(category = 'music' OR list_has_any(good_for, ['famil
 for _name, (_column, _, _) in FACETS.items():
     _tests = " AND ".join(sql for c, sql in CHOSEN_SQL.items() if c != _column)
     _values = f"coalesce({_column}, 'unknown')" if _column in ("venue_type", "borough") else f"unnest({_column})"
-    add(f"facet_{_name}", f"SELECT value, count(*) AS n FROM (SELECT {_values} AS value FROM full_listing WHERE {INSIDE} AND {_tests}) GROUP BY 1", lines=True)(
+    add(f"facet_{_name}", f"SELECT value, count(*) AS n FROM (SELECT {_values} AS value FROM full_listing WHERE {INSIDE} AND {_tests}) GROUP BY 1", True, FROM, TO)(
         lambda df, column=_column: facets.facet(inside(df), column, {c: t() for c, t in CHOSEN.items()})
     )
 
@@ -212,9 +212,9 @@ def counts_sql(tests, where):
     return f"SELECT {', '.join(f'count(*) FILTER (WHERE {t}) AS {n}' for n, t in tests.items())} FROM full_listing WHERE {where}"
 
 
-add("listing_counts", counts_sql(COUNTS_SQL, INSIDE), lines=True)(listing_counts)
+add("listing_counts", counts_sql(COUNTS_SQL, INSIDE), True, FROM, TO)(listing_counts)
 PICKS_SQL = {"tonight": TONIGHT, "openings": OPENINGS, "last_chance": LAST_CHANCE, "hands_on": HANDS_ON, "open_now": OPEN_NOW, "free": "is_free", "weekend": WEEKEND, "music": "category = 'music'", "all_upcoming": "true"}
-add("quick_pick_counts", counts_sql(PICKS_SQL, f"{O.END} >= {W0}"), lines=True)(
+add("quick_pick_counts", counts_sql(PICKS_SQL, f"{O.END} >= {W0}"), True, FROM)(
     lambda df: facets.conditional_counts(
         df.filter(P.from_day(FROM)),
         {"tonight": P.pick_tonight(today()), "openings": P.pick_openings(today()), "last_chance": P.pick_last_chance(today(), now()), "hands_on": P.pick_hands_on(), "open_now": P.pick_open_now(now()), "free": F.col("is_free"), "weekend": P.on_weekdays([6, 7], *since_window()), "music": F.col("category") == "music", "all_upcoming": F.lit(True)},
@@ -224,6 +224,9 @@ add("quick_pick_counts", counts_sql(PICKS_SQL, f"{O.END} >= {W0}"), lines=True)(
 # ---------------------------------------------------------------- calendar values of listings
 
 add("london_date", f"SELECT id, strftime({O.ldate('starts_at')}, '%Y-%m-%d') AS first_day, {CLOCK} AS first_time FROM listing")(lambda df: df.select("id", F.date_format(london(F.col("starts_at")), "yyyy-MM-dd").alias("first_day"), F.date_format(london(F.col("starts_at")), "HH:mm").alias("first_time")))
-add("calendar_span", f"SELECT id, CAST({LAST} - {FIRST} + 1 AS INT) AS days, {LAST} - {FIRST} + 1 >= 4 AS long_running, {CLOCK} = '00:00' AS untimed FROM listing")(
-    lambda df: df.select("id", (F.datediff(london(P.whole_end()).cast("date"), london(F.col("starts_at")).cast("date")) + 1).alias("days")).withColumn("long_running", F.col("days") >= 4).join(df.select("id", (F.date_format(london(F.col("starts_at")), "HH:mm") == "00:00").alias("untimed")), "id")
-)
+def calendar_span(df):
+    days = F.datediff(london(P.whole_end()).cast("date"), london(F.col("starts_at")).cast("date")) + 1
+    return df.select("id", days.alias("days"), (days >= 4).alias("long_running"), (F.date_format(london(F.col("starts_at")), "HH:mm") == "00:00").alias("untimed"))
+
+
+add("calendar_span", f"SELECT id, CAST({LAST} - {FIRST} + 1 AS INT) AS days, {LAST} - {FIRST} + 1 >= 4 AS long_running, {CLOCK} = '00:00' AS untimed FROM listing")(calendar_span)
