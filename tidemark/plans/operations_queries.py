@@ -249,10 +249,9 @@ def _(spark, sf):
     return Q.duplicate_titles(C.listings(spark, sf, lines=True)).select("title", day(F.col("day")).alias("day"), "n")
 
 
-@add("qa_same_date", O.query(f"SELECT venue_id, count(*) AS kept FROM listing WHERE {INSIDE} GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT {O.ldate('starts_at')}) = 1", O.LISTING))
+@add("qa_same_date", O.query(f"SELECT venue_id, count(*) AS kept FROM listing WHERE {INSIDE} GROUP BY 1 HAVING count(*) >= 5 AND count(DISTINCT {O.ldate('starts_at')}) = 1", O.LISTING))
 def _(spark, sf):
-    df = inside(C.listings(spark, sf)).groupBy("venue_id").agg(F.count(F.lit(1)).alias("kept"), F.min(london_date(F.col("starts_at"))).alias("a"), F.max(london_date(F.col("starts_at"))).alias("b"))
-    return df.filter("kept >= 2 AND a = b").select("venue_id", "kept")
+    return Q.same_date(inside(C.listings(spark, sf)), "venue_id")
 
 
 SHARES = "shares AS (SELECT user_id % 60 AS source_id, ts::DATE AS run_day, count(*) AS kept, (100 * count(*) FILTER (event_type = 'view'))::DOUBLE / count(*) AS share FROM events GROUP BY 1, 2)"

@@ -403,15 +403,14 @@ def _(spark, sf):
 # ---------------------------------------------------------------- resolution
 
 
-def matchable(spark, sf, months=False):
-    """Listings at the boroughs, titled by their parts; those of the two months of MATCHABLE if asked."""
+def matchable(spark, sf):
+    """Listings at the boroughs, titled by their parts."""
     df = C.listings(spark, sf, lines=True)
-    df = df.filter(P.from_day("1998-05-15") & P.to_day("1998-07-14")) if months else df
     return df.select("id", "title", F.concat(F.col("borough"), F.lit(" Gallery Hall")).alias("venue"), "lat", "lng", "starts_at", "ends_at")
 
 
 MATCHABLE = f"""m AS (SELECT id, title, lat, lng, {O.ldate('starts_at')} AS f, greatest({O.ldate('starts_at')}, {O.ldate(O.END)}) AS l, {sql_key("borough || ' Gallery Hall'", text.VENUE_STOP)} AS v, list_concat({sql_words("borough || ' Gallery Hall'")}, []) AS vw,
-    list_filter({sql_words('title')}, lambda w: NOT list_contains({sql_list(text.TITLE_STOP + resolve.TITLE_NOISE)}, w)) AS t FROM full_listing WHERE {O.END} >= {O.midnight("DATE '1998-05-15'")} AND starts_at < {O.midnight("DATE '1998-07-15'")})"""
+    list_filter({sql_words('title')}, lambda w: NOT list_contains({sql_list(text.TITLE_STOP + resolve.TITLE_NOISE)}, w)) AS t FROM full_listing)"""
 _G = "list_transform(range(1, length(replace({0}, ' ', ''))), lambda i: substr(replace({0}, ' ', ''), i, 2))"
 _DICE = f"CASE WHEN ta = tb THEN 1.0 ELSE 2.0 * list_sum(list_transform(list_distinct({_G.format('ta')}), lambda g: least(len(list_filter({_G.format('ta')}, lambda x: x = g)), len(list_filter({_G.format('tb')}, lambda x: x = g))))) / (len({_G.format('ta')}) + len({_G.format('tb')})) END"
 _METRES = "2 * 6371000 * asin(least(1.0, sqrt(power(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lng - a.lng) / 2), 2))))"
@@ -420,7 +419,7 @@ _METRES = "2 * 6371000 * asin(least(1.0, sqrt(power(sin(radians(b.lat - a.lat) /
 @add("fuzzy_pairs", O.query(f"""SELECT a, b FROM (SELECT a.id AS a, b.id AS b, array_to_string(a.t, ' ') AS ta, array_to_string(b.t, ' ') AS tb, len(list_intersect(a.t, b.t)) AS common, len(list_distinct(list_concat(a.t, b.t))) AS total
     FROM m a JOIN m b ON a.id < b.id AND (a.f = b.f OR (a.l > a.f AND b.l > b.f AND a.f <= b.l AND b.f <= a.l)) AND (a.v = b.v OR {_METRES} <= 150)) WHERE 5 * common >= 4 * total OR {_DICE} >= 0.9""", O.LISTING, O.LINES, MATCHABLE))
 def _(spark, sf):
-    return resolve.fuzzy_pairs(matchable(spark, sf, months=True))
+    return resolve.fuzzy_pairs(matchable(spark, sf))
 
 
 @add("resolve_events")
@@ -476,10 +475,10 @@ def _(spark, sf):
     return shown_columns(reported(spark, sf), resolve.refreshed())
 
 
-@add("content_policy", "SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN substr(trim(text), 1, 20) END AS description, CASE WHEN doc_id % 4 <> 0 THEN 'image-' || doc_id END AS image FROM documents")
+@add("content_policy", f"SELECT doc_id, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN length({T}) <= 300 THEN {T} WHEN {SENTENCE} <> '' THEN {SENTENCE} || ' …' ELSE {HEAD_WORDS} || '…' END END AS description, CASE WHEN doc_id % 4 <> 0 THEN 'image-' || doc_id END AS image FROM documents")
 def _(spark, sf):
     i = F.col("doc_id")
-    description, image = resolve.content_policy(F.col("text"), F.concat(F.lit("image-"), i.cast("string")), i % 3 != 0, i % 4 != 0, F.substring(F.trim("text"), 1, 20))
+    description, image = resolve.content_policy(F.col("text"), F.concat(F.lit("image-"), i.cast("string")), i % 3 != 0, i % 4 != 0, text.excerpt(F.col("text")))
     return C.table(spark, sf, "documents").select("doc_id", description.alias("description"), image.alias("image"))
 
 
