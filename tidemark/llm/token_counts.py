@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import delete, materialise, new_path
-from tidemark.llm.tokens import ByteTokens, once
+from tidemark.llm.common import delete, materialise, new_path, once
+from tidemark.llm.tokens import ByteTokens
+from tidemark.llm.words import slices
 
 SEPARATOR, FILLER = 50256, 0xFFFF
 BLOCK = 1 << 15  # ids
-GROUP = 64  # blocks searched at once
 ROUNDS = 2
 KEY_IDS, KEY_BITS, NO_KEY = 5, 15, 1 << 15
 
@@ -48,10 +48,10 @@ def write_tokens(df: DataFrame, path: str, ranks: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, size = once(("bytes", ranks), lambda: ByteTokens(ranks, pattern)), 0
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
+        for part in slices(batches, 1):
+            if part.num_rows:
                 out = []
-                for key, text in zip(*(batch.column(n).slice(low, 256) for n in (0, 1))):
+                for key, text in zip(part.column(0), part.column(1)):
                     out.append(np.array(key_ids(key.as_py()), dtype="<u2").tobytes() + tokens.ids(text.as_py() or "").tobytes())
                     size += len(out[-1]) // 2 + 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
@@ -62,44 +62,73 @@ def write_tokens(df: DataFrame, path: str, ranks: str, pattern: str, id_col: str
     rows.write.option("lineSep", separator.to_bytes(2, "little").decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
-def scan_split(blocks: Iterator[tuple[int, bytes]], separator: int, kept: int, block: int, group: int = GROUP) -> Iterator[tuple]:
-    """Rows of one split: (False, split, rank, start, stop, first ids, None) for each separator, at stop; start and ids are
-    None where the document began in an earlier split. At last (True, split, separators, last separator, None, ids before
-    the first separator, ids after the last); ids are the first `kept` of them."""
-    split = last = None
-    rank, head, tail, whole = 0, [], [], False
-
-    def search(first: int, parts: list[bytes]) -> Iterator[tuple]:
-        nonlocal last, rank, head, tail, whole
-        ids = np.frombuffer(b"".join(parts), dtype="<u2")
-        base = first * block
-        at = np.flatnonzero(ids == separator) + base
-        if not whole and len(head) < kept:
-            head += ids[: (int(at[0]) - base if len(at) else len(ids))][: kept - len(head)].tolist()
-        if len(at):
-            starts = np.concatenate(([-1 if last is None else last], at[:-1])) + 1
-            rows = np.minimum(starts[:, None] - base + np.arange(kept), len(ids) - 1)
-            firsts = [own[: stop - start] for own, start, stop in zip(ids[np.maximum(rows, 0)].tolist(), starts.tolist(), at.tolist())]
-            firsts[0] = (tail + ids[: int(at[0]) - base][:kept].tolist())[:kept] if starts[0] < base else firsts[0]
-            for n, (start, stop) in enumerate(zip(starts.tolist(), at.tolist())):
-                known = n or last is not None
-                yield False, split, rank + n, start if known else None, stop, firsts[n] if known else None, None
-            rank, last, whole, tail = rank + len(at), int(at[-1]), True, []
-        if last is not None and len(tail) < kept:
-            tail += ids[max(0, last + 1 - base) :][: kept - len(tail)].tolist()
-
-    first, parts = 0, []
-    for number, data in blocks:
-        if split is None:
-            split, last = number * block, -1 if number == 0 else None
-        if len(parts) == group:
-            yield from search(first, parts)
-            parts = []
-        first = first if parts else number
-        parts.append(bytes(data))
-    if parts:
-        yield from search(first, parts)
-        yield True, split, rank, last, None, head, tail
+ROWS = pa.schema([
+    ("file", pa.string()), ("summary", pa.bool_()), ("split", pa.int64()), ("rank", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()),
+    ("head", pa.list_(pa.int32())), ("tail", pa.list_(pa.int32())),
+])
+
+
+class SplitScan:
+    """The separators of one split of a file, block after block.
+
+    search() gives a row for each separator: (file, False, split, rank, start, stop, first ids, None); start and ids are null
+    where the document began in an earlier split. summary() gives (file, True, split, separators, last separator, None, ids
+    before the first separator, ids after the last). Of ids, the first `kept` are given; positions count ids in the file.
+    """
+
+    def __init__(self, file: str, split: int, separator: int, kept: int):
+        self.file, self.split, self.separator, self.kept, self.at = file, split, separator, kept, split
+        self.last = -1 if split == 0 else None
+        self.rank, self.whole = 0, False
+        self.head: list[int] = []
+        self.tail: list[int] = []
+
+    def search(self, data: bytes) -> pa.RecordBatch:
+        ids, base = np.frombuffer(data, dtype="<u2"), self.at
+        self.at += len(ids)
+        stops = np.flatnonzero(ids == self.separator)
+        if not self.whole and len(self.head) < self.kept:
+            self.head += ids[: (int(stops[0]) if len(stops) else len(ids))][: self.kept - len(self.head)].tolist()
+        if not len(stops):
+            if self.last is not None:
+                self.tail += ids[max(0, self.last + 1 - base) :][: self.kept - len(self.tail)].tolist()
+            return pa.RecordBatch.from_pylist([], schema=ROWS)
+        begins = np.concatenate(([-1 if self.last is None else self.last - base], stops[:-1])) + 1
+        sizes = np.minimum(stops - begins, self.kept)
+        inside = np.arange(self.kept) < sizes[1:, None]
+        rest = ids[np.minimum(begins[1:, None] + np.arange(self.kept), len(ids) - 1)][inside]
+        if begins[0] < 0:  # it began in an earlier block
+            first = (self.tail + ids[: int(stops[0])][: self.kept].tolist())[: self.kept]
+        else:
+            first = ids[int(begins[0]) : int(stops[0])][: self.kept].tolist()
+        lengths = np.concatenate(([len(first)], sizes[1:]))
+        known = np.ones(len(stops), dtype=bool)
+        known[0] = self.last is not None
+        heads = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(np.concatenate((np.array(first, dtype=np.int32), rest.astype(np.int32)))))
+        if not known[0]:
+            heads = pa.concat_arrays([pa.nulls(1, heads.type), heads.slice(1)])
+        n = len(stops)
+        columns = [
+            pa.array([self.file] * n), pa.array(np.zeros(n, dtype=bool)), pa.array(np.full(n, self.split)), pa.array(self.rank + np.arange(n)),
+            pa.array(begins + base, mask=~known), pa.array(stops + base), heads, pa.nulls(n, pa.list_(pa.int32())),
+        ]
+        self.rank, self.last, self.whole = self.rank + n, int(stops[-1]) + base, True
+        self.tail = ids[int(stops[-1]) + 1 :][: self.kept].tolist()
+        return pa.RecordBatch.from_arrays(columns, schema=ROWS)
+
+    def summary(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([dict(zip(ROWS.names, (self.file, True, self.split, self.rank, self.last, None, self.head, self.tail)))], schema=ROWS)
+
+
+def read_blocks(spark: SparkSession, path: str, block: int) -> DataFrame:
+    """(file, first, data) of the blocks of the files below path, in order within each task: one split of one file.
+
+    first is where the split starts, in bytes. Spark's reader of records of fixed length finds the splits on any file
+    system; the rows stay in the JVM until Arrow hands them to Python.
+    """
+    records = spark.sparkContext._jsc.binaryRecords(path, 2 * block)
+    rows = spark._jsparkSession.createDataset(records.rdd(), spark.sparkContext._jvm.org.apache.spark.sql.Encoders.BINARY())
+    return DataFrame(rows.toDF(), spark).select(F.input_file_name().alias("file"), F.input_file_block_start().alias("first"), F.col("value").alias("data"))
 
 
 def scan_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, keys: int = KEY_IDS, block: int = BLOCK) -> DataFrame:
@@ -107,14 +136,27 @@ def scan_tokens(spark: SparkSession, path: str, separator: int = SEPARATOR, keys
 
     ordinal and start (in ids) count within the file; the first `keys` ids of a document are its key and not counted.
     Documents of filler are left out. Each file must be a whole number of blocks of `block` ids and end with a
-    separator. A document may span any number of blocks and splits.
+    separator. A document may span any number of blocks and splits; without files or documents there are no rows.
     """
     kept = max(keys, 1)
-    name = "org.apache.spark.input.FixedLengthBinaryInputFormat"
-    blocks = spark.sparkContext.newAPIHadoopFile(path, name, "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={f"{name}.recordLength": str(2 * block)}, batchSize=1)
-    schema = "summary boolean, split long, rank long, start long, stop long, head array<int>, tail array<int>"
-    rows = spark.createDataFrame(blocks.mapPartitions(lambda it: scan_split(it, separator, kept, block)), schema, verifySchema=False)
-    rows = materialise(rows.withColumn("file", F.input_file_name()), "scan")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = None
+        for batch in batches:
+            names, starts, data = (batch.column(n) for n in range(3))
+            edges = [n for n in range(batch.num_rows) if n == 0 or (names[n], starts[n]) != (names[n - 1], starts[n - 1])]
+            for low, high in zip(edges, [*edges[1:], batch.num_rows]):
+                name, start = names[low].as_py(), starts[low].as_py() // 2
+                if scan is None or (scan.file, scan.split) != (name, start):
+                    if scan is not None:
+                        yield scan.summary()
+                    scan = SplitScan(name, start, separator, kept)
+                yield scan.search(b"".join(data.slice(low, high - low).to_pylist()))
+        if scan is not None:
+            yield scan.summary()
+
+    rows = read_blocks(spark, path, block).mapInArrow(run, "file string, summary boolean, split long, rank long, start long, stop long, head array<int>, tail array<int>")
+    rows = materialise(rows, "scan")
     order = Window.partitionBy("file").orderBy("split")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     splits = rows.filter("summary").withColumn("next", F.lead("head").over(order))
@@ -132,7 +174,8 @@ def count_tokens(df: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
 
     The rows are dealt into rounds by a hash of the id, and the token files of a round are deleted once they are scanned,
     so that only a share of all tokens takes space at a time. Null and empty texts have no tokens; repeated rows are
-    counted each, a null id stays null; other columns go.
+    counted each, a null id stays null; other columns go. A text of any length is one document of any number of blocks; an
+    empty table gives no rows.
     """
     spark, out = df.sparkSession, None
     for n in range(rounds):
