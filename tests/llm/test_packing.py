@@ -66,3 +66,29 @@ def test_pack(spark):
         assert end <= 4096
     assert len(sequences) <= -(-sum(w[3] for w in want) // 4096) + 1
     assert packing.pack(frame.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("low, high, gap", [(50, 3_000, 0.002), (1_200, 1_600, 0.03)])
+def test_solve_against_its_bound_and_best_fit(low, high, gap):
+    lengths, counts = np.random.default_rng(1).integers(low, high, 12_000), defaultdict(int)
+    for n in lengths.tolist():
+        counts[n] += 1
+    used = sum(c for _, c in packing.solve(counts))
+    assert used <= sum(c for _, c in packing.best_fit(counts, 4096))
+    sizes = np.array(sorted(counts))
+    unit = 8 if high == 3_000 else 1
+    classes = np.unique(sizes // unit)  # rounded down: a bound for the real lengths
+    numbers = np.array([sum(counts[n] for n in sizes.tolist() if n // unit == c) for c in classes.tolist()])
+    bound = packing.fractional(classes, numbers, 4096 // unit, 2_400)[1]
+    assert bound <= used <= (1 + gap) * max(bound, lengths.sum() / 4096) + 1
+
+
+def test_a_length_that_most_pieces_share(spark):
+    rows = [(i, "word " * (5 if i % 10 else 5 + i % 97)) for i in range(2_000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect()
+    assert sorted(r.doc_id for r in got) == list(range(2_000))
+    ends = defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 4096

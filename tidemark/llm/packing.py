@@ -2,11 +2,11 @@
 
 Documents become pieces of at most `capacity` tokens. Packing depends on the histogram of piece lengths alone, a table
 of at most `capacity` rows, so the driver solves it: a configuration is a multiset of lengths that fits one sequence,
-and the linear program asks for the fewest configurations that cover all pieces. It is solved by multiplicative
-weights: a knapsack over the weights of the lengths prices the best configuration, which is used for a share of what its
-scarcest length has left, and the weights of the lengths it covered fall. Rounding down leaves a remainder that is
-packed best-fit, longest first, into the gaps and new sequences. Pieces get a rank within their length, and ranks are
-mapped to places by intervals.
+and the linear program asks for the fewest configurations that cover all pieces. It is solved by multiplicative weights:
+a knapsack over the weights of the lengths prices the best configuration, what it covers loses weight, and the uses of
+all configurations are averaged and rounded down. What that leaves is solved again, the last remainder is packed
+best-fit, longest first; where plain best-fit needs fewer sequences, it is taken. Pieces get a rank within their length,
+and ranks are mapped to places by intervals.
 """
 
 from __future__ import annotations
@@ -19,13 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
-from tidemark.llm.tokens import WordTokens, once
+from tidemark.llm.common import materialise, once
+from tidemark.llm.tokens import WordTokens
+from tidemark.llm.words import slices
 
 CAPACITY, END = 4096, 1
-UNIT = 4
-SHARE, FALL = 1.0, 0.25
+SLICE = 1 << 18  # bytes of text tokenised at once
+#: Lengths that the program tells apart; its rounds, the share of them that goes before uses count, and the first step.
+CLASSES, ROUNDS, FIRST, STEP = 400, 2_400, 0.5, 0.2
 SALTS = 64
+PARTS, MOST_INTERVALS = 4, 1_000_000
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -37,11 +40,11 @@ def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = once(("words", tokenizer), lambda: WordTokens(tokenizer))
         tail = np.array([end], dtype="<u4").tobytes()
-        for batch in batches:
-            for low in range(0, batch.num_rows, 256):
-                part, rows, codes = batch.slice(low, 256), [], []
-                for n, text in enumerate(part.column(1)):
-                    code = words.ids(text.as_py() or "") + tail
+        for part in slices(batches, 1, SLICE):
+            if part.num_rows:
+                rows, codes = [], []
+                for n, code in enumerate(words.ids_of([t or "" for t in part.column(1).to_pylist()])):
+                    code += tail
                     for at in range(0, len(code), 4 * capacity):
                         own = code[at : at + 4 * capacity]
                         rows.append((n, at // (4 * capacity), at // 4, len(own) // 4, zlib.crc32(own)))
@@ -78,68 +81,109 @@ def price(sizes: np.ndarray, values: np.ndarray, limits: np.ndarray, capacity: i
     return found
 
 
-def solve(counts: dict[int, int], capacity: int = CAPACITY, unit: int = UNIT, share: float = SHARE, fall: float = FALL) -> list[tuple[list[int], int]]:
-    """[(lengths of one sequence, number of such sequences)] that hold counts[length] pieces of each length, exactly."""
-    plan: list[tuple[list[int], int]] = []
+def fractional(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """([(configuration {i: times}, its number of sequences, a fraction)], dual bound) of the configuration linear program.
+
+    Multiplicative weights: each round prices the best configuration for the weights, uses it as often as its scarcest
+    item allows, and lowers the weights of what it covers, by ever smaller steps. The uses of the later rounds are averaged
+    and scaled to as many tokens as there are. For any weights, the weight of all pieces over that of the best
+    configuration is a lower bound on the number of sequences: the greatest is the dual bound.
+    """
+    uses: dict[tuple[tuple[int, int], ...], float] = {}
+    weights, tokens, bound = sizes / capacity, 0.0, 0.0
+    for n in range(rounds):
+        found = price(sizes, weights, counts, capacity)
+        items, times = np.array(list(found)), np.array(list(found.values()))
+        bound = max(bound, float((weights * counts).sum() / (weights[items] * times).sum()))
+        often = float((counts[items] / times).min())
+        if n >= FIRST * rounds:
+            name = tuple(sorted(found.items()))
+            uses[name] = uses.get(name, 0.0) + often
+            tokens += often * float((sizes[items] * times).sum())
+        weights[items] *= np.exp(-STEP * max(0.1, 1 - n / (0.6 * rounds)) * often * times / counts[items])
+        weights = np.maximum(weights / weights.max(), 1e-12)
+    scale = tokens / float((counts * sizes).sum())
+    return [(dict(c), often / scale) for c, often in sorted(uses.items(), key=lambda x: (-x[1], x[0]))], bound
+
+
+def solve(counts: dict[int, int], capacity: int = CAPACITY, classes: int = CLASSES) -> list[tuple[list[int], int]]:
+    """[(lengths of one sequence, number of such sequences)] that hold counts[length] pieces of each length, exactly.
+
+    The linear program is solved and rounded down, then again for what is left, as long as that places at least a tenth of
+    it; the remainder goes best-fit, longest first. All pieces best-fit are taken instead where that needs fewer sequences.
+    """
     left = {n: c for n, c in sorted(counts.items()) if c}
+    plain = best_fit(left, capacity)
+    plan: list[tuple[list[int], int]] = []
     if left.get(capacity):
         plan.append(([capacity], left.pop(capacity)))
-    if not left:
-        return plan
-    # lengths in classes, to the nearest `unit` tokens, for the program; pieces keep their own lengths
-    classes: dict[int, list[int]] = {}
-    for n in sorted(left, reverse=True):
-        classes.setdefault(max(1, (n + unit // 2) // unit), []).append(n)
-    sizes = np.array(sorted(classes), dtype=np.int64)
-    rest = np.array([sum(left[n] for n in classes[s]) for s in sizes.tolist()], dtype=np.int64)
-    weights, bound = np.ones(len(sizes)), capacity // unit
-    worth = sizes * (1 + sizes / (2 * bound * bound))  # of two configurations that fill a sequence, the one of longer pieces
-    while True:
-        open_ = np.flatnonzero(rest > 0)
-        found = price(sizes[open_], weights[open_] * worth[open_], rest[open_], bound) if len(open_) else {}
-        found = {int(open_[i]): t for i, t in found.items()}
-        if not found:
+    rounds = ROUNDS
+    while left:
+        before = sum(n * c for n, c in left.items())
+        plan += rounded(left, capacity, classes, rounds)
+        rounds = ROUNDS // 4
+        left = {n: c for n, c in left.items() if c}
+        if sum(n * c for n, c in left.items()) > 0.9 * before:
             break
-        fits = min(int(rest[i]) // t for i, t in found.items())
-        copies = max(1, int(fits * share)) if fits else 0
-        filled = sum(int(sizes[i]) * t for i, t in found.items())
-        if filled < bound or copies == 0:
-            if weights.min() == weights.max():  # no configuration fills a sequence: the remainder goes best-fit
-                break
-            weights[:] = 1
-            continue
-        wanted = copies
-        while wanted:  # lengths of the classes that fill a sequence best, in runs of equal sequences
-            lengths = choose([int(sizes[i]) for i, t in found.items() for _ in range(t)], classes, left, capacity)
+    plan += best_fit(left, capacity)
+    return min(plan, plain, key=lambda x: sum(n for _, n in x))
+
+
+def bound_of(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound on the number of sequences: by tokens, and by pieces of over half a sequence."""
+    return max(-(-sum(n * c for n, c in counts.items()) // capacity), sum(c for n, c in counts.items() if 2 * n > capacity))
+
+
+def rounded(left: dict[int, int], capacity: int, classes: int, rounds: int) -> list[tuple[list[int], int]]:
+    """Sequences of the linear program over what is left, rounded down; takes their pieces out of left.
+
+    Where there are over `classes` lengths, the program sees them to the nearest 2, 4, 8 ... tokens; each sequence then gets
+    lengths of its classes that fill it best. A sequence is used only where it is as full as the whole allows.
+    """
+    unit = 1
+    while len({max(1, (n + unit // 2) // unit) for n in left}) > classes:
+        unit *= 2
+    own: dict[int, list[int]] = {}
+    for n in sorted(left, reverse=True):
+        own.setdefault(max(1, (n + unit // 2) // unit), []).append(n)
+    sizes = np.array(sorted(own), dtype=np.int64)
+    rest = np.array([sum(left[n] for n in own[s]) for s in sizes.tolist()], dtype=np.int64)
+    rounds = min(rounds, 200 + 12 * len(sizes))
+    plan: list[tuple[list[int], int]] = []
+    for found, often in fractional(sizes, rest, capacity // unit, rounds)[0]:
+        wanted = min([int(often)] + [int(rest[i]) // t for i, t in found.items()])
+        names = [int(sizes[i]) for i, t in found.items() for _ in range(t)]
+        while wanted:  # in runs of equal sequences
+            lengths = choose(names, own, left, capacity)
             if not lengths:
                 break
             run = min([wanted] + [left[n] // lengths.count(n) for n in set(lengths)])
             for n in lengths:
                 left[n] -= run
+            for i, t in found.items():
+                rest[i] -= run * t
             plan.append((lengths, run))
             wanted -= run
-        for i, t in found.items():
-            weights[i] *= 1 - fall * min(1.0, copies * t / rest[i])
-            rest[i] -= (copies - wanted) * t
-        if wanted:  # none of these lengths fit together: the class with the least left goes to the remainder
-            rest[min(found, key=lambda i: rest[i])] = 0
-    return plan + best_fit({n: c for n, c in left.items() if c}, capacity)
+    return plan
 
 
 def choose(wanted: list[int], classes: dict[int, list[int]], left: dict[int, int], capacity: int) -> list[int]:
     """Lengths, one of each wanted class, with the greatest sum that fits; none if no choice does."""
-    steps: list[dict[int, tuple[int, int]]] = [{0: (0, 0)}]
+    mask, sums, options = (1 << capacity + 1) - 1, [1], []  # bit n of a number: the sum n can be had
     for n, size in enumerate(wanted):
         again = wanted[:n].count(size)  # a length needs as many pieces as its class may take of it
-        open_ = [x for x in classes[size] if left.get(x, 0) > again] or [x for x in classes[size] if left.get(x, 0) > 0][:1]
-        steps.append({total + x: (total, x) for total in steps[-1] for x in open_ if total + x <= capacity})
-    out: list[int] = []
-    total = max(steps[-1], default=None)
-    if total is None:
-        return out
-    for step in reversed(steps[1:]):
-        total, x = step[total]
+        options.append([x for x in classes[size] if left.get(x, 0) > again] or [x for x in classes[size] if left.get(x, 0) > 0][:1])
+        reach = 0
+        for x in options[-1]:
+            reach |= sums[-1] << x
+        sums.append(reach & mask)
+    if not sums[-1]:
+        return []
+    total, out = sums[-1].bit_length() - 1, []
+    for before, open_ in zip(reversed(sums[:-1]), reversed(options)):
+        x = next(x for x in open_ if total >= x and before >> total - x & 1)
         out.append(x)
+        total -= x
     return sorted(out, reverse=True) if all(out.count(x) <= left[x] for x in set(out)) else []
 
 
@@ -186,19 +230,36 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranks: dict[int, int] = {}
     for lengths, copies in solve(counts, capacity):
         offset = 0
-        for n, length in enumerate(lengths):
+        for length in lengths:
             low = ranks.get(length, 0)
-            intervals.append((length, low, low + copies, base, offset, n))
+            intervals.append((length, low, low + copies, base, offset))
             ranks[length] = low + copies
             offset += length
         base += copies
-    values = pa.table({k: pa.array([x[i] for x in intervals], pa.int64()) for i, k in enumerate(("length", "low", "high", "base", "at"))})
-    table = spark.createDataFrame(values)
+    table, widths = lookup(spark, intervals, counts)
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = sliced.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "first")
+    firsts = sliced.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).select("length", "salt", "first").join(widths, "length")
     inner = Window.partitionBy("length", "salt").orderBy(*names)
     ranked = pieces.withColumn("k", F.row_number().over(inner) - 1).join(firsts, ["length", "salt"]).withColumn("rank", F.col("first") + F.col("k"))
-    return ranked.join(table, "length").filter("rank >= low AND rank < high").select(*names, (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"))
+    ranked = ranked.withColumn("part", F.expr("rank div width"))
+    return ranked.join(table, ["length", "part"]).filter("rank >= low AND rank < high").select(*names, (F.col("base") + F.col("rank") - F.col("low")).alias("sequence_id"), F.col("at").alias("offset"))
+
+
+def lookup(spark: SparkSession, intervals: list[tuple[int, ...]], counts: dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """The intervals of ranks dealt into parts of equal width, one width a length, so that a rank meets few of them.
+
+    (length, part, low, high, base, at), at most PARTS + 1 rows an interval on average, and (length, width). Both depend on
+    the histogram and the plan only, not on the number of pieces; they are broadcast up to MOST_INTERVALS rows.
+    """
+    number: dict[int, int] = {}
+    for x in intervals:
+        number[x[0]] = number.get(x[0], 0) + 1
+    width = {n: -(-counts[n] // (PARTS * own)) for n, own in number.items()}
+    rows = [(length, part, *rest) for length, *rest in intervals for part in range(rest[0] // width[length], (rest[1] - 1) // width[length] + 1)]
+    columns = {k: pa.array([x[i] for x in rows], pa.int64()) for i, k in enumerate(("length", "part", "low", "high", "base", "at"))}
+    table = spark.createDataFrame(pa.table(columns))
+    widths = spark.createDataFrame(pa.table({"length": pa.array(list(width), pa.int64()), "width": pa.array(list(width.values()), pa.int64())}))
+    return F.broadcast(table) if len(rows) <= MOST_INTERVALS else table, F.broadcast(widths)
 
 
 def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

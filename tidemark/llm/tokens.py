@@ -4,50 +4,100 @@ from __future__ import annotations
 
 import base64
 import os
-import sys
-import types
-from collections.abc import Callable
-from typing import Any
 
 import numpy as np
 import regex
 
+from tidemark.llm.words import hash_spans
+
 #: A text of these characters is normalised by lower-casing alone: white space, ASCII and precomposed Latin letters.
 PLAIN = regex.compile("[\t\n\r -~À-ÖØ-öø-įı-ſ]*")
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 SPACE = regex.compile("[\t\n\r ]")
-STEP = 1 << 20
-#: What a vocabulary remembers: twice as many pieces at most, and as many characters.
-MEMO, MEMO_SIZE = 300_000, 4 << 20
-
+STEP = 1 << 18
 
-def once(key: tuple, make: Callable[[], Any]) -> Any:
-    """make()'s result, kept for later tasks of the same Python worker; for what has a fixed size."""
-    kept = sys.modules.setdefault("_tidemark_kept", types.ModuleType("_tidemark_kept")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
 
+class WordTable:
+    """What words became: ids by 64-bit hash and length of the word, in flat arrays with open addressing.
 
-class Memo:
-    """text -> bytes; keeps what was used of late, MEMO entries and MEMO_SIZE characters in each of two generations."""
-
-    def __init__(self) -> None:
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.size = 0
+    It holds half as many words as slots, about 40 MB, and forgets all when it is full. Two words of one length with one
+    hash would be taken for one another: for a word that isn't known, the odds are below 1 in 10**13.
+    """
 
-    def add(self, found: dict[str, bytes]) -> None:
-        self.new.update(found)
-        self.size += sum(map(len, found))
-        if len(self.new) > MEMO or self.size > MEMO_SIZE:
-            self.old, self.new, self.size = self.new, {}, 0
+    def __init__(self, bits: int = 21, most_ids: int = 1 << 23):
+        self.bits, self.most_ids = bits, most_ids
+        self.keys = np.zeros(1 << bits, dtype=np.uint64)
+        self.sizes, self.first, self.count = (np.zeros(1 << bits, dtype=np.int32) for _ in range(3))
+        self.ids, self.end, self.used = np.zeros(1 << 16, dtype=np.uint16), 0, 0
+
+    def make_room(self) -> None:
+        if 2 * self.used > len(self.keys) or self.end > self.most_ids:
+            self.keys[:] = 0
+            self.ids, self.end, self.used = np.zeros(1 << 16, dtype=np.uint16), 0, 0
+
+    def find(self, hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The slot of each word, -1 for one that isn't there."""
+        slots, todo = np.full(len(hashes), -1), np.arange(len(hashes))
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            held = self.keys[at]
+            hit = (held == hashes[todo]) & (self.sizes[at] == sizes[todo])
+            slots[todo[hit]] = at[hit]
+            on = ~hit & (held != 0)
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+        return slots
+
+    def add(self, hashes: np.ndarray, sizes: np.ndarray, codes: list[np.ndarray]) -> None:
+        """Take different words that aren't there, with their ids."""
+        counts = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes))
+        total = int(counts.sum())
+        if self.end + total > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros(max(total, len(self.ids)), dtype=np.uint16)))
+        self.ids[self.end : self.end + total] = np.concatenate(codes) if codes else 0
+        first = self.end + np.cumsum(counts) - counts
+        self.end, self.used = self.end + total, self.used + len(codes)
+        todo, at = np.arange(len(hashes)), (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] == 0)
+            _, own = np.unique(at[free], return_index=True)
+            won = free[own]
+            slot, word = at[won], todo[won]
+            self.keys[slot], self.sizes[slot], self.first[slot], self.count[slot] = hashes[word], sizes[word], first[word], counts[word]
+            on = np.ones(len(todo), dtype=bool)
+            on[won] = False
+            todo, at = todo[on], (at[on] + 1) & (len(self.keys) - 1)
+
+    def spell(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of each word, all ids in a row)."""
+        counts = self.count[slots].astype(np.int64)
+        place = np.repeat(self.first[slots] - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+        return counts, self.ids[place]
+
+
+def pieces(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of lower-cased PLAIN text start and end: a contraction, a run of letters, a digit, a run of others."""
+    kind = np.full(0x180, 1, dtype=np.int8)  # 0 white space, 1 letters, 2 digits, 3 others
+    kind[:128] = [0 if c <= 32 else 1 if chr(c).isalpha() else 2 if chr(c).isdigit() else 3 for c in range(128)]
+    own = kind[codes]
+    before = np.concatenate((np.zeros(1, np.int8), own[:-1]))
+    start = (own > 0) & ((own != before) | (own == 2))
+    at = np.flatnonzero((codes == ord("'")) & (before != 3))
+    if len(at):
+        after = np.concatenate((codes, np.zeros(3, codes.dtype)))
+        one, two = after[at + 1], after[at + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = np.isin(one.astype(np.int64) << 16 | two, [ord(a) << 16 | ord(b) for a, b in ("re", "ve", "ll")])
+        start[at[short | long] + 1] = False
+        rest = np.concatenate((at[short] + 2, at[long] + 3))
+        rest = rest[rest < len(codes)]
+        start[rest] |= own[rest] > 0
+    last = (own > 0) & np.concatenate((start[1:] | (own[1:] == 0), [True]))
+    return np.flatnonzero(start), np.flatnonzero(last) + 1
 
 
 class WordTokens:
-    """Ids of a lower-case word vocabulary; what stands between white space is encoded once and remembered.
+    """Ids of a lower-case word vocabulary of below 2**16 ids; each piece of a text that is met again is encoded once.
 
-    Its tokenizer merges within words only and drops white space, so a text's ids are those of its parts in a row. Texts
+    Its tokenizer merges within pieces only and drops white space, so a text's ids are those of its pieces in a row. Texts
     that hold other characters than PLAIN, or the start of a special token, are encoded as a whole.
     """
 
@@ -55,7 +105,11 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), Memo()
+        self.tokenizer, self.table = Tokenizer.from_file(path), WordTable()
+        size = self.tokenizer.get_vocab_size()
+        if size > 1 << 16:
+            raise ValueError("a vocabulary of below 2**16 ids is needed")
+        self.ends = np.array([(self.tokenizer.id_to_token(n) or "").endswith("</w>") for n in range(size)])
         self.bare = Tokenizer.from_file(path)  # for pieces that are normalised and cut already
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
@@ -65,10 +119,10 @@ class WordTokens:
         return self.ids_of([text])[0]
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
-        """uint32 ids of each of some texts of about a megabyte; a longer text goes in parts, cut after white space."""
+        """uint32 ids of each of some texts of about STEP characters; a longer text goes in parts, cut after white space."""
         out: list[list[bytes]] = [[] for _ in texts]
         parts: list[str] = []
-        ends: list[tuple[int, int]] = []
+        owner: list[int] = []
         for n, text in enumerate(texts):
             if "<|" in text or not PLAIN.fullmatch(text):
                 out[n].append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes())
@@ -77,42 +131,45 @@ class WordTokens:
             while start < len(text):
                 space = SPACE.search(text, start + STEP) if len(text) - start > STEP else None
                 end = space.end() if space else len(text)
-                parts += text[start:end].lower().split()
-                ends.append((n, len(parts)))
+                parts.append(text[start:end].lower())
+                owner.append(n)
                 start = end
                 if end < len(text):
-                    self._spell(parts, ends, out)
-                    parts, ends = [], []
-        self._spell(parts, ends, out)
+                    self._spell(parts, owner, out)
+                    parts, owner = [], []
+        self._spell(parts, owner, out)
         return [b"".join(x) for x in out]
 
-    def _spell(self, parts: list[str], ends: list[tuple[int, int]], out: list[list[bytes]]) -> None:
-        codes = list(map(self.memo.new.get, parts))
-        if None in codes:
-            found = self._learn({p for p, code in zip(parts, codes) if code is None})
-            codes = [found[p] if code is None else code for p, code in zip(parts, codes)]
-        start = 0
-        for n, end in ends:
-            out[n].append(b"".join(codes[start:end]))
-            start = end
-
-    def _learn(self, parts: set[str]) -> dict[str, bytes]:
-        """The codes of parts, which the memo takes."""
-        old, new = self.memo.old, self.memo.new
-        found = {p: old[p] for p in parts if p in old}
-        compound = {p: own for p in parts.difference(found) if not p.isalpha() and (own := PIECES.findall(p)) != [p]}
-        wanted = {x for own in compound.values() for x in own}
-        known = {x: code for x in wanted if (code := new.get(x) or old.get(x)) is not None}
-        fresh = list((parts | wanted).difference(compound, found, known))
-        if fresh:
-            code = self.bare.encode(fresh, is_pretokenized=True, add_special_tokens=False)
-            cuts = (4 * np.searchsorted(np.array(code.word_ids, dtype=np.int64), np.arange(len(fresh) + 1))).tolist()
-            ids = np.array(code.ids, dtype="<u4").tobytes()
-            found.update(zip(fresh, (ids[a:b] for a, b in zip(cuts, cuts[1:]))))
-        known |= found
-        found.update((part, b"".join(map(known.__getitem__, own))) for part, own in compound.items())
-        self.memo.add(found)
-        return found
+    def _spell(self, parts: list[str], owner: list[int], out: list[list[bytes]]) -> None:
+        if not parts:
+            return
+        whole = "\n".join(parts)
+        codes = np.frombuffer(whole.encode("utf-32-le"), dtype="<u4")
+        start, end = pieces(codes)
+        hashes = np.maximum(hash_spans(codes, start, end)[0], np.uint64(1))
+        sizes = (end - start).astype(np.int32)
+        table = self.table
+        table.make_room()
+        slots = table.find(hashes, sizes)
+        while len(unknown := np.flatnonzero(slots < 0)):
+            _, first = np.unique(hashes[unknown], return_index=True)
+            new = unknown[first]
+            table.add(hashes[new], sizes[new], self._learn([whole[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())]))
+            slots[unknown] = table.find(hashes[unknown], sizes[unknown])
+        counts, ids = table.spell(slots)
+        ends = np.cumsum([len(p) + 1 for p in parts])
+        cuts = np.concatenate(([0], np.cumsum(counts)))[np.searchsorted(start, ends)].tolist()
+        ids = ids.astype("<u4")
+        for n, a, b in zip(owner, [0, *cuts], cuts):
+            out[n].append(ids[a:b].tobytes())
+
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of different pieces; the last id of each, and no other, ends a word."""
+        ids = np.array(self.bare.encode_batch_fast([words], is_pretokenized=True, add_special_tokens=False)[0].ids, dtype=np.uint16)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):
+            raise ValueError("the vocabulary doesn't mark where words end")
+        return np.split(ids, cuts[:-1])
 
 
 class ByteTokens:

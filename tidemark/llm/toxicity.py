@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from tidemark.llm.tokens import once
+from tidemark.llm.common import once
 from tidemark.llm.words import Numbers, folded, folded_hashes, hash_word, slices
 
 #: Function words that tell languages apart.

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  as pa.compute
 
-from tidemark.llm.tokens import once
+from tidemark.llm.common import once
 
 STEP = 1 << 18  # characters hashed at once; a longer word is hashed as a whole
 GROUP = 1 << 20  # bytes of text that a group of rows has, or one row more
@@ -42,17 +43,22 @@ def _bytes() -> tuple[np.ndarray, np.ndarray]:
     return ~np.isin(every, [32, 9, 10, 11, 12, 13]), np.where((every >= 65) & (every <= 90), every + 32, every).astype(np.uint8)
 
 
-def _spans(codes: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Where the runs of `inside` start, and their hashes: of the whole, and of the first n characters for n in prefixes."""
-    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+def hash_spans(codes: np.ndarray, start: np.ndarray, *stops: np.ndarray) -> list[np.ndarray]:
+    """The hashes of what lies from each start to each stop, for each array of stops."""
     power, inverse = _powers(len(codes) + 1)
     values = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
     values ^= values >> np.uint64(32)
     values *= power[: len(codes)]
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)))
     back = inverse[start]
-    return start, [mix((total[stop] - total[start]) * back) for stop in (end, *(np.minimum(end, start + n) for n in prefixes))]
+    return [mix((total[stop] - total[start]) * back) for stop in stops]
+
+
+def spans(codes: np.ndarray, inside: np.ndarray, prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Where the runs of `inside` start, and their hashes: of the whole, and of the first n characters for n in prefixes."""
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    return start, hash_spans(codes, start, end, *(np.minimum(end, start + n) for n in prefixes))
 
 
 def _hashed(whole: str | bytes, ends: np.ndarray, prefixes: tuple[int, ...]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -68,7 +74,7 @@ def _hashed(whole: str | bytes, ends: np.ndarray, prefixes: tuple[int, ...]) ->
             codes = np.frombuffer(whole, dtype=np.uint8, count=stop - at, offset=at)
             inside, lower = _bytes()
             codes, inside = lower[codes], inside[codes]
-        start, hashes = _spans(codes, inside, prefixes)
+        start, hashes = spans(codes, inside, prefixes)
         starts.append(start + at)
         for own, new in zip(out, hashes):
             own.append(new)
