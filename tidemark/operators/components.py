@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir; in a folder of our own only where the session names none."""
+    """A checkpoint in spark.checkpoint.dir; in a local folder only where the session names none and all is one JVM."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-"))
+        found = context.getConf().get("spark.checkpoint.dir")
+        if not found and context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(found or tempfile.mkdtemp(prefix="tidemark-"))
     return df.checkpoint()
 
 

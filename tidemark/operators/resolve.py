@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -98,33 +99,59 @@ def fuzzy_pairs(df: DataFrame) -> DataFrame:
 
 
 PRICED = ("is_free", "price_min", "price_max")
+FIELDS = ("title", "description", "image_url", "venue", "starts_at", "ends_at", *PRICED, "currency", "url", "tags")
+Field = Callable[[str], Column]
 
 
-def _has_price(p: str) -> Column:
-    return F.col(p + "is_free") | F.col(p + "price_min").isNotNull() | F.col(p + "price_max").isNotNull()
+def _has_price(of: Field) -> Column:
+    return of("is_free") | of("price_min").isNotNull() | of("price_max").isNotNull()
 
 
-def merged(site_wins: Column, api_wins: Column, x: str = "x_", n: str = "n_") -> dict[str, Column]:
-    """Columns of a listing x with one from another source, n, merged into it."""
-    old, new = (lambda c: F.col(x + c)), (lambda c: F.col(n + c))
+def merge_fields(old: Field, new: Field, site_wins: Column, api_wins: Column) -> dict[str, Column]:
+    """Fields of a listing with those of one from another source merged into it; old and new give a field by name."""
     gaps, site = (lambda c: F.coalesce(old(c), new(c))), (lambda c: F.when(site_wins, F.coalesce(new(c), old(c))).otherwise(F.coalesce(old(c), new(c))))
-    api = api_wins & _has_price(n)
+    api = api_wins & _has_price(new)
     end = F.when(site_wins, F.when(new("ends_at").isNotNull(), new("ends_at")).when(old("ends_at") >= new("starts_at"), old("ends_at"))).otherwise(F.coalesce(old("ends_at"), F.when(new("ends_at") >= old("starts_at"), new("ends_at"))))
     return {
         "title": old("title"), "description": site("description"), "image_url": site("image_url"), "venue": gaps("venue"), "starts_at": F.when(site_wins, new("starts_at")).otherwise(old("starts_at")), "ends_at": end,
-        **{c: F.when(api | ~_has_price(x), new(c)).otherwise(old(c)) for c in PRICED},
+        **{c: F.when(api | ~_has_price(old), new(c)).otherwise(old(c)) for c in PRICED},
         "currency": F.when(api, F.coalesce(new("currency"), old("currency"))).otherwise(gaps("currency")), "url": F.when(api_wins, F.coalesce(new("url"), old("url"))).otherwise(gaps("url")),
         "tags": F.array_sort(F.array_distinct(F.concat(old("tags"), new("tags")))),
     }
 
 
+def merged(site_wins: Column, api_wins: Column, x: str = "x_", n: str = "n_") -> dict[str, Column]:
+    """Columns of a listing x with one from another source, n, merged into it."""
+    return merge_fields(lambda c: F.col(x + c), lambda c: F.col(n + c), site_wins, api_wins)
+
+
+def merged_events(listings: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(event, listings, sources, fields): one row per event of resolved (listing, event), its listings' fields merged one after
+    another as replayed, by source and listing.
+
+    listings have listing, source, kind (site, api or other) and FIELDS. An event's listings are few, one a source, so they
+    are folded in one row by built-in functions.
+    """
+    one = F.struct("source", "listing", F.col("kind"), *FIELDS)
+    rows = listings.join(resolved.select("listing", "event"), "listing").groupBy("event").agg(F.array_sort(F.collect_list(one)).alias("held"))
+    start = F.struct(*[F.get("held", F.lit(0))[c].alias(c) for c in FIELDS])
+
+    def fold(done: Column, new: Column) -> Column:
+        fields = merge_fields(lambda c: done[c], lambda c: new[c], new["kind"] == "site", new["kind"] == "api")
+        return F.struct(*[fields[c].cast(dict(listings.dtypes)[c]).alias(c) for c in FIELDS])
+
+    rows = rows.withColumn("e", F.aggregate(F.slice("held", 2, F.greatest(F.size("held") - 1, F.lit(1))), start, fold))
+    names = lambda c: F.array_sort(F.array_distinct(F.transform("held", lambda x: x[c])))
+    return rows.select("event", names("listing").alias("listings"), names("source").alias("sources"), "e.*")
+
+
 def refreshed(x: str = "x_", n: str = "n_") -> dict[str, Column]:
     """Columns of a listing x that its own source reports anew as n: new values win, nulls keep the old."""
     old, new = (lambda c: F.col(x + c)), (lambda c: F.col(n + c))
     fresh = lambda c: F.coalesce(new(c), old(c))
     return {
         "title": new("title"), **{c: fresh(c) for c in ("description", "image_url", "venue", "currency", "url")}, "starts_at": new("starts_at"),
-        "ends_at": F.coalesce(new("ends_at"), F.when(old("ends_at") >= new("starts_at"), old("ends_at"))), **{c: F.when(_has_price(n), new(c)).otherwise(old(c)) for c in PRICED},
+        "ends_at": F.coalesce(new("ends_at"), F.when(old("ends_at") >= new("starts_at"), old("ends_at"))), **{c: F.when(_has_price(new), new(c)).otherwise(old(c)) for c in PRICED},
         "tags": F.array_sort(F.array_distinct(F.concat(old("tags"), new("tags")))),
     }
 
@@ -134,47 +161,105 @@ def content_policy(description: Column, image: Column, may_describe: Column, may
     return F.when(may_describe, excerpt).otherwise(F.lit(None).cast("string")), F.when(may_show, image).otherwise(F.lit(None).cast("string"))
 
 
-def resolve_events(listings: DataFrame, never: list[tuple[str, str]] = ()) -> DataFrame:
+def replay_listings(rows: list[dict], near: dict, never: set[frozenset], force: set[frozenset]) -> list[tuple]:
+    """(listing, event, step) of the listings of one component (id, source, key, tokens, linked), taken one after another.
+
+    An event is named by the listing that founded it; linked is the event of an earlier run or None. The steps, in order:
+    forced by an override; refreshed, if its own source alone lists it and no other event has its key; the event that has its
+    key; the event it is in, if it still matches; the best match among events without another listing of its source (title
+    letter pairs, then the oldest); else created. A key that a forbidden event holds is made the listing's own.
+    """
+    by = {r["id"]: r for r in rows}
+    events: dict = {}
+    at: dict = {}
+    for r in rows:
+        if r["linked"] is not None:
+            e = events.setdefault(r["linked"], {"key": by.get(r["linked"], r)["key"], "tokens": by.get(r["linked"], r)["tokens"], "members": set(), "age": len(events)})
+            e["members"].add(r["id"])
+            at[r["id"]] = r["linked"]
+    out = []
+    for r in sorted(rows, key=lambda r: (r["source"], r["id"])):
+        i, key = r["id"], r["key"]
+        meets = lambda pairs: {e for e, held in events.items() if any(frozenset((i, m)) in pairs for m in held["members"] if m != i)}
+        forbidden = meets(never)
+        forced = [e for e in sorted(meets(force) - forbidden)]
+        holder = next((e for e, held in events.items() if held["key"] == key), None)
+        if holder in forbidden:
+            key = f"{key}|{r['source']}:{i}"
+            holder = next((e for e, held in events.items() if held["key"] == key), None)
+        linked = at.get(i) if at.get(i) not in forbidden else None
+        others = linked is not None and any(by[m]["source"] != r["source"] for m in events[linked]["members"])
+        fits = [e for e, held in events.items() if e not in forbidden and not any(m != i and by[m]["source"] == r["source"] for m in held["members"]) and (e in near.get(i, ()) or e == i)]
+        if forced:
+            target, step = forced[0], "forced"
+        elif linked is not None and not others and holder in (None, linked):
+            target, step = linked, "refreshed"
+            events[linked].update(key=key, tokens=r["tokens"])
+        elif holder is not None:
+            target, step = holder, "same key"
+        elif linked in fits:
+            target, step = linked, "stays"
+        elif fits:
+            target, step = max(fits, key=lambda e: (dice(r["tokens"], events[e]["tokens"]), -events[e]["age"])), "matched"
+        else:
+            target, step = i, "created"
+            while target in events:  # an older event that this listing founded and left
+                target = -target - 1
+            events[target] = {"key": key, "tokens": r["tokens"], "members": set(), "age": len(events)}
+        old = at.get(i)
+        if old is not None and old != target:
+            events[old]["members"].discard(i)
+        events[target]["members"].add(i)
+        at[i] = target
+        if old is not None and old != target and not events[old]["members"]:
+            del events[old]  # an orphan
+        out.append((i, target, step))
+    return out
+
+
+def resolve_events(listings: DataFrame, never: list[tuple] = (), force: list[tuple] = (), links: DataFrame | None = None, steps: bool = False) -> DataFrame:
     """(listing, event): the event of each listing (listing, source, title, venue, lat, lng, starts_at, ends_at).
 
-    Listings that could meet are a component; a component is replayed alone, source by source and listing by listing: an
-    event that has the same key takes the listing, else the best match among events without another listing of the
-    source (title letter pairs, then the oldest), else a new event. never: pairs of listings that must not share one.
+    Listings that could meet are a component, which is replayed alone by replay_listings(). never and force: pairs of
+    listings that must not, or must, share an event. links: (listing, event) of an earlier run. With steps, how it was found.
+    Listings that share no block with another, most of them, found an event each without leaving the JVM.
     """
     from tidemark.functions.text import dedupe_key
 
     rows = listings.withColumn("key", dedupe_key(F.col("title"), london_date(F.col("starts_at")), F.col("venue"))).withColumnRenamed("listing", "id")
+    kind = dict(rows.dtypes)["id"]
+    spark = rows.sparkSession
+    earlier = spark.createDataFrame([], f"id {kind}, linked {kind}") if links is None else links.select(F.col("listing").alias("id"), F.col("event").alias("linked"))
+    rows = rows.join(earlier, "id", "left")
     pairs = cut(fuzzy_pairs(rows))
-    least = rows.groupBy("key").agg(F.min("id").alias("a"))
-    edges = pairs.union(rows.join(least, "key").filter("id <> a").select("a", F.col("id").alias("b")))
-    named = components(rows.select(F.col("id").alias("node")), edges)
+    least = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias("a"))
+    edges = pairs
+    for c in ("key", "linked"):
+        edges = edges.union(rows.join(least(c), c).filter("id <> a").select("a", F.col("id").alias("b")))
+    told = [(a, b) for a, b in [*never, *force]]
+    if told:
+        edges = edges.union(spark.createDataFrame(told, f"a {kind}, b {kind}"))
+    edges = cut(edges)
     none = F.array().cast("array<string>")
-    ready = rows.join(named, rows["id"] == named["node"]).select("component", "id", "source", "key", F.coalesce(key_words(F.col("title")), none).alias("words"), F.coalesce(key_words(F.col("venue")), none).alias("venue_words"))
+    met_nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    named = cut(components(met_nodes.select(F.col("id").alias("node")), edges))
+    several = rows.join(met_nodes, "id", "left_semi")
+    alone = rows.join(met_nodes, "id", "left_anti").select(F.col("id").alias("listing"), F.coalesce("linked", "id").alias("event"), F.when(F.col("linked").isNull(), "created").otherwise("refreshed").alias("step"))
+    ready = several.join(named, several["id"] == named["node"]).select("component", "id", "source", "key", "linked", F.coalesce(key_words(F.col("title")), none).alias("words"), F.coalesce(key_words(F.col("venue")), none).alias("venue_words"))
     of_pair = named.select(F.col("node").alias("pair_node"), F.col("component").alias("pair_component"))
     met = pairs.join(of_pair, F.col("a") == F.col("pair_node")).select("pair_component", "a", "b")
-    apart = {frozenset(p) for p in never}
+    apart, together = ({frozenset(p) for p in x} for x in (never, force))
 
     def replay(group: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         near: dict = {}
         for a, b in zip(links["a"], links["b"]):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        events: list[dict] = []
-        found = []
-        group["tokens"] = [" ".join(title_tokens(list(t), list(v))) for t, v in zip(group["words"], group["venue_words"])]
-        for row in group.sort_values(["source", "id"]).itertuples():
-            allowed = [e for e in events if not any(frozenset((row.id, m)) in apart for m in e["members"])]
-            target = next((e for e in allowed if row.key == e["key"]), None)
-            if target is None:
-                fits = [e for e in allowed if row.source not in e["sources"] and e["members"][0] in near.get(row.id, ())]
-                target = max(fits, key=lambda e: (dice(row.tokens, e["tokens"]), -e["number"]), default=None)
-            if target is None:
-                target = {"number": len(events), "key": row.key, "members": [], "sources": set(), "tokens": row.tokens}
-                events.append(target)
-            target["members"].append(row.id)
-            target["sources"].add(row.source)
-            found.append((row.id, target["members"][0]))
-        return pd.DataFrame(found, columns=["listing", "event"])
-
-    kind = dict(rows.dtypes)["id"]
-    return ready.groupBy("component").cogroup(met.groupBy("pair_component")).applyInPandas(replay, f"listing {kind}, event {kind}")
+        rows = [
+            {"id": r.id, "source": r.source, "key": r.key, "linked": None if pd.isna(r.linked) else type(r.id)(r.linked), "tokens": " ".join(title_tokens(list(r.words), list(r.venue_words)))}
+            for r in group.itertuples()
+        ]
+        return pd.DataFrame(replay_listings(rows, near, apart, together), columns=["listing", "event", "step"])
+
+    found = ready.groupBy("component").cogroup(met.groupBy("pair_component")).applyInPandas(replay, f"listing {kind}, event {kind}, step string").unionAll(alone)
+    return found if steps else found.select("listing", "event")

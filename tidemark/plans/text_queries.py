@@ -440,6 +440,25 @@ def _(spark, sf):
     return resolve.resolve_events(df)
 
 
+@add("merged_events")
+def _(spark, sf):
+    """Each listing comes from two sources, the second with other gaps; pairs of them are one event."""
+    df, i = C.listings(spark, sf, lines=True), F.col("id")
+    of = lambda n, kind: df.select(
+        (i * 2 + n).alias("listing"), F.lit(f"s{n}").alias("source"), F.lit(kind).alias("kind"), "title", F.when((i + n) % 3 != 0, F.concat(F.lit(f"d{n}-"), i.cast("string"))).alias("description"), F.when((i + n) % 4 != 0, F.lit(f"i{n}")).alias("image_url"),
+        F.when((i + n) % 5 != 0, F.col("venue")).alias("venue"), "starts_at", "ends_at", "is_free", F.when((i + n) % 7 != 0, F.col("price_min")).alias("price_min"), F.when((i + n) % 7 != 0, F.col("price_max")).alias("price_max"), "currency", F.when((i + n) % 2 != 0, F.lit(f"u{n}")).alias("url"), F.col("good_for").alias("tags"),
+    )
+    both = of(0, "api").unionAll(of(1, "site"))
+    events = both.select("listing", F.floor(F.col("listing") / 2).alias("event"))
+    out = resolve.merged_events(both, events)
+    return out.select("event", F.array_join(F.transform("listings", lambda x: x.cast("string")), ",").alias("listings"), "title", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("image_url", F.lit("")).alias("image_url"), F.coalesce("venue", F.lit("")).alias("venue"), F.coalesce("price_min", F.lit(-1)).alias("price_min"), F.coalesce("url", F.lit("")).alias("url"))
+
+
+_GAP = lambda n, m, c: f"CASE WHEN (id + {n}) % {m} <> 0 THEN {c} END"
+ORACLES["merged_events"] = O.listing(f"""SELECT id AS event, (id * 2) || ',' || (id * 2 + 1) AS listings, title, coalesce({_GAP(1, 3, "'d1-' || id")}, {_GAP(0, 3, "'d0-' || id")}, '') AS description, coalesce({_GAP(1, 4, "'i1'")}, {_GAP(0, 4, "'i0'")}, '') AS image_url, coalesce({_GAP(0, 5, 'venue')}, {_GAP(1, 5, 'venue')}, '') AS venue,
+    coalesce(CASE WHEN is_free OR {_GAP(0, 7, 'price_min')} IS NOT NULL THEN {_GAP(0, 7, 'price_min')} ELSE {_GAP(1, 7, 'price_min')} END, -1) AS price_min, coalesce({_GAP(0, 2, "'u0'")}, {_GAP(1, 2, "'u1'")}, '') AS url FROM full_listing""", True)
+
+
 def reported(spark, sf):
     """Pairs of an event (x_) and a listing of it (n_), with gaps in either."""
     df, i = C.listings(spark, sf, lines=True), F.col("id")
