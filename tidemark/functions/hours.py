@@ -60,3 +60,20 @@ def from_schema_org(specs: Column) -> Column:
     rules = F.transform(specs, rule)
     read = F.forall(specs, lambda s: s.rlike(spec))
     return F.when(read & F.forall(rules, lambda r: r["days"].isNotNull()) & valid(rules), rules)
+
+
+def from_spec_json(json: Column) -> Column:
+    """Rules of an openingHoursSpecification, an object or an array of them, days as names, links to them or lists of these;
+    null if a part can't be read, seconds aren't zero or the rules don't go together."""
+    listed = F.when(F.ltrim(json).startswith("["), json).otherwise(F.concat(F.lit("["), json, F.lit("]")))
+    specs = F.from_json(listed, "array<struct<dayOfWeek:string,opens:string,closes:string>>")
+    names = F.array(*[F.lit(d[:3].lower()) for d in DAYS])
+
+    def days(x: Column) -> Column:
+        every = F.when(x.startswith("["), F.from_json(x, "array<string>")).otherwise(F.array(x))
+        return F.transform(every, lambda d: F.array_position(names, F.substring(F.lower(F.element_at(F.split(d, "/"), -1)), 1, 3)).cast("int"))
+
+    clock_of = lambda t: F.nullif(F.regexp_extract(t, r"^([01][0-9]|2[0-3]):([0-5][0-9])(:00)?$", 0), F.lit(""))
+    rules = F.transform(specs, lambda r: F.struct(F.array_sort(days(r["dayOfWeek"])).alias("days"), F.substring(clock_of(r["opens"]), 1, 5).alias("opens"), F.substring(clock_of(r["closes"]), 1, 5).alias("closes")))
+    read = F.forall(rules, lambda r: r["days"].isNotNull() & r["opens"].isNotNull() & r["closes"].isNotNull() & ~F.array_contains(r["days"], 0))
+    return F.when(F.coalesce(read, F.lit(False)) & valid(rules), rules)

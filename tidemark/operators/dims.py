@@ -127,3 +127,33 @@ def next_image_source(old_url: Column, old_source: Column, new_url: Column, stor
     """Whose image a listing shows after a source sent new_url and stored_url was kept: the source's if that is new or had no owner."""
     takes = new_url.isNotNull() & (stored_url == new_url) & (~stored_url.eqNullSafe(old_url) | old_source.isNull())
     return F.when(takes, source).otherwise(old_source)
+
+
+#: Groups of boroughs by the areas that people ask for.
+AREAS = {"central": ["westminster", "city-of-london", "lambeth", "southwark"], "east": ["city-of-london", "hackney", "tower-hamlets"], "kings-cross": ["camden", "islington"], "south-kensington": ["kensington-and-chelsea", "westminster"]}
+
+
+def in_area(borough: Column, area: str) -> Column:
+    """Lies in one of the boroughs of an area; an unknown area has none."""
+    return F.coalesce(borough.isin(AREAS.get(area, [])), F.lit(False))
+
+
+GROUNDING, MOST_ARTISTS, MOST_NAME = ["source_text", "general_knowledge", "none"], 10, 120
+
+
+def answer_fault(answer: Column, facts: Column, allowed: dict[str, list[str]], most: dict[str, int]) -> Column:
+    """What is wrong with a model's answer (id, tags by name, artists, grounding, confidence), or null.
+
+    Tags must be allowed, different and no more than `most`; artists must occur in the facts that were sent.
+    """
+    plain = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " ")
+    held = F.concat(F.lit(" "), plain(facts), F.lit(" "))
+    fault = F.when(answer.isNull() | answer["id"].isNull(), "no answer")
+    for name, words in allowed.items():
+        tags = answer[name]
+        fault = fault.when(tags.isNull(), f"{name}: missing").when(F.size(tags) > most[name], f"{name}: too many").when(F.size(F.array_distinct(tags)) < F.size(tags), f"{name}: repeated")
+        fault = fault.when(F.size(F.array_except(tags, F.array(*map(F.lit, words)))) > 0, f"{name}: not allowed")
+    fault = fault.when(~F.coalesce(answer["grounding"].isin(GROUNDING), F.lit(False)), "grounding: not allowed").when(~F.coalesce(answer["confidence"].between(0, 1), F.lit(False)), "confidence: not between 0 and 1")
+    names = F.transform(answer["artists"], lambda a: F.trim(a))
+    fault = fault.when(F.size(names) > MOST_ARTISTS, "artists: too many").when(F.exists(names, lambda a: (a == "") | (F.length(a) > MOST_NAME)), "artists: empty or over-long name")
+    return fault.when(F.exists(names, lambda a: ~F.contains(held, F.concat(F.lit(" "), F.trim(plain(a)), F.lit(" ")))), "artists: not in the input")

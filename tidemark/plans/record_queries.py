@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import catalog as C
-from tidemark.functions import money, share, text, timex
+from tidemark.functions import hours, money, share, text, timex
 from tidemark.functions.timex import london_date
 from tidemark.operators import dims
 from tidemark.operators import quality as Q
 from tidemark.plans import oracle as O
 from tidemark.plans.text_queries import HEAD_WORDS, SENTENCE, T
+from tidemark.sources import platforms
 
 QUERIES, ORACLES = {}, {}
 
@@ -251,3 +252,67 @@ def _(spark, sf):
     new, old = F.when(o % 4 != 0, F.lit("new")), F.when(o % 3 == 0, F.lit("new")).otherwise(F.lit("old"))
     stored, owner = F.coalesce(new, old), F.when(o % 5 != 0, F.lit(3))
     return C.table(spark, sf, "orders").select(o.alias("id"), F.coalesce(dims.next_image_source(old, owner, new, stored, F.lit(7)), F.lit(0)).alias("source"))
+
+
+# ---------------------------------------------------------------- sources and answers
+
+_NAMES = ["Monday", "https://schema.org/Tuesday", "sat", "Someday", "SUNDAY"]
+
+
+@add("hours_spec_json", f"SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 3 OR o_orderkey % 24 >= 18 THEN '' ELSE {O.one_of(['1', '2', '6', '', '7'], 'o_orderkey % 5')} || CASE WHEN o_orderkey % 2 = 0 THEN ',5' ELSE '' END || ' ' || lpad(CAST(o_orderkey % 24 AS VARCHAR), 2, '0') || ':30-18:00' END AS hours FROM orders WHERE o_orderkey % 10 <> 8 OR o_orderkey % 24 >= 18")
+def _(spark, sf):
+    """An object for odd orders, a list with two days for even ones; those that open after they close have none."""
+    o = F.col("o_orderkey")
+    name = C.pick(_NAMES, o % 5)
+    times = F.concat(F.lit(',"opens":"'), F.lpad((o % 24).cast("string"), 2, "0"), F.lit(':30","closes":"18:00:00"}'))
+    single = F.concat(F.lit('{"dayOfWeek":"'), name, F.lit('"'), times)
+    double = F.concat(F.lit('[{"dayOfWeek":["Friday","'), name, F.lit('"]'), times, F.lit("]"))
+    rules = hours.from_spec_json(F.when(o % 2 == 0, double).otherwise(single))
+    shown = F.array_join(F.transform(rules, lambda r: F.concat(F.array_join(F.array_sort(r["days"], lambda a, b: F.when(a == 5, 1).when(b == 5, -1).otherwise(a - b)), ","), F.lit(" "), r["opens"], F.lit("-"), r["closes"])), ";")
+    return C.table(spark, sf, "orders").filter((o % 10 != 8) | (o % 24 >= 18)).select(o.alias("id"), F.coalesce(shown, F.lit("")).alias("hours"))
+
+
+def calendar_pages(spark, sf):
+    """Three events a page: one to take, one without a link, one hidden; every seventh page has no events."""
+    i = F.col("page_id")
+    event = lambda url, title, hidden: F.struct(url.alias("url"), title.alias("title"), F.lit("2026-10-02 19:30:00").alias("start_date"), F.lit("2026-10-02 21:00:00").alias("end_date"), F.struct(F.lit("Hall").alias("venue"), F.lit("1 Road").alias("address"), F.lit("London").alias("city")).alias("venue"), F.array(F.struct(F.lit("Talks").alias("name"))).alias("categories"), F.lit(hidden).alias("hide_from_listings"))
+    events = F.array(event(F.concat(F.lit("https://example.org/event/"), i.cast("string"), F.lit("/?x=1")), F.concat(F.lit(" Talk "), i.cast("string")), False), event(F.lit("nowhere"), F.lit("b"), False), event(F.lit("https://example.org"), F.lit("c"), True))
+    page = F.when(i % 7 == 0, F.lit('{"message":"gone"}')).otherwise(F.to_json(F.struct(events.alias("events"), F.lit(1).alias("total_pages"))))
+    return C.table(spark, sf, "pages").select("page_id", page.alias("json"))
+
+
+@add("calendar_events", "SELECT page_id, '/event/' || page_id || '/' AS source_event_id, 'Talk ' || page_id AS title, 'Hall' AS venue, '1 Road, London' AS address, '2026-10-02 18:30:00' AS starts_at, 'Talks' AS tags FROM pages WHERE page_id % 7 <> 0")
+def _(spark, sf):
+    rows = platforms.calendar_events(calendar_pages(spark, sf)).filter("reason IS NULL")
+    return rows.select("page_id", "source_event_id", "title", "venue", "address", timex.shown(F.col("starts_at")).alias("starts_at"), F.array_join("tags", ",").alias("tags"))
+
+
+@add("skip_log", "SELECT reason, count(*) AS n FROM (SELECT unnest(CASE WHEN page_id % 7 = 0 THEN ['no events array'] ELSE ['no usable link', 'hidden'] END) AS reason FROM pages) GROUP BY reason")
+def _(spark, sf):
+    return platforms.skipped(platforms.calendar_events(calendar_pages(spark, sf)))
+
+
+@add("embedded_json", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '{\"page\":' || page_id || '}' END AS data FROM pages")
+def _(spark, sf):
+    script = F.concat(F.lit('<script id="__NEXT_DATA__" type="application/json">{"page":'), F.col("page_id").cast("string"), F.lit("}</script>"))
+    html = F.when(F.col("page_id") % 2 == 0, F.concat("html", script)).otherwise(F.col("html"))
+    return C.table(spark, sf, "pages").select("page_id", platforms.embedded_json(html).alias("data"))
+
+
+_BOROUGHS = ["westminster", "hackney", "camden", "lambeth", "barnet"]
+
+
+@add("in_area", f"SELECT c_custkey AS id, {O.one_of(_BOROUGHS, 'c_custkey % 5')} IN ('westminster', 'city-of-london', 'lambeth', 'southwark') AS central, {O.one_of(_BOROUGHS, 'c_custkey % 5')} IN ('city-of-london', 'hackney', 'tower-hamlets') AS east FROM customer")
+def _(spark, sf):
+    borough = C.pick(_BOROUGHS, F.col("c_custkey") % 5)
+    return C.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), dims.in_area(borough, "central").alias("central"), dims.in_area(borough, "east").alias("east"))
+
+
+@add("answer_faults", """SELECT p_partkey AS id, CASE WHEN p_partkey % 8 = 1 THEN 'tags: too many' WHEN p_partkey % 8 = 2 THEN 'tags: repeated' WHEN p_partkey % 8 = 3 THEN 'tags: not allowed' WHEN p_partkey % 8 = 4 THEN 'grounding: not allowed' WHEN p_partkey % 8 = 5 THEN 'confidence: not between 0 and 1'
+    WHEN p_partkey % 8 = 6 THEN 'artists: not in the input' ELSE '' END AS fault FROM part""")
+def _(spark, sf):
+    k = F.col("p_partkey") % 8
+    tags = F.when(k == 1, F.array(*map(F.lit, "abc"))).when(k == 2, F.array(F.lit("a"), F.lit("a"))).when(k == 3, F.array(F.lit("z"))).otherwise(F.array(F.lit("a")))
+    answer = F.struct(F.col("p_partkey").cast("string").alias("id"), tags.alias("tags"), F.array(F.when(k == 6, F.lit("Nobody")).otherwise(F.initcap("p_name"))).alias("artists"), F.when(k == 4, "guess").otherwise("none").alias("grounding"), F.when(k == 5, 1.5).otherwise(0.5).alias("confidence"))
+    fault = dims.answer_fault(answer, F.concat(F.lit("By "), "p_name", F.lit(", and more")), {"tags": ["a", "b", "c"]}, {"tags": 2})
+    return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.coalesce(fault, F.lit("")).alias("fault"))
