@@ -6,7 +6,7 @@ of text around such anchors become contexts, shared contexts confirm the recurri
 into Aho-Corasick automata over words, sharded by anchor and of bounded size. All documents' contexts are streamed
 through the automata of their shards to locate every occurrence; what a window that starts in a document with a
 smaller id covers is cut. A shard that many documents share is streamed in slices, each with its own copy of the
-patterns, so copies never gather in one task.
+patterns, so copies never gather in one task; where its patterns are many, they are dealt anew by whole windows.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
-from tidemark.llm.common import drop, materialise, release
+from tidemark.llm.common import drop, materialise
 
 WINDOW, PHRASE = 13, 5
 SHARD_ROWS = 20_000
@@ -127,7 +127,6 @@ def _shared_anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     spark = rows.sparkSession
     found = materialise(_anchor_rows(rows, window, phrase), "anchors")
     shared = materialise(found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor"), "shared")
-    release(spark)
     lists = materialise(found.join(shared, "anchor", "left_semi").groupBy("id").agg(F.collect_set("anchor").alias("shared")), "lists")
     drop(found)
     drop(shared)
@@ -137,7 +136,6 @@ def _shared_anchors(rows: DataFrame, window: int, phrase: int) -> DataFrame:
 def _contexts(rows: DataFrame, window: int, phrase: int) -> DataFrame:
     """(anchor, id, hash, start, context): the stretches of text whose windows have an anchor of two documents."""
     lists = _shared_anchors(rows, window, phrase)
-    release(rows.sparkSession)
     spread = np.uint64(MULTIPLIER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,17 +254,40 @@ def _cut(streamed: pa.Table, patterns: pa.Table, window: int) -> pa.Table:
     return pa.table([pa.array(ids[own]), pa.array(marks[own]), pa.array(first, pa.int32()), pa.array(last, pa.int32())], schema=RANGES)
 
 
-def _ranges(contexts: DataFrame, window: int, shard_rows: int) -> DataFrame:
+def _single_windows(contexts: DataFrame, window: int) -> DataFrame:
+    """The contexts' windows, each a context of its own whose anchor is the hash of all its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _parts(batch, 3):
+                words = Words(part.column(3))
+                at, own = words.anchors(window, window)
+                text, raw = words.text[at], words.bytes.tobytes()
+                cut = [raw[a:b] for a, b in zip(words.start[at].tolist(), words.end[at + window - 1].tolist())]
+                starts = part.column(2).to_numpy()[text] + (at - words.first[text])
+                yield pa.RecordBatch.from_arrays([pa.array(own), part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(starts.astype(np.int32)), pa.array(cut, pa.binary()).cast(pa.string())], names=["anchor", "id", "hash", "start", "context"])
+
+    return contexts.select("id", "hash", "start", "context").mapInArrow(run, "anchor long, id long, hash long, start int, context string")
+
+
+def _ranges(contexts: DataFrame, window: int, shard_rows: int, single: bool = False) -> DataFrame:
     """(id, hash, first, last): word ranges to cut, last not included.
 
     The contexts of a shard are its patterns, too. Shards of over twice the usual size are dealt into slices, each with
-    all patterns of the shard, in which equal contexts are one.
+    all patterns of the shard, in which equal contexts are one. A shard with more different patterns than usual rows (a
+    stock phrase in ever new surroundings) is dealt anew by whole windows, which no longer share a shard: `single` says
+    that the contexts are such windows.
     """
     shards = max(1, -(-contexts.count() // shard_rows))
     contexts = contexts.withColumn("shard", F.pmod("anchor", F.lit(shards))).select("shard", "id", "hash", "start", "context")
     counts = contexts.groupBy("shard").count().filter(F.col("count") > 2 * shard_rows)
     hot = materialise(counts.select(F.col("shard").alias("hot"), F.ceil(F.col("count") / shard_rows).cast("int").alias("slices")), "hot")
     is_hot = F.col("shard") == F.col("hot")
+    patterns = materialise(contexts.join(hot, is_hot).groupBy("shard", "slices", "context").agg(F.min("id").alias("id_min"), F.max("id").alias("id_max")), "patterns")
+    rich = hot.limit(0).select(F.col("hot").alias("shard")) if single else patterns.groupBy("shard").count().filter(F.col("count") > shard_rows).select("shard")
+    rich = materialise(rich, "rich")
+    split = None if rich.isEmpty() else materialise(_single_windows(contexts.join(rich, "shard", "left_semi"), window), "windows")
+    hot, patterns = (t.join(rich.withColumnRenamed("shard", name), name, "left_anti") for t, name in ((hot, "hot"), (patterns, "shard")))
 
     def alone(group: pa.Table) -> pa.Table:
         return _cut(group, group.group_by("context").aggregate([("id", "min"), ("id", "max")]), window)
@@ -274,15 +295,14 @@ def _ranges(contexts: DataFrame, window: int, shard_rows: int) -> DataFrame:
     def sliced(streamed: pa.Table, patterns: pa.Table) -> pa.Table:
         return _cut(streamed, patterns, window)
 
-    usual = contexts.join(hot, is_hot, "left_anti").groupBy("shard").applyInArrow(alone, "id long, hash long, first int, last int")
-    patterns = contexts.join(hot, is_hot).groupBy("shard", "slices", "context").agg(F.min("id").alias("id_min"), F.max("id").alias("id_max"))
-    patterns = patterns.select(F.col("shard").alias("p_shard"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("p_slice"), F.col("context").alias("p_context"), "id_min", "id_max")
-    patterns = patterns.withColumnRenamed("p_context", "context")
+    large = hot.select("hot").unionAll(rich.select("shard"))
+    usual = contexts.join(large, is_hot, "left_anti").groupBy("shard").applyInArrow(alone, "id long, hash long, first int, last int")
+    patterns = patterns.select(F.col("shard").alias("p_shard"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("p_slice"), "context", "id_min", "id_max")
     streamed = contexts.join(hot, is_hot).withColumn("slice", F.pmod(F.xxhash64("id", "start"), F.col("slices")).cast("int"))
-    large = streamed.groupBy("shard", "slice").cogroup(patterns.groupBy("p_shard", "p_slice")).applyInArrow(sliced, "id long, hash long, first int, last int")
-    found = materialise(usual.unionAll(large), "ranges")
+    sharded = streamed.groupBy("shard", "slice").cogroup(patterns.groupBy("p_shard", "p_slice")).applyInArrow(sliced, "id long, hash long, first int, last int")
+    found = materialise(usual.unionAll(sharded), "ranges")
     drop(contexts)
-    return found
+    return found if split is None else found.unionAll(_ranges(split, window, shard_rows, single=True))
 
 
 def kept_words(words: list[bytes], first: list[int], last: list[int]) -> list[bytes]:
@@ -301,14 +321,12 @@ def dedup_substrings(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A window is repeated if its words also start in a row with a smaller id; windows are judged on the input. A row
     that loses nothing keeps its text as it is. Null texts stay null and have no words; a row with a null id neither
     loses words nor counts as another's source; rows with one id don't count for one another. Other columns stay,
-    except those named like the three.
+    except those named like the three. An empty table gives an empty one.
     """
     kept = [c for c in df.columns if c not in ("n_words", "n_removed", "kept_text", "_tm_hash")]
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     contexts = _contexts(rows, window, phrase)
-    release(df.sparkSession)
     ranges = _ranges(contexts, window, shard_rows)
-    release(df.sparkSession)
     cut = ranges.groupBy(F.col("id").alias("_tm_id"), F.col("hash").alias("_tm_mark")).agg(F.collect_list(F.struct("first", "last")).alias("_tm_ranges"))
     source = df.select(*kept, F.xxhash64(text_col).alias("_tm_hash"))
     met = source.join(cut, (source[id_col] == cut["_tm_id"]) & (source["_tm_hash"] == cut["_tm_mark"]), "left").select(*kept, F.col("_tm_ranges.first").alias("_tm_first"), F.col("_tm_ranges.last").alias("_tm_last"))
