@@ -5,8 +5,9 @@ bucket; where that shard is full, it goes on clockwise to the next point of a sh
 floor or the ceiling of rows / shards, so row counts are at most one apart.
 
 Filling the ring bucket by bucket needs only the counts of the buckets, a table of fixed size: the walk round the ring
-yields, per bucket, the intervals of row ranks that each shard takes. Rows get their rank from a window over their
-bucket, after equal rows have been counted into one, so no key, however frequent, makes a large group.
+yields, per bucket, the intervals of row ranks that each shard takes. Equal rows are counted into rows of at most 64
+copies, and all are dealt by range; a rank is the sum of the ranges before and a window over the row's own bucket and
+range, so no key, however frequent and with however many texts, makes a large group.
 """
 
 from __future__ import annotations
@@ -14,10 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import drop, materialise, shuffle_partitions
 
 BUCKETS = 1 << 14
 POINTS_PER_SHARD = 64
+COPIES = (1 << 16, 64)
 
 
 def ring_points(shards: int, points: int, buckets: int) -> list[tuple[int, int]]:
@@ -58,14 +60,22 @@ def shard_rows(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_co
     key = F.conv(F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("crc"), key.alias("key"))
     rows = rows.groupBy("id", "size", "crc", "key").agg(F.count(F.lit(1)).alias("copies")).withColumn("bucket", F.expr(f"key div {(1 << 60) // buckets}").cast("int"))
+    for most in COPIES:  # rows of at most so many copies each
+        rows = rows.withColumn(f"part{most}", F.explode(F.expr(f"sequence(0L, (copies - 1) div {most})"))).withColumn("copies", F.least(F.lit(most).cast("long"), F.col("copies") - F.col(f"part{most}") * most))
     rows = materialise(rows, "ring")
     counts = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.sum("copies")).collect()}  # one row a bucket at most
-    order = Window.partitionBy("bucket").orderBy("key", "id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = rows.withColumn("rank", F.coalesce(F.sum("copies").over(order), F.lit(0)))
+    order = ["key", "id", "size", "crc", *[f"part{most}" for most in COPIES]]
+    dealt = materialise(rows.repartitionByRange(shuffle_partitions(docs.sparkSession), "bucket", *order).withColumn("range", F.spark_partition_id()), "ranges")
+    drop(rows)
+    within = Window.partitionBy("bucket", "range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = dealt.groupBy("bucket", "range").agg(F.sum("copies").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    ranked = dealt.withColumn("within", F.coalesce(F.sum("copies").over(within), F.lit(0))).join(firsts, ["bucket", "range"]).withColumn("rank", F.col("first") + F.col("within"))
     plan = fill(counts, shards, ring_points(shards, points, buckets))
     values = ", ".join(map(str, plan)) or "(-1, 0, 0, 0, 0)"
     takes = docs.sparkSession.sql(f"SELECT INT(col1) AS bucket, BIGINT(col2) AS r_from, BIGINT(col3) AS r_to, INT(col4) AS shard, BIGINT(col5) AS base FROM VALUES {values}")
-    meets = (ranked["bucket"] == takes["bucket"]) & (F.col("rank") < F.col("r_to")) & (F.col("rank") + F.col("copies") > F.col("r_from"))
+    takes = F.broadcast(takes.withColumnRenamed("bucket", "t_bucket"))  # at most a row a bucket and one for each end of a shard
+    meets = (ranked["bucket"] == takes["t_bucket"]) & (F.col("rank") < F.col("r_to")) & (F.col("rank") + F.col("copies") > F.col("r_from"))
     first, end = F.greatest("rank", "r_from"), F.least(F.col("rank") + F.col("copies"), F.col("r_to"))
     slots = F.explode(F.sequence(F.col("base") + first - F.col("r_from"), F.col("base") + end - F.col("r_from") - 1))
     return ranked.join(takes, meets).select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", slots.alias("slot"))
