@@ -79,8 +79,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url_col: str = "url", defaul
     best = expanded.join(table, "prefix").filter(F.col("e_digest") == F.col("r_digest")).groupBy(F.col("u_url").alias("_tm_url")).agg(F.max(rank).alias("_tm_best"))
     host, path = url_parts(F.col(url_col))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    # a null URL finds no rule; a key of its own for each keeps them from meeting in one task
+    key = F.coalesce(F.col(url_col), F.concat(F.lit("\0"), F.monotonically_increasing_id().cast("string")))
     return (
-        pages.select(*kept).join(best, F.col(url_col) == F.col("_tm_url"), "left")
+        pages.select(*kept, key.alias("_tm_key")).join(best, F.col("_tm_key") == F.col("_tm_url"), "left")
         .select(*kept, host.alias("host"), path.alias("path"), F.col("_tm_best.rule").alias("rule"), F.coalesce(F.col("_tm_best.action"), F.lit(default)).alias("verdict"))
     )
 
