@@ -24,7 +24,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u long, v long) that isn't the least of its component, its root.
 
     Alternating large-star and small-star rounds: minima by partial aggregation and plain equi-joins, so a node with
-    any number of neighbours is never gathered in one task. Each round is written to the shared folder. Self-loops and
+    any number of neighbours is never gathered in one task. Each round is written to the shared folder, its last one gone. Self-loops and
     repeated edges are allowed, null ends are ignored.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
@@ -32,7 +32,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = state(edges)
     while seen[0]:
-        nxt = materialise(_small_star(_large_star(edges)), "edges")
+        nxt = materialise(_small_star(_large_star(edges)), "edges", rows=seen[0])  # a round adds no edges
         now = state(nxt)
         drop(edges)
         edges = nxt

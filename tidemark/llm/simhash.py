@@ -244,11 +244,13 @@ def prefix(found: np.ndarray, size: int, keys: np.ndarray, counts: np.ndarray) -
 def independent(edges: DataFrame) -> DataFrame:
     """(id): the nodes of edges (u < v) that go if, least first, each node stays that has no edge to one that stays."""
     gone = edges.select(F.col("v").alias("id")).limit(0)
-    while not edges.isEmpty():
+    left = edges.count()
+    while left:
         heads = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_anti").distinct()
-        out = materialise(edges.join(heads, "u").select("v").distinct(), "out")
+        out = materialise(edges.join(heads, "u").select("v").distinct(), "out", rows=left)
         gone = gone.unionAll(out.select(F.col("v").alias("id")))
-        edges = materialise(edges.join(out, "v", "left_anti").join(out.select(F.col("v").alias("u")), "u", "left_anti").select("u", "v"), "edges")
+        edges = materialise(edges.join(out, "v", "left_anti").join(out.select(F.col("v").alias("u")), "u", "left_anti").select("u", "v"), "edges", rows=left)
+        left = edges.count()
     return gone
 
 
@@ -267,10 +269,15 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = df.sparkSession
     scratch: list[DataFrame] = []
 
-    def keep(frame: DataFrame, name: str) -> DataFrame:
-        scratch.append(materialise(frame, name))
+    def keep(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        scratch.append(materialise(frame, name, rows))
         return scratch[-1]
 
+    def forget(*tables: DataFrame) -> None:
+        for table in tables:
+            scratch[:] = [t for t in scratch if t is not table]
+            drop(table)
+
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     order = spark.sparkContext.broadcast(rarest(rows, shingle))
     least = lambda n: math.ceil(similarity * n - 1e-9)
@@ -286,7 +293,7 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = keep(rows.mapInArrow(start, "id long, digest long, size long, fp long, first array<int>").filter("size > 0"), "prefixes")
     named = every.groupBy("id").agg(F.min(F.struct("digest", "size")).alias("set")).select("id", "set.*")
     firsts = keep(named.groupBy("digest", "size").agg(F.min("id").alias("id")), "firsts")
-    gone = named.select("id").join(firsts.select("id"), "id", "left_anti")
+    gone = keep(named.select("id").join(firsts.select("id"), "id", "left_anti"), "equal")
     chosen = every.join(firsts, ["id", "digest", "size"]).dropDuplicates(["id"])
     tokens = chosen.select("id", "size", F.posexplode("first").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
@@ -312,12 +319,14 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return keep(met.mapInArrow(compare, "u long, v long"), "confirmed")
 
     prints = keep(chosen.select("id", "fp").join(wanted, "id", "left_semi"), "prints")
+    forget(every, firsts)
     linked = prints.join(keep(component_names(prints, radius), "named"), "fp").filter("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v"))
     least_of = tokens.groupBy("token").agg(F.min("id").alias("u"))
     later = tokens.join(least_of, "token").filter("u < id").select(F.col("id").alias("u")).distinct()
     out = confirm(linked.join(later, "u", "left_anti")).select(F.col("v").alias("id")).distinct()
     gone = gone.unionAll(out)
-    tokens = keep(tokens.join(out, "id", "left_anti"), "tokens")
+    before, tokens = tokens, keep(tokens.join(out, "id", "left_anti"), "tokens")
+    forget(before)
     left = tokens.select("id").distinct().count()
     while left:
         heads = tokens.groupBy("token").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -325,8 +334,9 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = near.select("u").join(near.select(F.col("v").alias("u")), "u", "left_anti").distinct()
         out = confirm(near.join(first, "u")).select(F.col("v").alias("id")).distinct()
         gone = gone.unionAll(out)
-        settled = out.unionAll(first.select(F.col("u").alias("id")))
-        tokens = keep(tokens.join(settled, "id", "left_anti"), "tokens")
+        settled = out.unionAll(first.select(F.col("u").alias("id")))  # a head has met all that could be like it
+        before, tokens = tokens, keep(tokens.join(settled, "id", "left_anti"), "tokens")
+        forget(before, near)
         went = out.count()
         if 20 * went < left:
             break
@@ -336,8 +346,7 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fits = F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat")) >= enough
     pairs = a.join(b, "token").filter((F.col("aid") < F.col("bid")) & fits).select(F.col("aid").alias("u"), F.col("bid").alias("v")).distinct()
     found = materialise(gone.unionAll(independent(confirm(keep(pairs, "pairs")))), "gone")
-    for table in scratch:
-        drop(table)
+    forget(*scratch)
     return found
 
 
