@@ -77,3 +77,23 @@ def test_every_overlap_of_four_words_in_five(spark):
     bench = spark.createDataFrame([(n, " ".join(t)) for n, t in enumerate(items)], "item_id long, text string")
     rows = sorted(tuple(r) for r in decontaminate.overlaps(frame, bench).collect())
     assert rows == [(0, 0, 1, 0, 13, 12), (1, 0, 1, 0, 13, 11), (2, 1, 1, 0, 16, 14), (3, 2, 1, 0, 17, 15), (5, 3, 1, 0, 25, 20), (5, 3, 36, 35, 25, 20)]
+
+
+def test_both_runs_of_a_diagonal(spark):
+    item = [f"i{k}" for k in range(100)]
+    text = ["other" if 30 <= k < 60 else w for k, w in enumerate(item)]
+    frame, bench = spark.createDataFrame([(1, " ".join(text))], "doc_id long, text string"), spark.createDataFrame([(2, " ".join(item))], "item_id long, text string")
+    rows = decontaminate.overlaps(frame, bench).collect()
+    covered = {p for r in rows for p in range(r.doc_start, r.doc_start + r.length)}
+    assert {*range(30), *range(60, 100)} <= covered and len(rows) == 2
+
+
+def test_equal_words_do_not_pile_up():
+    block = decontaminate.Block([(1, decontaminate.word_hashes(["x " * 1_000])[0])])
+    hits, decontaminate.HITS = decontaminate.HITS, 4_000
+    try:
+        hashes = decontaminate.word_hashes(["x " * 3_000])[0]
+        found = block.diagonals(hashes, np.array([0, 3_000]))
+        assert len(found) == len({*map(tuple, found.tolist())}) and {r[2] for r in found.tolist()} >= set(range(2_001))
+    finally:
+        decontaminate.HITS = hits

@@ -61,3 +61,29 @@ def test_ring(spark):
     points = ring_shard.ring_points(8, ring_shard.POINTS_PER_SHARD, ring_shard.BUCKETS)
     assert Counter(got) == Counter(brute_ring(rows, 8, points))
     assert ring_shard.shard_rows(frame.limit(0), 8).count() == 0
+
+
+def test_ring_with_one_hot_id_and_clashing_names(spark):
+    rows = [(5, f"text {i % 700}", 1, 1) for i in range(900)] + [(5, "same", 2, 2)] * 500 + [(i, "x", 3, 3) for i in range(100)] + [(None, str(i), 4, 4) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, shard int, bucket int")
+    got = [tuple(r) for r in ring_shard.shard_rows(frame, 8).collect()]
+    assert Counter(got) == Counter(brute_ring([r[:2] for r in rows], 8, ring_shard.ring_points(8, ring_shard.POINTS_PER_SHARD, ring_shard.BUCKETS)))
+    sizes = Counter(r[3] for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+
+
+def test_null_urls_meet_in_no_task(spark):
+    rows = [(i, None if i % 10 else f"http://a{i}.com/en/{i}") for i in range(2_000)]
+    frame = spark.createDataFrame(rows, "page_id long, url string").repartition(4)
+    out = url_filter.filter_urls(frame, url_filter.default_rules(spark))
+    assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in out.collect()} == {i: brute_verdict(u, url_filter.RULES) for i, u in rows}
+
+
+def test_licence_precedence_names_and_empty_tables(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    names = " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    apache = "Licensed under the Apache License, Version 2.0 (the License). You may not use this file except in compliance with the License. You may obtain a copy of the License at"
+    frame = spark.createDataFrame([(0, bsd, "z"), (1, bsd + names, "z"), (2, apache, "z"), (3, bsd + " All rights reserved.", "z")], "doc_id long, text string, licenses string")
+    got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(frame).collect()}
+    assert got == {0: ["BSD-2-Clause"], 1: ["BSD-3-Clause"], 2: ["Apache-2.0"], 3: ["BSD-2-Clause", "Proprietary"]}
+    assert license_scan.scan_licenses(frame.limit(0)).count() == 0

@@ -80,3 +80,10 @@ def test_tiles_lose_no_link():
                 for y in b.tolist():
                     if (x ^ y).bit_count() <= 4:
                         assert find(x) == find(y)
+
+
+def test_columns_named_like_the_results(spark):
+    rows = [(1, "a b c d e", 9, "f", 8), (2, "a b c d e", 9, "f", 8), (3, "other words stand here now", 9, "f", 8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id int, fingerprint string, component_id int")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
