@@ -87,3 +87,18 @@ def test_licence_precedence_names_and_empty_tables(spark):
     got = {r.doc_id: r.licenses for r in license_scan.scan_licenses(frame).collect()}
     assert got == {0: ["BSD-2-Clause"], 1: ["BSD-3-Clause"], 2: ["Apache-2.0"], 3: ["BSD-2-Clause", "Proprietary"]}
     assert license_scan.scan_licenses(frame.limit(0)).count() == 0
+
+
+def test_more_licences(spark):
+    texts = {
+        "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+        "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "0BSD": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+        "Zlib": "This software is provided 'as-is', without any express or implied warranty.\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n1. x",
+        "CC0-1.0": "CC0 1.0 Universal",
+        "CC-BY-ND-4.0": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; x",
+    }
+    frame = spark.createDataFrame(list(texts.items()), "want string, text string")
+    assert {r.want: r.licenses for r in license_scan.scan_licenses(frame).collect()} == {k: [k] for k in texts}

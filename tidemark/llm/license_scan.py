@@ -36,6 +36,27 @@ SENTENCES = {
     "this program is distributed in the hope that it will be useful but without any warranty": "gpl-warranty",
     "all rights reserved": "all-rights",
     "this is free and unencumbered software released into the public domain": "unlicense-head",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl-2.0-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl-2.1-later",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3.0-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl-3.0-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl-3.0-later",
+    "this source code form is subject to the terms of the mozilla public license v": "mpl-head",
+    "if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0": "mpl-2.0-copy",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": "0bsd-grant",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0": "epl-2.0-head",
+    "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work": "cc0-waiver",
+    "cc0 1 0 universal": "cc0-title",
+    "licensed under cc by nd 4 0": "cc-by-nd-4.0-line",
+    "this work is licensed under a creative commons attribution 4 0 international license": "cc-by-4.0-line",
+    "this work is licensed under a creative commons attribution sharealike 4 0 international license": "cc-by-sa-4.0-line",
+    "this work is licensed under a creative commons attribution noncommercial 4 0 international license": "cc-by-nc-4.0-line",
+    "this work is licensed under a creative commons attribution noderivatives 4 0 international license": "cc-by-nd-4.0-line",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following": "bsl-1.0-grant",
 }
 
 #: Licence rules in order of precedence, as sequences of sentence identifiers.
@@ -45,6 +66,23 @@ RULES = [
     ("Apache-2.0", ["apache-2.0-head", "apache-2.0-comply", "apache-2.0-copy"]),
     ("GPL-3.0-or-later", ["gpl-3.0-later", "gpl-warranty"]),
     ("GPL-3.0-or-later", ["gpl-3.0-later"]),
+    ("GPL-2.0-or-later", ["gpl-2.0-later", "gpl-warranty"]),
+    ("GPL-2.0-or-later", ["gpl-2.0-later"]),
+    ("AGPL-3.0-or-later", ["agpl-3.0-later", "gpl-warranty"]),
+    ("AGPL-3.0-or-later", ["agpl-3.0-later"]),
+    ("LGPL-3.0-or-later", ["lgpl-3.0-later"]),
+    ("LGPL-2.1-or-later", ["lgpl-2.1-later"]),
+    ("MPL-2.0", ["mpl-head", "mpl-2.0-copy"]),
+    ("EPL-2.0", ["epl-2.0-head"]),
+    ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("Zlib", ["zlib-warranty", "zlib-grant"]),
+    ("BSL-1.0", ["bsl-1.0-grant"]),
+    ("CC0-1.0", ["cc0-title", "cc0-waiver"]),
+    ("CC0-1.0", ["cc0-waiver"]),
+    ("CC0-1.0", ["cc0-title"]),
+    ("MIT", ["mit-title", "mit-grant", "mit-notice", "mit-warranty"]),
+    ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-title", "mit-notice", "mit-warranty"]),
     ("MIT", ["mit-notice", "mit-warranty"]),
     ("MIT", ["mit-line"]),
@@ -53,6 +91,7 @@ RULES = [
     ("GPL-2.0-only", ["gpl-2.0-line"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-4.0-line"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-4.0-line"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-4.0-line"]),
     ("CC-BY-4.0", ["cc-by-4.0-line"]),
     ("Unlicense", ["unlicense-head"]),
     ("Proprietary", ["all-rights"]),

@@ -28,7 +28,7 @@ SLICE = 1 << 18  # bytes of text tokenised at once
 #: Lengths that the program tells apart; its rounds, the share of them that goes before uses count, and the first step.
 CLASSES, ROUNDS, FIRST, STEP = 400, 2_400, 0.5, 0.2
 SALTS = 64
-PARTS, MOST_INTERVALS = 4, 1_000_000
+PARTS, MOST_INTERVALS = 1, 1_000_000
 
 
 def cut_pieces(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
