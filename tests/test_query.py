@@ -59,3 +59,13 @@ def test_walk_visits_every_listing_once(spark, sort):
 def test_hours_in_prose(text, rules):
     found = from_text(text)
     assert (found and [(r["days"], r["opens"], r["closes"]) for r in found]) == rules
+
+
+def test_relaxations_drop_one_filter_each():
+    from datetime import date
+
+    from tidemark.plans.query import relaxations
+
+    found = relaxations("q=jazz&from=2026-10-01&category=talk&category=music&free=1", date(2026, 10, 1))
+    assert found == [("Type: talk, music", "q=jazz&from=2026-10-01&free=1"), ("Free", "q=jazz&from=2026-10-01&category=talk&category=music")]
+    assert relaxations("to=2026-10-09", date(2026, 10, 1)) == [("Dates", "")] and relaxations("q=x", date(2026, 10, 1)) == []

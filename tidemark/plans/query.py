@@ -7,7 +7,7 @@ import re
 import struct
 from dataclasses import dataclass, field
 from datetime import date, datetime, timedelta
-from urllib.parse import parse_qsl
+from urllib.parse import parse_qsl, urlencode
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame
@@ -254,3 +254,27 @@ def next_cursor(q: ListingQuery, rows: list) -> str | None:
     naive = lambda t: t.replace(tzinfo=None)
     position = {"soonest": lambda: [naive(r.starts_at)], "nearest": lambda: [r.km], "ending": lambda: [naive(r.ends)], "added": lambda: [naive(r.first_seen)], "surprise": lambda: [q.day], "relevance": lambda: [r["rank"]], "richest": lambda: [q.day, r.day, r.slot], "fullest": lambda: [q.day, r.day, r.slot, naive(r.starts_at)]}
     return encode_cursor(q.sort, position[q.sort](), r.id)
+
+
+#: Filters that can be dropped to find more, with their labels.
+RELAXED = [
+    ("Dates", ("from", "to")), ("Type: {category}", ("category",)), ("When: {when}", ("when",)), ("Under £{price_max}", ("price_max",)), ("Free", ("free",)), ("Area: {near}", ("near", "radius_km")),
+    ("Within {within_walk_min} min walk", ("here", "within_walk_min")), ("Medium: {medium}", ("medium",)), ("Format: {format}", ("format",)), ("Good for: {good_for}", ("good_for",)), ("Music: {music}", ("music",)),
+    ("Membership: {membership}", ("membership",)), ("Venue type: {venue_type}", ("venue_type",)), ("Borough: {borough}", ("borough",)),
+]
+
+
+def relaxations(query: str, today: date) -> list[tuple[str, str]]:
+    """For a query that finds nothing: (label, query) of each filter that can go, everything else kept; dates fall back to
+    today and open, and count as a filter only if they say more than that."""
+    pairs = parse_qsl(query)
+    given: dict[str, list[str]] = {}
+    for name, value in pairs:
+        given.setdefault(name, []).append(value.replace("_", " "))
+    out = []
+    for label, names in RELAXED:
+        used = [n for n in names if n in given]
+        if not used or (names[0] == "from" and "to" not in given and given.get("from") == [today.isoformat()]):
+            continue
+        out.append((label.format_map({n: ", ".join(v) for n, v in given.items()} | {n: "" for n in names if n not in given}), urlencode([p for p in pairs if p[0] not in names])))
+    return out
