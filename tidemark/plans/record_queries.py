@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import catalog as C
-from tidemark.functions import hours, money, share, text, timex
+from tidemark.functions import hours, hours_text, money, share, text, timex
 from tidemark.functions.timex import london_date
 from tidemark.operators import dims
 from tidemark.operators import quality as Q
 from tidemark.plans import oracle as O
-from tidemark.plans.text_queries import HEAD_WORDS, SENTENCE, T
+from tidemark.plans.text_queries import HEAD_WORDS, SENTENCE, T, price_text
 from tidemark.sources import platforms
 
 QUERIES, ORACLES = {}, {}
@@ -316,3 +316,106 @@ def _(spark, sf):
     answer = F.struct(F.col("p_partkey").cast("string").alias("id"), tags.alias("tags"), F.array(F.when(k == 6, F.lit("Nobody")).otherwise(F.initcap("p_name"))).alias("artists"), F.when(k == 4, "guess").otherwise("none").alias("grounding"), F.when(k == 5, 1.5).otherwise(0.5).alias("confidence"))
     fault = dims.answer_fault(answer, F.concat(F.lit("By "), "p_name", F.lit(", and more")), {"tags": ["a", "b", "c"]}, {"tags": 2})
     return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.coalesce(fault, F.lit("")).alias("fault"))
+
+
+# ---------------------------------------------------------------- parsers over texts made from tables
+
+
+def written(forms, number, **parts):
+    """One of the forms by a number, with {name} replaced by columns."""
+    out = C.pick(forms, number)
+    for name, column in parts.items():
+        out = F.replace(out, F.lit("{" + name + "}"), column.cast("string"))
+    return out
+
+
+_PRICED = ["£{x}", "£{y}, £{x} conc.", "Free", "€{x}–€{y}", "Room {x}", "Free, suggested donation £{x}", "GBP {x}.50 - {y}"]
+
+
+@add("price_texts", """SELECT p_partkey AS id, CASE p_partkey % 7 WHEN 0 THEN 'false|' || p_size || '.00|' || p_size || '.00|GBP' WHEN 1 THEN 'false|' || p_size || '.00|' || (p_size + 5) || '.00|GBP' WHEN 2 THEN 'true|0.00|0.00|' WHEN 3 THEN 'false|' || p_size || '.00|' || (p_size + 5) || '.00|EUR' WHEN 4 THEN 'false|||'
+    WHEN 5 THEN 'false|' || p_size || '.00|' || p_size || '.00|GBP' ELSE 'false|' || p_size || '.50|' || (p_size + 5) || '.00|GBP' END AS price FROM part""")
+def _(spark, sf):
+    said = written(_PRICED, F.col("p_partkey") % 7, x=F.col("p_size"), y=F.col("p_size") + 5)
+    return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), price_text(said).alias("price"))
+
+
+@add("postcode_texts", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 2 THEN '' ELSE 'E' || (c_custkey % 9 + 1) || ' ' || (c_custkey % 7 + 1) || 'AB' END AS last, CASE c_custkey % 3 WHEN 0 THEN 'E' || (c_custkey % 9 + 1) WHEN 1 THEN 'SW1A' ELSE '' END AS first FROM customer")
+def _(spark, sf):
+    c = F.col("c_custkey")
+    said = written(["{c} High St, e{a} {b}ab", "SW1A 1AA or E{a} {b}AB", "Customer {c}"], c % 3, c=c, a=c % 9 + 1, b=c % 7 + 1)
+    return C.table(spark, sf, "customer").select(c.alias("id"), F.coalesce(text.last_postcode(said), F.lit("")).alias("last"), F.coalesce(text.outward_postcode(said), F.lit("")).alias("first"))
+
+
+_LOCAL = "(CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INT)))"
+
+
+@add("datetime_texts", f"SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN strftime({_LOCAL}, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime({_LOCAL} - INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 2 THEN strftime({O.utc(_LOCAL)}, '%Y-%m-%d %H:%M:%S') ELSE '' END AS at FROM orders")
+def _(spark, sf):
+    o = F.col("o_orderkey")
+    said = written(["{d}T{h}:00:00Z", "{d}T{h}:00:00+02:00", "{d}T{h}:00", "at {h} on {d}"], o % 4, d=day(F.to_date("o_orderdate")), h=F.lpad((o % 24).cast("string"), 2, "0"))
+    return C.table(spark, sf, "orders").select(o.alias("id"), F.coalesce(timex.shown(timex.parse_datetime(said)), F.lit("")).alias("at"))
+
+
+@add("london_to_utc_orders", f"SELECT o_orderkey AS id, strftime({O.utc(_LOCAL)}, '%Y-%m-%d %H:%M:%S') AS at FROM orders")
+def _(spark, sf):
+    local = F.to_date("o_orderdate").cast("timestamp") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    return C.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), timex.shown(timex.utc(local)).alias("at"))
+
+
+@add("hours_texts", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Tue, Wed, Thu, Fri, Sat, Sun · ' || lpad(CAST(8 + p_size % 4 AS VARCHAR), 2, '0') || ':00–17:00' WHEN 1 THEN 'Daily · ' || lpad(CAST(8 + p_size % 4 AS VARCHAR), 2, '0') || ':00–17:00' ELSE '' END AS hours FROM part")
+def _(spark, sf):
+    said = written(["Open Tue–Sun, {h}:00–17:00.", "{h}am to 5pm daily", "Friday {h}am-5pm", "Room {h}"], F.col("p_partkey") % 4, h=F.when(F.col("p_partkey") % 4 == 0, F.lpad((8 + F.col("p_size") % 4).cast("string"), 2, "0")).otherwise((8 + F.col("p_size") % 4).cast("string")))
+    return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.coalesce(hours.display(hours_text.parse(said)), F.lit("")).alias("hours"))
+
+
+@add("late_texts", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN p_size % 11 + 1 > 6 WHEN 1 THEN p_size % 12 + 12 > 18 WHEN 2 THEN true ELSE false END AS late FROM part")
+def _(spark, sf):
+    n = F.col("p_size")
+    said = written(["Open until {a}pm", "open until {b}:00", "Late opening, room {a}", "open until {a}"], F.col("p_partkey") % 4, a=n % 11 + 1, b=n % 12 + 12)
+    return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), text.late_opening(said).alias("late"))
+
+
+@add("free_entry_texts", "SELECT p_partkey AS id, p_partkey % 6 IN (0, 4) AS free FROM part")
+def _(spark, sf):
+    said = written(["This free {n} runs daily", "Entry is free, donations £5, {n}", "Step-free access to {n}", "Join {n} for free", "{n}: free of charge", "debt-free {n}"], F.col("p_partkey") % 6, n=F.lit("installation"))
+    return C.table(spark, sf, "part").select(F.col("p_partkey").alias("id"), money.describes_free_entry(said).alias("free"))
+
+
+_NEXT = "list_filter(list_transform(range(0, 3), lambda y: TRY_CAST((year(l - 7) + y) || strftime(d, '-%m-%d') AS DATE)), lambda x: x IS NOT NULL AND x >= l - 7)"
+
+
+@add("year_less_dates", f"SELECT id, coalesce(strftime({_NEXT}[1], '%Y-%m-%d'), '') AS day FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 40 AS INT) - 20 AS l FROM orders)")
+def _(spark, sf):
+    d = F.to_date("o_orderdate")
+    listed = F.date_add(d, (F.col("o_orderkey") % 40 - 20).cast("int"))
+    found = timex.year_less_date(F.dayofmonth(d), F.month(d), F.lit(None).cast("int"), listed)
+    return C.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(day(found), F.lit("")).alias("day"))
+
+
+@add("session_texts", "SELECT id, strftime(d, '%Y-%m-%d') || ',' || strftime(d + 7, '%Y-%m-%d') || ',' || strftime(d + 21, '%Y-%m-%d') AS days FROM (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS d FROM orders)")
+def _(spark, sf):
+    d = F.to_date("o_orderdate")
+    said = F.array_join(F.transform(F.array(*map(F.lit, (0, 7, 21))), lambda k: F.date_format(F.date_add(d, k), "d MMMM")), ", ")
+    found = timex.session_days(said, d, F.date_add(d, 21))
+    return C.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), days(found).alias("days"))
+
+
+@add("amounts", "SELECT l_orderkey AS id, l_linenumber AS line, round_even(least(l_discount, l_tax) * 100, 2) AS low, round_even(greatest(l_discount, l_tax) * 100, 2) AS high, greatest(l_discount, l_tax) = 0 AS free FROM lineitem")
+def _(spark, sf):
+    p = money.price_from_amounts(F.col("l_discount") * 100, F.col("l_tax") * 100, F.lit("gbp"))
+    return C.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), p["price_min"].cast("double").alias("low"), p["price_max"].cast("double").alias("high"), p["is_free"].alias("free"))
+
+
+_HELD = "list_filter(hours, lambda r: list_contains(r.days, 1))[1]"
+
+
+@add("hours_now", O.listing(f"SELECT id, coalesce({_HELD}.opens <= '13:00' AND '13:00' < {_HELD}.closes, false) AS open, CASE WHEN {_HELD} IS NULL THEN 'Closed today' WHEN '13:00' < {_HELD}.opens THEN 'Opens today at ' || {_HELD}.opens WHEN '13:00' < {_HELD}.closes THEN 'Open now until ' || {_HELD}.closes ELSE 'Closed now' END AS status FROM listing WHERE hours IS NOT NULL"))
+def _(spark, sf):
+    now = C.instant(C.NOW)
+    return C.listings(spark, sf).filter("hours IS NOT NULL").select("id", hours.is_open_at(F.col("hours"), now).alias("open"), hours.today_status(F.col("hours"), now).alias("status"))
+
+
+@add("call_costs", "SELECT doc_id, ((n_chars * 5 + (doc_id % 300) * 15 + 5) // 10)::DOUBLE / 1000000 AS cost FROM documents")
+def _(spark, sf):
+    price = lambda x: F.lit(x).cast("decimal(12,4)")
+    return C.table(spark, sf, "documents").select("doc_id", money.call_cost(F.col("n_chars"), F.col("doc_id") % 300, price("0.5"), price("1.5")).cast("double").alias("cost"))
