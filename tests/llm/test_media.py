@@ -92,3 +92,11 @@ def test_digests(spark, tmp_path):
     for r in media.op4_progressive_jpeg(spark, str(tmp_path)).collect():
         want = media.payload({1: "hello"}.get(r.doc_id))
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+
+
+def test_broken_streams_are_null_and_leave_others_alone(spark):
+    good = media.to_media([media.payload("some text " * 400), media.payload("other")])
+    rows = [(0, good[0]), (1, good[1])] + [(2 + n, good[0][:cut]) for n, cut in enumerate((3, 40, 200, 700, len(good[0]) // 2))] + [(9, b"no picture"), (10, None)]
+    got = {r.id: r for r in media.read_media(spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, m in rows], "id int, media binary")).collect()}
+    assert bytes(got[0].payload) == media.payload("some text " * 400) and bytes(got[1].payload) == media.payload("other")
+    assert len(got) == len(rows) and got[10].payload is None and got[9].payload is None

@@ -7,6 +7,7 @@ upsampling give the picture. A long payload becomes several images in one stream
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,14 @@ def from_media(streams: list[bytes], rgb: bool) -> list[tuple[bytes, int, int, b
     return done
 
 
+def decoded(streams: list[tuple[int, bytes]], rgb: bool) -> list[tuple[int, tuple]]:
+    """from_media() of numbered streams; if one of them is broken, each alone, without those that are."""
+    try:
+        return list(zip([n for n, _ in streams], from_media([s for _, s in streams], rgb)))
+    except (ValueError, IndexError, KeyError, OverflowError, struct.error):
+        return [x for one in streams for x in decoded([one], rgb)] if len(streams) > 1 else []
+
+
 def add_media(df: DataFrame, text_col: str = "text") -> DataFrame:
     """Replace the text column by n_bytes (its UTF-8 bytes) and media, the JPEG stream that stores its payload.
 
@@ -107,7 +116,7 @@ def read_media(df: DataFrame, rgb: bool = True) -> DataFrame:
     """Add payload, width, height, rgb and feature, decoded from the column media (progressive JPEG streams).
 
     rgb is the height x width x 3 tensor's bytes, left out on request; payload is null for pictures that hold none, and
-    all five are null for null media. Columns with these names are replaced.
+    all five are null for null media and for streams that can't be decoded. Columns with these names are replaced.
     """
     names = ["payload", "width", "height", *["rgb"] * rgb, "feature"]
     kept = [c for c in df.columns if c not in names]
@@ -122,7 +131,7 @@ def read_media(df: DataFrame, rgb: bool = True) -> DataFrame:
                 part = batch.slice(own.start, own.stop - own.start)
                 found: list = [None] * part.num_rows
                 there = [n for n, m in enumerate(part.column("media")) if m.is_valid]
-                for n, (data, width, height, pixels, feature) in zip(there, from_media([part.column("media")[n].as_py() for n in there], rgb)):
+                for n, (data, width, height, pixels, feature) in decoded([(n, part.column("media")[n].as_py()) for n in there], rgb):
                     found[n] = (data or None, width, height, *[pixels] * rgb, feature)
                 columns = zip(*(f or (None,) * len(names) for f in found))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[*kept, *names])
@@ -132,8 +141,9 @@ def read_media(df: DataFrame, rgb: bool = True) -> DataFrame:
 
 def op4_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    read = read_media(add_media(docs), rgb=False)
+    read = read_media(add_media(docs))
     return read.select(
         "doc_id", "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.expr("crc32(substring(payload, -32))").alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "width", "height", F.sha2("rgb", 256).alias("rgb_sha256"),
     )
