@@ -26,6 +26,25 @@ def sync_venues(listings: DataFrame, venues: DataFrame) -> DataFrame:
     return out.select("key", F.coalesce("name", "said_name").alias("name"), F.coalesce("point", "said_point").alias("point"), F.col("name").isNull().alias("created"))
 
 
+def full_venues(listings: DataFrame, venues: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All venues and the listings' links to them.
+
+    listings: id, venue, lat, lng, borough, venue_type; venues (key, name, point, borough, venue_type, slug) as stored. A venue
+    without a row is created, gaps of a row are filled with what its listings say most, new rows get a slug that no other has.
+    Links are (id, key) of the listings whose venue is known.
+    """
+    keyed = listings.withColumn("key", venue_key(F.col("venue"))).filter("key <> 'unknown'")
+    base = sync_venues(listings.select("venue", "lat", "lng"), venues.select("key", "name", "point"))
+    said = most_common(keyed, ["key"], "borough").select("key", F.col("borough").alias("_borough")).join(most_common(keyed, ["key"], "venue_type").select("key", F.col("venue_type").alias("_type")), "key", "full")
+    out = base.join(said, "key", "left").join(venues.select("key", "borough", "venue_type", "slug"), "key", "left")
+    out = out.withColumns({"borough": F.coalesce("borough", "_borough"), "venue_type": F.coalesce("venue_type", "_type")}).drop("_borough", "_type")
+    taken = out.filter("slug IS NOT NULL")
+    fresh = numbered_slugs(out.filter("slug IS NULL").drop("slug"), "name", "key")
+    clash = taken.select(F.col("slug").alias("_taken")).distinct()
+    fresh = fresh.join(clash, fresh["slug"] == clash["_taken"], "left").withColumn("slug", F.when(F.col("_taken").isNotNull(), F.concat_ws("-", "slug", F.col("key"))).otherwise(F.col("slug"))).drop("_taken")
+    return taken.unionByName(fresh), keyed.select("id", "key")
+
+
 def numbered_slugs(df: DataFrame, name: str, id_col: str) -> DataFrame:
     """Add slug: the name's, with -2, -3 and so on for further rows of the same base by id."""
     from pyspark.sql import Window

@@ -171,6 +171,38 @@ def _(spark, sf):
     return df.filter(F.size("m") > 0).select("id", F.concat(F.col("m")[0]["membership"], F.lit(":"), F.coalesce(F.col("m")[0]["offer"], F.lit(""))).alias("membership"))
 
 
+_KIND = f"CASE WHEN venue IS NOT NULL AND {VENUE_KEY} = 'brand-7' THEN 'artist_run' WHEN id % 17 = 0 THEN 'museum' ELSE coalesce(CASE {NAMED} END, 'other') END"
+_MUSIC = f"CASE WHEN id % 2 = 0 THEN array_to_string(list_filter([{MUSIC_SQL}], lambda t: t IS NOT NULL), ',') ELSE '' END"
+_MEMBER = "CASE WHEN id % 9 = 0 THEN 'art_pass:half price' WHEN id % 4 = 0 THEN 'art_pass:' ELSE '' END"
+
+
+def sync(name, sql, old, derived, stored):
+    """Register a dimension sync: the rows whose stored value, `old` for every tenth, isn't what is derived now."""
+    view = f"SELECT id, CASE WHEN id % 10 = 0 THEN {old} ELSE d END AS stored, d AS derived FROM (SELECT *, {sql} AS d FROM titles)"
+    add(name, O.query(f"SELECT * FROM ({view}) WHERE stored IS DISTINCT FROM derived", TITLES))(
+        lambda spark, sf: dims.changes(titles(spark, sf).withColumn("d", derived()).withColumn("stored", F.when(F.col("id") % 10 == 0, stored).otherwise(F.col("d"))), "id", "stored", F.col("d"))
+    )
+
+
+def kind_of():
+    return classify.venue_type(F.col("venue"), F.when(classify.override_key(F.col("venue")) == "brand-7", "artist_run"), F.when(F.col("id") % 17 == 0, "museum"))
+
+
+def music_of():
+    return F.array_join(classify.music_tags(F.when(F.col("id") % 2 == 0, "music").otherwise("talk"), F.array().cast("array<string>"), F.col("title")), ",")
+
+
+def member_of():
+    offers = F.when(F.col("id") % 9 == 0, F.array(F.struct(F.lit("art_pass").alias("membership"), F.lit("half price").alias("offer")))).otherwise(F.array().cast("array<struct<membership:string,offer:string>>"))
+    held = classify.memberships(offers, F.array("p_type"), F.when(F.col("id") % 4 == 0, F.lit("Free with a National Art Pass!")))
+    return F.coalesce(F.array_join(F.transform(held, lambda m: F.concat(m["membership"], F.lit(":"), F.coalesce(m["offer"], F.lit("")))), ";"), F.lit(""))
+
+
+sync("sync_venue_types_changes", _KIND, "'other'", kind_of, F.lit("other"))
+sync("sync_music_changes", _MUSIC, "''", music_of, F.lit(""))
+sync("sync_memberships_changes", _MEMBER, "NULL", member_of, F.lit(None).cast("string"))
+
+
 LATE = [("Late opening on Fridays", True), ("open until 18:00", False), ("Opens until 8pm", True), ("open until 8.30 pm", True), ("open until 20.00", True), ("open until 8", False), ("open until 9am and open until 18:01", True), ("closed", False)]
 
 
