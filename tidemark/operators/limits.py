@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 
 def tumbling(df: DataFrame, time: str, width: str, *keys: str) -> DataFrame:
@@ -36,3 +41,28 @@ def budget_gate(df: DataFrame, key: str, time: str, cost: str, cap: int, tie: st
     """Add allowed: rows of a key up to the first that would take the sum over the cap."""
     order = Window.partitionBy(key).orderBy(time, tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("allowed", F.sum(cost).over(order) <= cap)
+
+
+def limiter(df: DataFrame, key: str, time: str, seconds: int, most: int, tie: str) -> DataFrame:
+    """Add allowed: fewer than `most` requests of the key were allowed in the `seconds` before; denied ones take no place.
+
+    Whether one is allowed depends on those before it, so a key's requests are walked in order, in Arrow batches of sorted
+    partitions; what is held in memory is the last `most` allowed times.
+    """
+    schema = df.schema.add("allowed", BooleanType())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, held = object(), deque()
+        for frame in frames:
+            allowed = []
+            for name, at in zip(frame[key], frame[time]):
+                if name != current:
+                    current, held = name, deque()
+                while held and held[0] <= at - pd.Timedelta(seconds=seconds):
+                    held.popleft()
+                allowed.append(len(held) < most)
+                if allowed[-1]:
+                    held.append(at)
+            yield frame.assign(allowed=allowed)
+
+    return df.repartition(key).sortWithinPartitions(key, time, tie).mapInPandas(run, schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import catalog as C
 from tidemark.functions import hours, hours_text, money, share, text, timex
 from tidemark.functions.timex import london_date
-from tidemark.operators import dims
+from tidemark.operators import dims, limits
 from tidemark.operators import quality as Q
 from tidemark.plans import oracle as O
 from tidemark.plans.text_queries import HEAD_WORDS, SENTENCE, T, price_text
@@ -442,3 +442,13 @@ def _(spark, sf):
 @add("venue_links", O.query("SELECT id, key FROM kv", O.LISTING, _KEYED))
 def _(spark, sf):
     return yards(spark, sf)[1]
+
+
+@add("limiter", """WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, user_id, k, true AS allowed, [ts] AS held FROM n WHERE k = 1
+    UNION ALL SELECT n.event_id, n.user_id, n.k, len(list_filter(held, lambda t: t > n.ts - INTERVAL 12 HOUR)) < 2, CASE WHEN len(list_filter(held, lambda t: t > n.ts - INTERVAL 12 HOUR)) < 2 THEN list_append(list_filter(held, lambda t: t > n.ts - INTERVAL 12 HOUR), n.ts) ELSE held END FROM r JOIN n ON n.user_id = r.user_id AND n.k = r.k + 1)
+SELECT event_id, allowed FROM r""")
+def _(spark, sf):
+    """Two requests a user in twelve hours; denied ones don't count."""
+    events = C.table(spark, sf, "events").select("event_id", "user_id", "ts")
+    return limits.limiter(events, "user_id", "ts", 12 * 3600, 2, "event_id").select("event_id", "allowed")
