@@ -70,37 +70,48 @@ def close(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return F.coalesce(geo.distance(lat1, lng1, lat2, lng2, geo.MATCH_RADIUS_M) <= VENUE_METRES, F.lit(False))
 
 
+def venue_pairs(venues: DataFrame) -> DataFrame:
+    """(va, vb), both ways: venue keys that match, each with itself; two others share two words, on which they are joined."""
+    venues = venues.select("v").filter("v <> 'unknown'").distinct()
+    words = F.array_sort(F.array_distinct(F.split("v", "-")))
+    two = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat_ws("|", x, y))))
+    blocks = venues.select("v", F.explode(two).alias("w"))
+    met = blocks.withColumnRenamed("v", "va").join(blocks.withColumnRenamed("v", "vb"), "w").filter("va <> vb").select("va", "vb").distinct()
+    return met.filter(venues_match(F.col("va"), F.col("vb"))).unionAll(venues.select(F.col("v").alias("va"), F.col("v").alias("vb")))
+
+
 def fuzzy_pairs(df: DataFrame) -> DataFrame:
     """(a, b) with a < b of listings (id, title, venue, lat, lng, starts_at, ends_at) that match.
 
-    Candidates share a venue block (its key or two of its words, or a cell of the map or one of its neighbours) and a day
-    block (the first day, or a week of a run of several days), so the join is on equal keys; a pair counts in the first
-    block of each kind that it shares. Titles are compared once for each two different ones that meet.
+    Candidates share a day block (the first day, or a week of a run of several days) and either have venues that match or lie
+    in a cell of the map and one of its neighbours, so both joins are on equal keys; a pair counts in the first day block
+    that it shares. Titles are compared once for each two different ones that meet.
     """
     none = F.array().cast("array<string>")
     first, last = london_date(F.col("starts_at")), london_date(F.coalesce("ends_at", "starts_at"))
     week = lambda d: F.floor(F.datediff(d, F.lit("1970-01-05").cast("date")) / 7).cast("int")
     rows = df.select("id", "lat", "lng", F.coalesce(key_words(F.col("title")), none).alias("title"), F.coalesce(key_words(F.col("venue")), none).alias("venue"), first.alias("first"), F.greatest(first, last).alias("last"), venue_key(F.col("venue")).alias("v"))
-    words = F.array_sort(F.array_distinct(F.split("v", "-")))
-    pairs = F.flatten(F.transform(words, lambda x: F.transform(F.filter(words, lambda y: y > x), lambda y: F.concat_ws("|", x, y))))
-    named = F.when(F.col("v") == "unknown", none).otherwise(F.concat(F.array("v"), pairs))
-    cell = lambda dx, dy: F.concat_ws(":", F.lit("c"), (F.floor(F.col("lat") / 0.0015) + dy).cast("string"), (F.floor(F.col("lng") / 0.0025) + dx).cast("string"))
-    known = F.col("lat").isNotNull() & F.col("lng").isNotNull()
-    here = F.when(known, F.array(cell(0, 0))).otherwise(none)
-    around = F.when(known, F.array(*[cell(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)])).otherwise(none)
     shown = F.concat(F.array_join("title", " "), F.lit("|"), F.array_join("venue", " ")).alias("shown")
-    rows = cut(rows.select("id", "lat", "lng", "title", "venue", "first", "last", "v", shown, week(F.col("first")).alias("week"), F.concat(named, here).alias("a_places"), F.concat(named, around).alias("b_places")))
+    kept = ("id", "lat", "lng", "first", "last", "v", "shown", "week")
+    rows = cut(rows.select("id", "lat", "lng", "first", "last", "v", shown, week(F.col("first")).alias("week")))
     day_block, week_block = (lambda d: 2 * F.datediff(d, F.lit("1970-01-01").cast("date"))), (lambda w: 2 * w + 1)
     days = F.concat(F.array(day_block("first")), F.when(F.col("last") > F.col("first"), F.transform(F.sequence("week", week(F.col("last"))), week_block)).otherwise(F.array().cast("array<int>")))
-    kept = ("id", "lat", "lng", "first", "last", "v", "shown", "week", "a_places", "b_places")
-    side = lambda p: rows.select(F.explode(days).alias("day"), *kept, f"{p}places").withColumn("place", F.explode(f"{p}places")).select("day", "place", *[F.col(c).alias(p + c) for c in kept[:-2]], F.col(f"{p}places").alias(f"{p}at"))
-    met = side("a_").join(side("b_"), ["day", "place"])
-    met = met.filter((F.col("a_id") < F.col("b_id")) & dates_match(F.col("a_first"), F.col("a_last"), F.col("b_first"), F.col("b_last")))
-    same_day = F.col("a_first") == F.col("b_first")
-    met = met.filter(F.when(same_day, F.col("day") == day_block("a_first")).otherwise(F.col("day") == week_block(F.greatest("a_week", "b_week"))))
-    one_venue = (F.col("a_v") == F.col("b_v")) & (F.col("a_v") != "unknown")
-    met = met.filter(F.when(one_venue, F.col("place") == F.col("a_v")).otherwise(F.col("place") == F.get(F.array_intersect("a_at", "b_at"), F.lit(0))))
-    near = met.filter(one_venue | venues_match(F.col("a_v"), F.col("b_v")) | close(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).select("a_id", "b_id", "a_shown", "b_shown")
+    side = lambda frame, p, *more: frame.withColumn("day", F.explode(days)).select("day", *more, *[F.col(c).alias(p + c) for c in kept])
+    order = F.col("a_id") < F.col("b_id")
+    once = F.when(F.col("a_first") == F.col("b_first"), F.col("day") == day_block("a_first")).otherwise(F.col("day") == week_block(F.greatest("a_week", "b_week")))
+    fits = order & once & dates_match(F.col("a_first"), F.col("a_last"), F.col("b_first"), F.col("b_last"))
+    out = ("a_id", "b_id", "a_shown", "b_shown")
+
+    same = side(rows, "a_").join(venue_pairs(rows), F.col("a_v") == F.col("va")).withColumnRenamed("vb", "b_v")
+    by_name = same.join(side(rows, "b_"), ["day", "b_v"]).filter(fits).select(*out)
+
+    cell = lambda dx, dy: F.concat_ws(":", (F.floor(F.col("lat") / 0.0015) + dy).cast("string"), (F.floor(F.col("lng") / 0.0025) + dx).cast("string"))
+    placed = rows.filter("lat IS NOT NULL AND lng IS NOT NULL")
+    around = placed.withColumn("cell", F.explode(F.array(*[cell(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)])))
+    met = side(placed.withColumn("cell", cell(0, 0)), "a_", "cell").join(side(around, "b_", "cell"), ["day", "cell"])
+    by_place = met.filter(fits & ~venues_match(F.col("a_v"), F.col("b_v")) & close(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).select(*out)
+
+    near = by_name.unionAll(by_place)
     part = lambda c, n: F.filter(F.split(F.split(c, r"\|")[n], " "), lambda w: w != "")
     alike = near.select("a_shown", "b_shown").distinct().filter(titles_alike(part("a_shown", 0), part("b_shown", 0), part("a_shown", 1), part("b_shown", 1)))
     return near.join(alike, ["a_shown", "b_shown"], "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
