@@ -180,7 +180,7 @@ def sync(name, sql, old, derived, stored):
     """Register a dimension sync: the rows whose stored value, `old` for every tenth, isn't what is derived now."""
     view = f"SELECT id, CASE WHEN id % 10 = 0 THEN {old} ELSE d END AS stored, d AS derived FROM (SELECT *, {sql} AS d FROM titles)"
     add(name, O.query(f"SELECT * FROM ({view}) WHERE stored IS DISTINCT FROM derived", TITLES))(
-        lambda spark, sf: dims.changes(titles(spark, sf).withColumn("d", derived()).withColumn("stored", F.when(F.col("id") % 10 == 0, stored).otherwise(F.col("d"))), "id", "stored", F.col("d"))
+        lambda spark, sf: dims.changes(titles(spark, sf).withColumn("d", derived()).withColumn("stored", F.when(F.col("id") % 10 == 0, stored()).otherwise(F.col("d"))), "id", "stored", F.col("d"))
     )
 
 
@@ -198,9 +198,9 @@ def member_of():
     return F.coalesce(F.array_join(F.transform(held, lambda m: F.concat(m["membership"], F.lit(":"), F.coalesce(m["offer"], F.lit("")))), ";"), F.lit(""))
 
 
-sync("sync_venue_types_changes", _KIND, "'other'", kind_of, F.lit("other"))
-sync("sync_music_changes", _MUSIC, "''", music_of, F.lit(""))
-sync("sync_memberships_changes", _MEMBER, "NULL", member_of, F.lit(None).cast("string"))
+sync("sync_venue_types_changes", _KIND, "'other'", kind_of, lambda: F.lit("other"))
+sync("sync_music_changes", _MUSIC, "''", music_of, lambda: F.lit(""))
+sync("sync_memberships_changes", _MEMBER, "NULL", member_of, lambda: F.lit(None).cast("string"))
 
 
 LATE = [("Late opening on Fridays", True), ("open until 18:00", False), ("Opens until 8pm", True), ("open until 8.30 pm", True), ("open until 20.00", True), ("open until 8", False), ("open until 9am and open until 18:01", True), ("closed", False)]
