@@ -23,9 +23,10 @@ from tidemark.llm.graph import connected_components
 from tidemark.llm.words import MULTIPLIER, mix, plain_hashes, slices
 
 SEED = 42
-TILE = 1 << 16
+TILE, MOST_TILE, MOST_PAIRS = 1 << 16, 1 << 20, 1 << 20
 CHUNK = 1 << 15
 SAMPLE, COMMON = 20_000, 500_000
+MOST_IDS = 1 << 20  # that are broadcast
 
 
 def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -113,12 +114,17 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int) -> tu
 def links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
     """(u, v): a spanning forest per pair of tiles over distinct fingerprints fp that differ in at most radius bits.
 
-    Tiles hold fingerprints of one population count, about `tile` at most; the counts of the 65 population counts are
-    all that the driver sees.
+    Tiles hold fingerprints of one population count, about `tile` at most, more where there are many pairs of tiles; the
+    counts of the 65 population counts are all that the driver sees. Comparisons grow with the square of the number of
+    distinct fingerprints: 250,000 take some 24 CPU seconds, ten million about eleven CPU hours.
     """
     prints = prints.select("fp", F.bit_count("fp").cast("int").alias("pop"))
     counts = {r[0]: r[1] for r in prints.groupBy("pop").count().collect()}
+    pairs_of = lambda c: sum(n * (n + 1) // 2 + n * sum(c.get(p + d, 0) for d in range(1, radius + 1)) for p, n in c.items())
     chunks = {p: -(-n // tile) for p, n in counts.items()}
+    while pairs_of(chunks) > MOST_PAIRS and tile < MOST_TILE:  # a tile is sent to each of its partners: larger ones are sent less often
+        tile *= 2
+        chunks = {p: -(-n // tile) for p, n in counts.items()}
     if not counts:
         return prints.sparkSession.createDataFrame([], "u long, v long")
     table = F.create_map(*[F.lit(int(x)) for p, n in chunks.items() for x in (p, n)])
@@ -126,7 +132,7 @@ def links(prints: DataFrame, radius: int = 4, tile: int = TILE) -> DataFrame:
         prints.withColumn("chunk", F.pmod(F.xxhash64("fp"), table[F.col("pop")]).cast("int"))
         .groupBy("pop", "chunk").agg(F.sort_array(F.collect_list("fp")).alias("tile"))
     )
-    pairs = sum(n * (n + 1) // 2 + n * sum(chunks.get(p + d, 0) for d in range(1, radius + 1)) for p, n in chunks.items())
+    pairs = pairs_of(chunks)
     chunks_of = F.coalesce(table[F.col("q")], F.lit(0))
     right_keys = F.filter(F.sequence("pop", F.col("pop") + radius), lambda q: F.map_contains_key(table, q))
     left_keys = F.filter(F.sequence(F.col("pop") - radius, F.col("pop")), lambda q: F.map_contains_key(table, q))
@@ -157,7 +163,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of df: id, fingerprint (16 hex digits), component_id, the smallest id reachable by links.
 
     Rows with equal fingerprints are linked, blank texts among them. A null id keeps its row and its links but names no
-    component; a component of null ids alone has a null component_id. Repeated rows stay, other columns are dropped.
+    component; a component of null ids alone has a null component_id. Repeated rows stay, other columns are dropped, those
+    named like the results too. Texts of any length count whole; an empty table gives no rows.
     """
     prints = materialise(fingerprint(df, id_col, text_col, shingle), "prints")
     named = materialise(component_names(prints, radius, tile), "named")  # a scan, so that Spark can split the join where one fingerprint has many rows
@@ -287,39 +294,38 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             sets, prints = shingle_sets(part.column(1).to_pylist(), shingle)
             firsts = [prefix(x, len(x) - least(len(x)) + 1, *order.value).view(np.int32) if len(x) else x.view(np.int32) for x in sets]
             sums = [xxhash.xxh64_intdigest(x.tobytes()) - (1 << 63) for x in sets]
-            columns = [part.column(0), pa.array(sums, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints.view(np.int64)), pa.array(firsts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "size", "fp", "first"])
+            columns = [part.column(0), pa.array(sums, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(prints.view(np.int64)), pa.array(firsts, pa.list_(pa.int32())), pa.array([x.tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "digest", "size", "fp", "first", "shingles"])
 
-    every = keep(rows.mapInArrow(start, "id long, digest long, size long, fp long, first array<int>").filter("size > 0"), "prefixes")
+    every = keep(rows.mapInArrow(start, "id long, digest long, size long, fp long, first array<int>, shingles binary").filter("size > 0"), "prefixes")
     named = every.groupBy("id").agg(F.min(F.struct("digest", "size")).alias("set")).select("id", "set.*")
     firsts = keep(named.groupBy("digest", "size").agg(F.min("id").alias("id")), "firsts")
     gone = keep(named.select("id").join(firsts.select("id"), "id", "left_anti"), "equal")
-    chosen = every.join(firsts, ["id", "digest", "size"]).dropDuplicates(["id"])
+    own = firsts.select("id", F.col("digest").alias("_digest"), F.col("size").alias("_size"))
+    chosen = keep(every.join(own, "id").filter("digest = _digest AND size = _size").dropDuplicates(["id"]).select("id", "size", "fp", "first", "shingles"), "sets")
+    forget(every, firsts)
     tokens = chosen.select("id", "size", F.posexplode("first").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
     tokens = keep(tokens.join(shared, "token").select("id", "size", "at", "token"), "tokens")
     wanted = tokens.select("id").distinct()
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, 1):
-            sets = [x.tobytes() for x in shingle_sets(part.column(1).to_pylist(), shingle)[0]]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in sets], pa.int64()), pa.array(sets, pa.binary())], names=["id", "digest", "shingles"])
-
-    texts = rows.join(wanted, "id", "left_semi").mapInArrow(collect, "id long, digest long, shingles binary")
-    sets = keep(texts.join(firsts.select("id", "digest"), ["id", "digest"]).dropDuplicates(["id"]).select("id", "shingles"), "sets")
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = [overlap(a.as_py(), b.as_py()) >= similarity for a, b in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        side = lambda name, content: sets.select(F.col("id").alias(name), F.col("shingles").alias(content))
+        pairs = keep(pairs, "met")
+        few = pairs.count() <= MOST_IDS
+
+        def side(name: str, content: str) -> DataFrame:
+            sets = chosen.select(F.col("id").alias(name), F.col("shingles").alias(content))
+            return sets.join(F.broadcast(pairs.select(name).distinct()), name, "left_semi") if few else sets  # only sets that are asked for travel
+
         met = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
         return keep(met.mapInArrow(compare, "u long, v long"), "confirmed")
 
     prints = keep(chosen.select("id", "fp").join(wanted, "id", "left_semi"), "prints")
-    forget(every, firsts)
     linked = prints.join(keep(component_names(prints, radius), "named"), "fp").filter("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v"))
     least_of = tokens.groupBy("token").agg(F.min("id").alias("u"))
     later = tokens.join(least_of, "token").filter("u < id").select(F.col("id").alias("u")).distinct()
@@ -345,7 +351,7 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     enough = (F.col("asize") + F.col("bsize")) * (similarity / (1 + similarity)) - 1e-6
     fits = F.least(F.col("asize") - F.col("aat"), F.col("bsize") - F.col("bat")) >= enough
     pairs = a.join(b, "token").filter((F.col("aid") < F.col("bid")) & fits).select(F.col("aid").alias("u"), F.col("bid").alias("v")).distinct()
-    found = materialise(gone.unionAll(independent(confirm(keep(pairs, "pairs")))), "gone")
+    found = materialise(gone.unionAll(independent(confirm(pairs))), "gone")
     forget(*scratch)
     return found
 
