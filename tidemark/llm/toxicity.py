@@ -30,7 +30,7 @@ LANGUAGES = {
 }
 BUCKETS, WIDTHS, DIM, FILTERS = 1 << 16, (1, 2, 3), 12, 8
 STEPS, BATCH, RATE = 600, 48, 0.02
-MAX_ROWS = 3_000
+MAX_ROWS, MAX_CHARS = 3_000, 16_384
 THRESHOLD = 0.7
 BATCH_WORDS, PART = 1 << 16, 1 << 16  # words in one run of the network; of a text in one part
 PAD, BLANK = -1, -2
@@ -189,15 +189,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
     """Fit on at most max_rows labelled rows of each label, those with the least hash of the id; held-out ids never count.
 
-    Rows with a null id, label or text and repeated labels are left out.
+    Rows with a null id, label or text, repeated labels and texts of more than max_chars characters are no examples; of the
+    texts that share an id the least is one. So at most 2 * max_rows texts of that length reach the driver. Below 50 rows all
+    are trained on and set the thresholds, too.
     """
     usable = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
     chosen = [usable.filter(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(max_rows) for y in (0, 1)]
     chosen = F.broadcast(chosen[0].unionAll(chosen[1]))  # 2 * max_rows rows at most
-    rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    short = F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars)
+    rows = docs.filter(short).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"), F.min("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
