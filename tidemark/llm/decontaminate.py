@@ -126,7 +126,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     aligned run, on the diagonal of a shared seed, of min_words words or more, or a whole shorter item, of which at least
     4/5 are equal; of runs that share words the longest is given, so changed words may stand at its ends.
     Items of fewer than SPAN words must occur exactly; null or wordless items and texts overlap nothing. A row of docs
-    is never compared with another, repeated rows repeat their overlaps, null ids are kept.
+    is never compared with another, repeated rows repeat their overlaps, null ids are kept. Texts of any length are compared
+    whole, other columns play no part, an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter(F.col("text").isNotNull())

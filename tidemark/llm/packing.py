@@ -265,7 +265,8 @@ def lookup(spark: SparkSession, intervals: list[tuple[int, ...]], counts: dict[i
 def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each row of df: id, piece, start, length, ids_crc32, sequence_id and offset.
 
-    Repeated rows are packed each; null texts count as empty; an empty table gives no pieces; other columns go.
+    Repeated rows are packed each; null texts count as empty; a text of any length is cut into as many pieces as it takes; an
+    empty table gives no pieces; other columns go, those named like the results too.
     """
     pieces = materialise(cut_pieces(df, tokenizer, capacity, end, id_col, text_col), "pieces")
     return place(pieces, capacity).withColumnRenamed("id", id_col)
