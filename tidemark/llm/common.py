@@ -10,6 +10,8 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
+from pyspark import cloudpickle
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def once(key: tuple, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
+def share(spark: SparkSession, value: Any) -> Broadcast[bytes]:
+    """Broadcast a value together with its class, so that executors need no copy of this package; pickle.loads() it there."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset and all is one JVM."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)

@@ -9,6 +9,7 @@ the longest aligned runs on it with at least four words in five equal.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import share
 from tidemark.llm.words import folded_hashes, slices
 
 #: The masks; 1 compares a word, 0 ignores it.
@@ -137,11 +139,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     out = None
     for n in range(blocks):
         own = [(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).toLocalIterator()]
-        block = spark.sparkContext.broadcast(Block(list(zip([i for i, _ in own], word_hashes([t for _, t in own])))))
+        block = share(spark, Block(list(zip([i for i, _ in own], word_hashes([t for _, t in own])))))
 
         def run(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+            held = pickle.loads(block.value)
             for batch in slices(batches, 1):
-                yield from found_in(block.value, batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), min_words)
+                yield from found_in(held, batch.column(0).to_pylist(), word_hashes(batch.column(1).to_pylist()), min_words)
 
         part = rows.mapInArrow(run, "id long, item_id long, doc_start long, item_start long, length long, matches long")
         out = part if out is None else out.unionAll(part)

@@ -9,6 +9,7 @@ scaled so that the threshold of every language lies at one value.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
-from tidemark.llm.common import once
+from tidemark.llm.common import once, share
 from tidemark.llm.words import Numbers, folded, folded_hashes, hash_word, slices
 
 #: Function words that tell languages apart.
@@ -218,12 +219,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     Whole texts count, however long. Columns of docs with these names are replaced; repeated rows score alike.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     schema = docs.select(*kept).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = pickle.loads(shared.value)
         for batch in slices(batches, text_col):
             texts = packed_texts(batch.column(text_col).to_pylist())
             if texts:
