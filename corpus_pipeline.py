@@ -20,6 +20,12 @@ from tidemark.llm import decontaminate, packing, simhash, substring_dedup, toxic
 from tidemark.llm.common import drop, materialise
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+MOST_IDS = 1 << 21  # that are broadcast, some 100 MB
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """These ids, broadcast to where the texts are while they aren't too many, so that texts need no shuffle."""
+    return F.broadcast(ids) if ids.count() <= MOST_IDS else ids
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +41,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     common with it; every such pair is found. Texts without words and rows with a null doc_id aren't compared and stay.
     """
     docs = docs.select(*COLUMNS)
-    gone = simhash.confirmed_copies(docs, shingle=5, similarity=0.8).select(F.col("id").alias("doc_id"))
+    gone = few(simhash.confirmed_copies(docs, shingle=5, similarity=0.8).select(F.col("id").alias("doc_id")))
     often = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id")
-    often = materialise(often, "often")
+    often = few(materialise(often, "often"))
     first = F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")
     one = docs.join(often, "doc_id", "left_semi").groupBy("doc_id").agg(first).select("doc_id", "row.*")
     return docs.join(often, "doc_id", "left_anti").select(*COLUMNS).unionAll(one).join(gone, "doc_id", "left_anti").select(*COLUMNS)

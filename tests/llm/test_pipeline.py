@@ -137,3 +137,44 @@ def test_chains_are_settled_least_first(spark):
     edges = [(a, b) for a in range(30) for b in (a + 1, a + 2)]
     gone = {r.id for r in simhash.independent(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert gone == {n for n in range(31) if n % 3}
+
+
+def test_sets_are_written_once_and_confirmed_in_parts(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = {}
+    for g in range(8):
+        base = [f"v{rng.randrange(9_000)}" for _ in range(120)]
+        for share in (0, 0, 0.01, 0.02):
+            texts[rng.randrange(1 << 40)] = " ".join(f"new{rng.randrange(99)}" if rng.random() < share else w for w in base)
+    rows = [*texts.items(), next(iter(texts.items()))]
+    written, write = [], simhash.materialise
+
+    def spy(df, name, rows=None):
+        written.append((name, "binary" in dict(df.dtypes).values()))
+        return write(df, name, rows)
+
+    monkeypatch.setattr(simhash, "materialise", spy)
+    monkeypatch.setattr(simhash, "MOST_IDS", 3)
+    gone = [r.id for r in simhash.confirmed_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    sets, kept = {i: simhash.shingle_set(t, 5) for i, t in texts.items()}, set()
+    for i in sorted(texts):
+        if all(simhash.overlap(sets[i], sets[k]) < 0.8 for k in kept):
+            kept.add(i)
+    names = [n for n, _ in written]
+    assert sum(binary for _, binary in written) == 1 and names.count("confirmed") > names.count("met")
+    assert {*texts} - {*gone} == kept and len(gone) == len({*gone})
+
+
+def test_texts_need_no_shuffle_to_lose_copies(spark, tmp_path):
+    import corpus_pipeline
+
+    write_corpus(spark, tmp_path)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert left.filter("doc_id IN (1001, 1002)").count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan

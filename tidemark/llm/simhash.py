@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ SEED = 42
 TILE, MOST_TILE, MOST_PAIRS = 1 << 16, 1 << 20, 1 << 20
 CHUNK = 1 << 15
 SAMPLE, COMMON = 20_000, 500_000
-MOST_IDS = 1 << 20  # that are broadcast
+MOST_IDS = 1 << 19  # pairs that are confirmed at once: their ids are broadcast, their sets travel
 
 
 def bit_majority(hashes: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -269,7 +270,8 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     where that surely stays, so a large group of near copies goes without a pair for any two of its members. An exact
     search finds what fingerprints miss: two sets that are alike share one of the first shingles of each in an order of
     all shingles, rare ones first. While that helps, each shingle's least id is compared with the others that have it;
-    what is left is joined on shingles, by size and position, and each pair confirmed. Rows with null ids and texts
+    what is left is joined on shingles, by size and position, and each pair confirmed. The sets are written once and read
+    for MOST_IDS pairs at a time, so disk beyond them doesn't grow with the pairs. Rows with null ids and texts
     without words are left out; rows that share an id count as one of their texts. Texts of any length are taken whole; an
     empty table gives no ids; columns of df other than these two play no part.
     """
@@ -302,8 +304,9 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     firsts = keep(named.groupBy("digest", "size").agg(F.min("id").alias("id")), "firsts")
     gone = keep(named.select("id").join(firsts.select("id"), "id", "left_anti"), "equal")
     own = firsts.select("id", F.col("digest").alias("_digest"), F.col("size").alias("_size"))
-    chosen = keep(every.join(own, "id").filter("digest = _digest AND size = _size").dropDuplicates(["id"]).select("id", "size", "fp", "first", "shingles"), "sets")
-    forget(every, firsts)
+    narrow = every.select("id", "digest", "size", "fp", "first")  # the sets stay where they are
+    chosen = keep(narrow.join(own, "id").filter("digest = _digest AND size = _size").dropDuplicates(["id"]).select(*narrow.columns), "chosen")
+    forget(firsts)
     tokens = chosen.select("id", "size", F.posexplode("first").alias("at", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
     tokens = keep(tokens.join(shared, "token").select("id", "size", "at", "token"), "tokens")
@@ -316,14 +319,20 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = keep(pairs, "met")
-        few = pairs.count() <= MOST_IDS
-
-        def side(name: str, content: str) -> DataFrame:
-            sets = chosen.select(F.col("id").alias(name), F.col("shingles").alias(content))
-            return sets.join(F.broadcast(pairs.select(name).distinct()), name, "left_semi") if few else sets  # only sets that are asked for travel
-
-        met = pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b")
-        return keep(met.mapInArrow(compare, "u long, v long"), "confirmed")
+        parts = max(1, -(-pairs.count() // MOST_IDS))
+
+        def side(some: DataFrame, name: str, content: str) -> DataFrame:
+            asked = chosen.select("id", "digest", "size").join(F.broadcast(some.select(F.col(name).alias("id")).distinct()), "id", "left_semi")
+            sets = every.join(F.broadcast(asked), ["id", "digest", "size"], "left_semi").dropDuplicates(["id"])  # only sets that are asked for travel
+            return sets.select(F.col("id").alias(name), F.col("shingles").alias(content))
+
+        done = []
+        for n in range(parts):  # however many pairs there are, the sets of so many at once take disk
+            some = pairs.filter(F.pmod(F.xxhash64("u", "v"), F.lit(parts)) == n)
+            met = some.join(side(some, "u", "a"), "u").join(side(some, "v", "b"), "v").select("u", "v", "a", "b")
+            done.append(keep(met.mapInArrow(compare, "u long, v long"), "confirmed"))
+        forget(pairs)
+        return reduce(DataFrame.unionAll, done)
 
     prints = keep(chosen.select("id", "fp").join(wanted, "id", "left_semi"), "prints")
     linked = prints.join(keep(component_names(prints, radius), "named"), "fp").filter("id <> component_id").select(F.col("component_id").alias("u"), F.col("id").alias("v"))
