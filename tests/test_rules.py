@@ -136,6 +136,25 @@ def test_stream_windows_and_limits(spark, tmp_path):
     assert done == [(0, 30)]
 
 
+def test_times_of_orders_in_the_repeated_hour_follow_their_sql(spark):
+    rows = [("2000-10-29 01:30:00",), ("2000-10-29 00:59:59",), ("2000-10-29 02:00:00",), ("2000-03-26 01:30:00",), ("2000-07-01 12:00:00",)]
+    df = spark.createDataFrame(rows, "local string")
+    local = F.to_timestamp("local")
+    got = [tuple(r) for r in df.select(timex.shown(timex.utc(local)), timex.shown(timex.utc(local, later=True)), timex.shown(timex.parse_wall_clock(F.col("local"), later=True))).collect()]
+    later = ["2000-10-29 01:30:00", "2000-10-28 23:59:59", "2000-10-29 02:00:00", "2000-03-26 01:30:00", "2000-07-01 11:00:00"]
+    assert [g[0] for g in got] == ["2000-10-29 00:30:00", *later[1:]]
+    assert [g[1] for g in got] == later and [g[2] for g in got] == later
+
+
+@pytest.mark.parametrize("name", ["london_to_utc_orders"])
+def test_queries_in_the_repeated_hour_equal_their_sql(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT CAST(i AS BIGINT) AS o_orderkey, DATE '2000-10-29'::TIMESTAMP AS o_orderdate FROM range(24) t(i) UNION ALL SELECT i + 24, DATE '2000-03-26'::TIMESTAMP FROM range(24) t(i)) TO '{tmp_path}/orders.parquet'")
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet'")
+    want = con.execute(record_queries.ORACLES[name]).fetchall()
+    assert sorted(tuple(r) for r in record_queries.QUERIES[name](spark, str(tmp_path)).collect()) == sorted(want)
+
+
 def test_clean_text_of_bare_entities_equals_its_sql(spark, tmp_path):
     pages = ["<p>a &amp b &amp; c</p>", "<h1>x&amp</h1>", "&copy 1 &copy; 2", "&ampfoo; &amp;copy; &middot;", "<a href='?a=1&amp=2'>q &</a> &quot;z&quot; AT&T"]
     spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")

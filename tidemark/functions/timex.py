@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 ZONE = "Europe/London"
 
 
-def utc(local: Column) -> Column:
-    """The instant of a London wall-clock time: the earlier of two, an hour later where there is none."""
-    return F.to_utc_timestamp(local, ZONE)
+def utc(local: Column, later: bool = False) -> Column:
+    """The instant of a London wall-clock time: the earlier of two, or the later; an hour later where there is none."""
+    first = F.to_utc_timestamp(local, ZONE)
+    second = first + F.expr("INTERVAL 1 HOUR")
+    return F.when(london(second) == local, second).otherwise(first) if later else first
 
 
 def london(instant: Column) -> Column:
@@ -44,11 +46,11 @@ def shown(instant: Column) -> Column:
     return F.date_format(instant, "yyyy-MM-dd HH:mm:ss")
 
 
-def parse_wall_clock(text: Column) -> Column:
-    """A London time or date as an instant; an offset is ignored. Null where it is neither."""
+def parse_wall_clock(text: Column, later: bool = False) -> Column:
+    """A London time or date as an instant, of two the later if asked for; an offset is ignored. Null where it is neither."""
     bare = F.regexp_replace(F.trim(text), r"(Z|[+-]\d\d:\d\d)$", "")
     formats = ["yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd"]
-    return utc(F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats]))
+    return utc(F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in formats]), later)
 
 
 def parse_datetime(text: Column) -> Column:
