@@ -44,14 +44,32 @@ def titles_match(a: list[str], b: list[str]) -> bool:
     return bool(a) and bool(b) and (5 * common >= 4 * every or dice(" ".join(a), " ".join(b)) >= DICE)
 
 
-def titles_alike(a_title: Column, b_title: Column, a_venue: Column, b_venue: Column) -> Column:
-    """titles_match() of word arrays of titles and venues, in Arrow batches: letter pairs are beyond cheap expressions."""
+def plain_words(title: Column) -> Column:
+    """The first step of title_tokens(), for a word array."""
+    return F.filter(title, lambda w: ~w.isin(TITLE_STOP + TITLE_NOISE) & ~w.rlike(f"^{YEAR.pattern}$"))
+
+
+def shown_tokens(plain: Column, *venues: Column) -> Column:
+    """title_tokens() of plain_words() and word arrays of venues, with single spaces between."""
+    other = F.filter(plain, lambda w: ~F.array_contains(F.concat(*venues), w))
+    return F.array_join(F.when(F.size(other) > 0, other).otherwise(plain), " ")
+
+
+def titles_alike(a: Column, b: Column) -> Column:
+    """titles_match() of two columns of shown_tokens(), in Arrow batches: letter pairs are beyond cheap expressions."""
 
     @F.pandas_udf("boolean")
-    def run(a: pd.Series, b: pd.Series, v: pd.Series, w: pd.Series) -> pd.Series:
-        return pd.Series([titles_match(title_tokens(list(x), list(m), list(n)), title_tokens(list(y), list(m), list(n))) for x, y, m, n in zip(a, b, v, w)], dtype=bool)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([titles_match(x.split(), y.split()) for x, y in zip(a, b)], dtype=bool)
 
-    return run(a_title, b_title, a_venue, b_venue)
+    return run(a, b)
+
+
+def could_match(a: Column, b: Column) -> Column:
+    """False for no shown_tokens() that titles_match() accepts: enough words in common, or lengths that allow enough letter pairs."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    pairs = lambda c: F.greatest(F.length(F.replace(c, F.lit(" "), F.lit(""))) - 1, F.lit(0))
+    return (5 * F.size(F.array_intersect(x, y)) >= 4 * F.size(F.array_union(x, y))) | (20 * F.least(pairs(a), pairs(b)) >= 9 * (pairs(a) + pairs(b)))
 
 
 def dates_match(a_first: Column, a_last: Column, b_first: Column, b_last: Column) -> Column:
@@ -80,41 +98,89 @@ def venue_pairs(venues: DataFrame) -> DataFrame:
     return met.filter(venues_match(F.col("va"), F.col("vb"))).unionAll(venues.select(F.col("v").alias("va"), F.col("v").alias("vb")))
 
 
+#: Tables of at most so many rows are broadcast; venues with at most so many pairs of names are compared without regard to dates.
+SMALL, WHOLE = 1 << 17, 1 << 18
+#: Edge of the cubes, in metres, that places are sorted into; more than VENUE_METRES.
+CUBE = 160.0
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which is cheap to read, broadcast if it is small."""
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def near_places(placed: DataFrame) -> DataFrame:
+    """(lat, lng, b_lat, b_lng), both ways: places that are close, each with itself; cubes on the globe hold everywhere."""
+    at = placed.select("lat", "lng").distinct()
+    lat, lng = F.radians("lat"), F.radians("lng")
+    x, y, z = [F.floor(c * geo.MATCH_RADIUS_M / CUBE) for c in (F.cos(lat) * F.cos(lng), F.cos(lat) * F.sin(lng), F.sin(lat))]
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    around = at.select(F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), F.explode(F.array(*[F.struct((x + i).alias("x"), (y + j).alias("y"), (z + k).alias("z")) for i, j, k in steps])).alias("cube"))
+    met = at.select("lat", "lng", F.struct(x.alias("x"), y.alias("y"), z.alias("z")).alias("cube")).join(around, "cube")
+    return met.filter(close(F.col("lat"), F.col("lng"), F.col("b_lat"), F.col("b_lng"))).select("lat", "lng", "b_lat", "b_lng")
+
+
+def alike_names(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """Those of pairs (sa, sb) of names (s, plain, words) whose titles match; two different lists of tokens are compared once."""
+    of = lambda p: names.select(F.col("s").alias("s" + p), F.col("plain").alias("plain_" + p), F.col("words").alias("words_" + p))
+    met = pairs.join(of("a"), "sa").join(of("b"), "sb")
+    tokens = lambda p: shown_tokens(F.col("plain_" + p), F.col("words_a"), F.col("words_b"))
+    met = met.select("sa", "sb", tokens("a").alias("x"), tokens("b").alias("y")).filter("x <> '' AND y <> ''").select("sa", "sb", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    unequal = met.filter("x <> y")
+    alike = unequal.select("x", "y").distinct().filter(could_match(F.col("x"), F.col("y"))).filter(titles_alike(F.col("x"), F.col("y")))
+    return met.filter("x = y").select("sa", "sb").unionAll(unequal.join(alike, ["x", "y"], "left_semi").select("sa", "sb"))
+
+
 def fuzzy_pairs(df: DataFrame) -> DataFrame:
     """(a, b) with a < b of listings (id, title, venue, lat, lng, starts_at, ends_at) that match.
 
-    Candidates share a day block (the first day, or a week of a run of several days) and either have venues that match or lie
-    in a cell of the map and one of its neighbours, so both joins are on equal keys; a pair counts in the first day block
-    that it shares. Titles are compared once for each two different ones that meet.
+    A name is a title at a venue. Names whose venues and titles match are found first, at venues with many names among those
+    of one week only, so that listings meet on equal keys: the other's name and a day block, which is the first day, or each
+    week of the earlier of two runs and the first of the later. Near places are found first as well; listings meet there by
+    place and day block, and their titles are compared once for each two different ones. A pair counts in one block.
     """
     none = F.array().cast("array<string>")
     first, last = london_date(F.col("starts_at")), london_date(F.coalesce("ends_at", "starts_at"))
     week = lambda d: F.floor(F.datediff(d, F.lit("1970-01-05").cast("date")) / 7).cast("int")
-    rows = df.select("id", "lat", "lng", F.coalesce(key_words(F.col("title")), none).alias("title"), F.coalesce(key_words(F.col("venue")), none).alias("venue"), first.alias("first"), F.greatest(first, last).alias("last"), venue_key(F.col("venue")).alias("v"))
-    shown = F.concat(F.array_join("title", " "), F.lit("|"), F.array_join("venue", " ")).alias("shown")
-    kept = ("id", "lat", "lng", "first", "last", "v", "shown", "week")
-    rows = cut(rows.select("id", "lat", "lng", "first", "last", "v", shown, week(F.col("first")).alias("week")))
-    day_block, week_block = (lambda d: 2 * F.datediff(d, F.lit("1970-01-01").cast("date"))), (lambda w: 2 * w + 1)
-    days = F.concat(F.array(day_block("first")), F.when(F.col("last") > F.col("first"), F.transform(F.sequence("week", week(F.col("last"))), week_block)).otherwise(F.array().cast("array<int>")))
-    side = lambda frame, p, *more: frame.withColumn("day", F.explode(days)).select("day", *more, *[F.col(c).alias(p + c) for c in kept])
-    order = F.col("a_id") < F.col("b_id")
-    once = F.when(F.col("a_first") == F.col("b_first"), F.col("day") == day_block("a_first")).otherwise(F.col("day") == week_block(F.greatest("a_week", "b_week")))
-    fits = order & once & dates_match(F.col("a_first"), F.col("a_last"), F.col("b_first"), F.col("b_last"))
-    out = ("a_id", "b_id", "a_shown", "b_shown")
-
-    same = side(rows, "a_").join(venue_pairs(rows), F.col("a_v") == F.col("va")).withColumnRenamed("vb", "b_v")
-    by_name = same.join(side(rows, "b_"), ["day", "b_v"]).filter(fits).select(*out)
-
-    cell = lambda dx, dy: F.concat_ws(":", (F.floor(F.col("lat") / 0.0015) + dy).cast("string"), (F.floor(F.col("lng") / 0.0025) + dx).cast("string"))
-    placed = rows.filter("lat IS NOT NULL AND lng IS NOT NULL")
-    around = placed.withColumn("cell", F.explode(F.array(*[cell(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)])))
-    met = side(placed.withColumn("cell", cell(0, 0)), "a_", "cell").join(side(around, "b_", "cell"), ["day", "cell"])
-    by_place = met.filter(fits & ~venues_match(F.col("a_v"), F.col("b_v")) & close(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))).select(*out)
-
-    near = by_name.unionAll(by_place)
-    part = lambda c, n: F.filter(F.split(F.split(c, r"\|")[n], " "), lambda w: w != "")
-    alike = near.select("a_shown", "b_shown").distinct().filter(titles_alike(part("a_shown", 0), part("b_shown", 0), part("a_shown", 1), part("b_shown", 1)))
-    return near.join(alike, ["a_shown", "b_shown"], "left_semi").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    words = lambda c: F.array_join(F.coalesce(key_words(F.col(c)), none), " ")
+    shown = F.concat(words("title"), F.lit("|"), words("venue"))
+    listed = cut(df.select("id", "lat", "lng", first.alias("first"), F.greatest(first, last).alias("last"), venue_key(F.col("venue")).alias("v"), shown.alias("shown")))
+    part = lambda n: F.filter(F.split(F.split("shown", r"\|")[n], " "), lambda w: w != "")
+    names = listed.select("shown", "v").distinct().withColumn("s", F.monotonically_increasing_id())
+    names = cut(names)
+    venues = cut(names.filter("v <> 'unknown'").groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("g")))
+    names = small(cut(names.join(venues, "v", "left").select("shown", "v", "s", "n", "g", plain_words(part(0)).alias("plain"), part(1).alias("words"))))
+    rows = listed.drop("v").join(names.select("shown", "s", "g"), "shown").drop("shown")
+
+    sized = lambda p: venues.select(F.col("v").alias("v" + p), F.col("n").alias("n" + p), F.col("g").alias("g" + p))
+    met = cut(venue_pairs(venues).join(sized("a"), "va").join(sized("b"), "vb").select("ga", "gb", (F.col("na") * F.col("nb") <= WHOLE).alias("whole")))
+    named = lambda frame, p, *more: frame.select(F.col("g").alias("g" + p), F.col("s").alias("s" + p), *more)
+    shared = named(names, "a").join(met.filter("whole"), "ga").join(named(names, "b"), "gb").filter("sa <= sb").select("sa", "sb")
+    many = met.filter("NOT whole")
+    if not many.isEmpty():
+        starts = named(rows.withColumn("w", week(F.col("first"))), "b", "w").distinct()
+        spans = named(rows.withColumn("w", F.explode(F.sequence(week(F.col("first")), week(F.col("last"))))), "a", "w").distinct()
+        shared = shared.unionAll(spans.join(many, "ga").join(starts, ["gb", "w"]).select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")).distinct())
+    alike = cut(alike_names(cut(shared), names))
+    alike = small(cut(alike.unionAll(alike.filter("sa <> sb").select("sb", "sa"))))
+
+    day_block, week_block = 2 * F.datediff("first", F.lit("1970-01-01").cast("date")), (lambda w: 2 * w + 1)
+    run = lambda weeks: F.concat(F.array(day_block), F.when(F.col("last") > F.col("first"), weeks).otherwise(F.array().cast("array<int>")))
+    early = rows.withColumn("day", F.explode(run(F.transform(F.sequence(week(F.col("first")), week(F.col("last"))), week_block))))
+    late = rows.withColumn("day", F.explode(run(F.array(week_block(week(F.col("first")))))))
+    side = lambda frame, p, *more: frame.select("day", *[F.col(c).alias(p + c) for c in ("id", "first", "last", "s", "g")], *more)
+    fits = F.when(F.col("day") % 2 == 0, F.col("a_id") < F.col("b_id")).otherwise((F.col("a_id") != F.col("b_id")) & (F.col("a_first") < F.col("b_first")) & (F.col("b_first") <= F.col("a_last")))
+    pair = (F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+    by_name = side(early, "a_").withColumnRenamed("a_s", "sa").join(alike, "sa").withColumnRenamed("sb", "b_s").join(side(late, "b_"), ["b_s", "day"]).filter(fits).select(*pair)
+
+    placed = "lat IS NOT NULL AND lng IS NOT NULL"
+    places = small(cut(near_places(listed.filter(placed))))
+    beside = side(early.filter(placed), "a_", "lat", "lng").join(places, ["lat", "lng"]).join(side(late.filter(placed), "b_", F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng")), ["b_lat", "b_lng", "day"])
+    beside = cut(beside.filter(fits & F.coalesce(F.col("a_g") != F.col("b_g"), F.lit(True))).select(*pair, F.least("a_s", "b_s").alias("sa"), F.greatest("a_s", "b_s").alias("sb")))
+    of = lambda p: names.select(F.col("s").alias("s" + p), F.col("v").alias("v" + p))
+    apart = beside.select("sa", "sb").distinct().join(of("a"), "sa").join(of("b"), "sb").filter(~venues_match(F.col("va"), F.col("vb"))).select("sa", "sb")
+    by_place = beside.join(small(cut(alike_names(cut(apart), names))), ["sa", "sb"], "left_semi").select("a", "b")
+    return by_name.unionAll(by_place)
 
 
 PRICED = ("is_free", "price_min", "price_max")
