@@ -59,7 +59,7 @@ def test_pairs_equal_the_rule_on_all_pairs(spark, monkeypatch, whole):
 
 
 def test_places_are_near_in_the_north_and_across_the_date_line(spark):
-    at = [(70.0, 20.0), (70.0, 20.0038), (0.0, 179.9995), (0.0, -179.9995), (10.0, 5.0), (10.0, 5.0015)]
+    at = [(70.0, 20.0024), (70.0, 20.0062), (0.0, 179.9995), (0.0, -179.9995), (10.0, 5.0), (10.0, 5.0015)]
     rows = [(i, "jazz night", None, lat, lng, DAY, None) for i, (lat, lng) in enumerate(at)]
     want = brute(rows, {i: "unknown" for i in range(len(at))})
     assert want == [(0, 1), (2, 3)] == sorted(tuple(r) for r in resolve.fuzzy_pairs(spark.createDataFrame(rows, SCHEMA)).collect())

@@ -1,6 +1,7 @@
 """Target selection of listings, merged events, and full-text search on small cases."""
 
 import math
+import time
 
 from pyspark.sql import functions as F
 
@@ -46,6 +47,26 @@ def test_best_match_is_by_letter_pairs_then_age():
     assert steps(rows, near=[(1, 3), (2, 3)])[2] == (3, 1, "matched")
 
 
+def test_a_large_component_is_replayed_in_time():
+    """12,000 listings of three sources in a row, each near the 20 before and after it: no step looks at all events."""
+    n = 12_000
+    rows = [row(i, "abc"[i * 3 // n]) for i in range(n)]
+    near = {i: [j for d in range(1, 21) for j in ((i * 3 % n + i * 3 // n + d) % n,)] for i in range(n)}
+    began = time.monotonic()
+    found = resolve.replay_listings(rows, near, set(), set())
+    assert time.monotonic() - began < 10 and len(found) == n
+    assert {step for _, _, step in found} == {"created", "matched"}
+
+
+def test_components_of_thinned_edges(spark, monkeypatch):
+    pairs = [(n, n + 7) for n in range(0, 900)] + [(5000, n) for n in range(5001, 5040)] + [(5001, 5002)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    want = {n: n % 7 for n in range(907)} | {n: 5000 for n in range(5000, 5040)}
+    for most in (resolve.ONE_TASK, 10):
+        monkeypatch.setattr(resolve, "ONE_TASK", most)
+        assert {r.node: r.component for r in resolve.named_components(edges).collect()} == want
+
+
 def test_earlier_links_and_orphans(spark):
     schema = "listing long, source string, title string, venue string, lat double, lng double, starts_at timestamp, ends_at timestamp"
     at = lambda x: F.lit(x).cast("timestamp")

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
+from heapq import heappop, heappush
+from itertools import count, permutations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -257,51 +261,155 @@ def replay_listings(rows: list[dict], near: dict, never: set[frozenset], force:
     by = {r["id"]: r for r in rows}
     events: dict = {}
     at: dict = {}
+    with_key: dict[str, list] = {}
+    alike: dict[tuple, float] = {}
+    apart, together = partners(never), partners(force)
+    numbers = count()
+
+    def found(e, key: str, tokens: str) -> None:
+        events[e] = {"key": key, "tokens": tokens, "members": Counter(), "age": len(events), "number": next(numbers)}
+        heappush(with_key.setdefault(key, []), (events[e]["number"], e))
+
+    def holder_of(key: str):
+        """The oldest event that has the key; entries of events that have lost it or are gone are dropped."""
+        held = with_key.get(key, [])
+        while held and (held[0][1] not in events or events[held[0][1]]["number"] != held[0][0] or events[held[0][1]]["key"] != key):
+            heappop(held)
+        return held[0][1] if held else None
+
+    def score(a: str, b: str) -> float:
+        if (a, b) not in alike:
+            alike[a, b] = dice(a, b)
+        return alike[a, b]
+
     for r in rows:
         if r["linked"] is not None:
-            e = events.setdefault(r["linked"], {"key": by.get(r["linked"], r)["key"], "tokens": by.get(r["linked"], r)["tokens"], "members": set(), "age": len(events)})
-            e["members"].add(r["id"])
+            if r["linked"] not in events:
+                founder = by.get(r["linked"], r)
+                found(r["linked"], founder["key"], founder["tokens"])
+            events[r["linked"]]["members"][r["source"]] += 1
             at[r["id"]] = r["linked"]
     out = []
     for r in sorted(rows, key=lambda r: (r["source"], r["id"])):
-        i, key = r["id"], r["key"]
-        meets = lambda pairs: {e for e, held in events.items() if any(frozenset((i, m)) in pairs for m in held["members"] if m != i)}
-        forbidden = meets(never)
-        forced = [e for e in sorted(meets(force) - forbidden)]
-        holder = next((e for e, held in events.items() if held["key"] == key), None)
+        i, key, source, old = r["id"], r["key"], r["source"], at.get(r["id"])
+        meets = lambda pairs: {at[m] for m in pairs.get(i, ()) if m in at and m != i}
+        forbidden = meets(apart)
+        forced = sorted(meets(together) - forbidden)
+        holder = holder_of(key)
         if holder in forbidden:
-            key = f"{key}|{r['source']}:{i}"
-            holder = next((e for e, held in events.items() if held["key"] == key), None)
-        linked = at.get(i) if at.get(i) not in forbidden else None
-        others = linked is not None and any(by[m]["source"] != r["source"] for m in events[linked]["members"])
-        fits = [e for e, held in events.items() if e not in forbidden and not any(m != i and by[m]["source"] == r["source"] for m in held["members"]) and (e in near.get(i, ()) or e == i)]
+            key = f"{key}|{source}:{i}"
+            holder = holder_of(key)
+        linked = old if old not in forbidden else None
+        others = linked is not None and any(n > 0 for s, n in events[linked]["members"].items() if s != source)
+        free = lambda e: e in events and e not in forbidden and events[e]["members"][source] == (e == old)
         if forced:
             target, step = forced[0], "forced"
         elif linked is not None and not others and holder in (None, linked):
             target, step = linked, "refreshed"
             events[linked].update(key=key, tokens=r["tokens"])
+            heappush(with_key.setdefault(key, []), (events[linked]["number"], linked))
         elif holder is not None:
             target, step = holder, "same key"
-        elif linked in fits:
-            target, step = linked, "stays"
-        elif fits:
-            target, step = max(fits, key=lambda e: (dice(r["tokens"], events[e]["tokens"]), -events[e]["age"])), "matched"
         else:
-            target, step = i, "created"
-            while target in events:  # an older event that this listing founded and left
-                target = -target - 1
-            events[target] = {"key": key, "tokens": r["tokens"], "members": set(), "age": len(events)}
-        old = at.get(i)
-        if old is not None and old != target:
-            events[old]["members"].discard(i)
-        events[target]["members"].add(i)
+            met = near.get(i, ())
+            if linked is not None and (linked == i or linked in met) and free(linked):
+                target, step = linked, "stays"
+            elif fits := [e for e in {i, *met} if free(e)]:
+                target, step = max(fits, key=lambda e: (score(r["tokens"], events[e]["tokens"]), -events[e]["age"], -events[e]["number"])), "matched"
+            else:
+                target, step = i, "created"
+                while target in events:  # an older event that this listing founded and left
+                    target = -target - 1
+                found(target, key, r["tokens"])
+        if old != target:
+            events[target]["members"][source] += 1
+            if old is not None:
+                events[old]["members"][source] -= 1
+                if not any(events[old]["members"].values()):
+                    del events[old]  # an orphan
         at[i] = target
-        if old is not None and old != target and not events[old]["members"]:
-            del events[old]  # an orphan
         out.append((i, target, step))
     return out
 
 
+def partners(pairs: set[frozenset]) -> dict:
+    """The others that each is paired with."""
+    out: dict = {}
+    for p in pairs:
+        for a, b in permutations(p, 2):
+            out.setdefault(a, set()).add(b)
+    return out
+
+
+#: So many nodes at most are held while edges are thinned; so many edges at most are left to one task.
+THIN_NODES, ONE_TASK = 1 << 20, 1 << 21
+
+
+def unite(root: dict, edges: pa.RecordBatch) -> tuple[list, list]:
+    """Add edges to a forest in which each node points towards the least of its tree; those that did not close a circle."""
+
+    def top(x):
+        above = root.setdefault(x, x)
+        while above != root[above]:
+            root[x] = root[above]
+            x, above = above, root[above]
+        return above
+
+    kept: tuple[list, list] = ([], [])
+    for a, b in zip(edges.column(0).to_pylist(), edges.column(1).to_pylist()):
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept[0].append(a)
+            kept[1].append(b)
+    return kept
+
+
+def thinned(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) of the same components: each task leaves out those that close a circle there."""
+    most = THIN_NODES
+
+    def run(batches):
+        root: dict = {}
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(k, c.type) for k, c in zip(unite(root, batch), batch.columns)], names=["a", "b"])
+            if len(root) > most:
+                root.clear()
+
+    edges = edges.select("a", "b")
+    return edges.mapInArrow(run, edges.schema)
+
+
+def named_components(edges: DataFrame) -> DataFrame:
+    """(node, component) of the nodes of edges (a, b): edges are thinned in fewer and fewer tasks; one names the
+    components if few edges are left, else it is done by components()."""
+    edges, parts = cut(thinned(edges)), edges.sparkSession.sparkContext.defaultParallelism
+    left = edges.count()
+    while left > ONE_TASK and parts > 1:
+        parts = -(-parts // 4)
+        edges, before = cut(thinned(edges.coalesce(parts))), left
+        left = edges.count()
+        if 2 * left > before:
+            break
+    if left > ONE_TASK:
+        return cut(components(edges.select(F.col("a").alias("node")).unionAll(edges.select("b")), edges))
+
+    def run(batches):
+        root: dict = {}
+        for batch in batches:
+            unite(root, batch)
+            kind = batch.column(0).type
+        nodes = sorted(root)
+        for x in nodes:
+            root[x] = root[root[x]]  # the parent is less, so it points to the least already
+        for i in range(0, len(nodes), 1 << 16):
+            some = nodes[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some, kind), pa.array([root[x] for x in some], kind)], names=["node", "component"])
+
+    kind = dict(edges.dtypes)["a"]
+    return cut(edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}"))
+
+
 def resolve_events(listings: DataFrame, never: list[tuple] = (), force: list[tuple] = (), links: DataFrame | None = None, steps: bool = False) -> DataFrame:
     """(listing, event): the event of each listing (listing, source, title, venue, lat, lng, starts_at, ends_at).
 
@@ -315,7 +423,7 @@ def resolve_events(listings: DataFrame, never: list[tuple] = (), force: list[tup
     kind = dict(rows.dtypes)["id"]
     spark = rows.sparkSession
     earlier = spark.createDataFrame([], f"id {kind}, linked {kind}") if links is None else links.select(F.col("listing").alias("id"), F.col("event").alias("linked"))
-    rows = rows.join(earlier, "id", "left")
+    rows = cut(rows.join(earlier, "id", "left").select("id", "source", "title", "venue", "lat", "lng", "starts_at", "ends_at", "key", "linked"))
     pairs = cut(fuzzy_pairs(rows))
     least = lambda c: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("id").alias("a"))
     edges = pairs
@@ -324,26 +432,25 @@ def resolve_events(listings: DataFrame, never: list[tuple] = (), force: list[tup
     told = [(a, b) for a, b in [*never, *force]]
     if told:
         edges = edges.union(spark.createDataFrame(told, f"a {kind}, b {kind}"))
-    edges = cut(edges)
-    none = F.array().cast("array<string>")
-    met_nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
-    named = cut(components(met_nodes.select(F.col("id").alias("node")), edges))
+    words = lambda c: F.coalesce(key_words(F.col(c)), F.array().cast("array<string>"))
+    named = named_components(edges)
+    met_nodes = named.select(F.col("node").alias("id"))
     several = rows.join(met_nodes, "id", "left_semi")
     alone = rows.join(met_nodes, "id", "left_anti").select(F.col("id").alias("listing"), F.coalesce("linked", "id").alias("event"), F.when(F.col("linked").isNull(), "created").otherwise("refreshed").alias("step"))
-    ready = several.join(named, several["id"] == named["node"]).select("component", "id", "source", "key", "linked", F.coalesce(key_words(F.col("title")), none).alias("words"), F.coalesce(key_words(F.col("venue")), none).alias("venue_words"))
+    ready = several.join(named, several["id"] == named["node"]).select("component", "id", "source", "key", "linked", shown_tokens(plain_words(words("title")), words("venue")).alias("tokens"))
     of_pair = named.select(F.col("node").alias("pair_node"), F.col("component").alias("pair_component"))
     met = pairs.join(of_pair, F.col("a") == F.col("pair_node")).select("pair_component", "a", "b")
     apart, together = ({frozenset(p) for p in x} for x in (never, force))
 
     def replay(group: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for a, b in zip(links["a"], links["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
         rows = [
-            {"id": r.id, "source": r.source, "key": r.key, "linked": None if pd.isna(r.linked) else type(r.id)(r.linked), "tokens": " ".join(title_tokens(list(r.words), list(r.venue_words)))}
+            {"id": r.id, "source": r.source, "key": r.key, "linked": None if pd.isna(r.linked) else type(r.id)(r.linked), "tokens": r.tokens}
             for r in group.itertuples()
         ]
+        near: dict = {}
+        for a, b in zip(links["a"].tolist(), links["b"].tolist()):
+            near.setdefault(a, []).append(b)
+            near.setdefault(b, []).append(a)
         return pd.DataFrame(replay_listings(rows, near, apart, together), columns=["listing", "event", "step"])
 
     found = ready.groupBy("component").cogroup(met.groupBy("pair_component")).applyInPandas(replay, f"listing {kind}, event {kind}, step string").unionAll(alone)
