@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import gc
 import sys
 import tempfile
 import types
@@ -82,6 +83,12 @@ def delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let go of the plans, broadcasts and shuffle files that no one holds any more: else the driver's heap grows with the steps taken."""
+    gc.collect()  # frames in cycles hold their plans
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by materialise() that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, materialise
+from tidemark.llm.common import collect_garbage, drop, materialise
 from tidemark.llm.graph import connected_components
 from tidemark.llm.words import MULTIPLIER, mix, plain_hashes, slices
 
@@ -280,6 +280,7 @@ def confirmed_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def keep(frame: DataFrame, name: str, rows: int | None = None) -> DataFrame:
         scratch.append(materialise(frame, name, rows))
+        collect_garbage(spark)
         return scratch[-1]
 
     def forget(*tables: DataFrame) -> None:
