@@ -1,8 +1,13 @@
 """Target selection of listings, merged events, and full-text search on small cases."""
 
+import datetime as dt
 import math
+import random
 import time
+from itertools import combinations
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import share, text, timex
@@ -67,6 +72,85 @@ def test_components_of_thinned_edges(spark, monkeypatch):
         assert {r.node: r.component for r in resolve.named_components(edges).collect()} == want
 
 
+LISTED = "listing long, source string, title string, venue string, lat double, lng double, starts_at timestamp, ends_at timestamp"
+
+
+def by_brute_force(rows):
+    """Events by all pairs of listings (listing, source, title, venue, lat, lng, starts_at, ends_at; titles and venues in small letters)."""
+    split = lambda t: (t or "").split()
+    key_of = lambda words, stop: "-".join(w for w in words if w not in stop)
+    read = {}
+    for i, source, title, venue, lat, lng, start, end in rows:
+        first = start and start.date()
+        v = key_of(split(venue), text.VENUE_STOP) or "unknown"
+        parts = [None if title is None else key_of(split(title), text.TITLE_STOP), first and str(first), v]
+        read[i] = dict(id=i, source=source, title=split(title), venue=split(venue), v=v, at=None if lat is None or lng is None else (math.radians(lat), math.radians(lng)), first=first, last=first and max(first, (end or start).date()), key="|".join(p for p in parts if p is not None), linked=None)
+    near = {}
+
+    def metres(p, q):
+        h = math.sin((q[0] - p[0]) / 2) ** 2 + math.cos(p[0]) * math.cos(q[0]) * math.sin((q[1] - p[1]) / 2) ** 2
+        return 2 * 6_371_000 * math.asin(min(1, math.sqrt(h)))
+
+    for a, b in combinations(read.values(), 2):
+        if a["first"] is None or b["first"] is None or not (a["first"] == b["first"] or (a["last"] > a["first"] and b["last"] > b["first"] and a["first"] <= b["last"] and b["first"] <= a["last"])):
+            continue
+        x, y = {*a["v"].split("-")}, {*b["v"].split("-")}
+        venues = "unknown" not in (a["v"], b["v"]) and (a["v"] == b["v"] or (min(len(x), len(y)) >= 2 and (x <= y or y <= x)))
+        if (venues or (a["at"] and b["at"] and metres(a["at"], b["at"]) <= 150)) and resolve.titles_match(*[resolve.title_tokens(r["title"], a["venue"], b["venue"]) for r in (a, b)]):
+            near.setdefault(a["id"], set()).add(b["id"])
+            near.setdefault(b["id"], set()).add(a["id"])
+    for r in read.values():
+        r["tokens"] = " ".join(resolve.title_tokens(r["title"], r["venue"]))
+    return sorted(resolve.replay_listings([*read.values()], near, set(), set()))
+
+
+def odd_listings(seed, n):
+    """Listings of few names, places and days: keys that many share, in other places and with other ends."""
+    rng = random.Random(seed)
+    titles = ["jazz night", "jazz nights", "jazz night barbican", "barbican", "the jazz night", "old bolt", "cold bolt", "barbican centre", "red house garden party", "garden party", "party", "tickets", "", None, "2020-01-01", "a b c d", "a b c d e", "tate modern red house garden barbican arts", "tate modern red house garden barbican"]
+    venues = ["barbican centre", "barbican arts", "barbican arts centre", "tate modern", "tate modern gallery", "red house garden", "red house", "hall", "", None, "jazz cafe"]
+    places = [(51.5, -0.1), (51.501, -0.1), (51.502, -0.1), (51.5, -0.098), (51.6, 0.1), (None, 0.1), (51.5, None), (None, None), (0.0, 180.0), (0.0, -179.999)]
+    rows = []
+    for i in range(n):
+        day = dt.datetime(2020, 1, 1, 12) + dt.timedelta(rng.choice([0, 0, 1, 2, 3, 9, 30]))
+        start = None if rng.random() < 0.05 else day
+        end = rng.choice([None, day, day + dt.timedelta(rng.randrange(12)), day - dt.timedelta(2)])
+        rows.append((i * 7 % 1009, rng.choice("abcd" if seed % 2 else "a" * 9 + "b"), rng.choice(titles[: 3 + seed * 3]), rng.choice(venues[: 2 + seed * 2]), *rng.choice(places[: 2 + seed * 2]), start, end))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(1, 7))
+def test_events_by_key_are_those_of_all_pairs(spark, monkeypatch, seed):
+    """Without links and overrides no pairs of listings are made, which grow with the square of a key's listings."""
+    rows = odd_listings(seed, 400)
+    frame = spark.createDataFrame(rows, LISTED)
+    found = lambda: sorted((r.listing, r.event, r.step) for r in resolve.resolve_events(frame, steps=True).collect())
+    want = by_brute_force(rows)
+    with monkeypatch.context() as m:
+        m.setattr(resolve, "fuzzy_pairs", None)
+        assert found() == want
+    assert len({step for _, _, step in want}) == 3
+    if seed == 6:  # with many titles by pairs
+        monkeypatch.setattr(resolve, "FEW_TITLES", 0)
+        assert found() == want
+
+
+def test_no_listings_and_one(spark):
+    assert resolve.resolve_events(spark.createDataFrame([], LISTED)).collect() == []
+    one = spark.createDataFrame([(5, "a", None, None, None, None, None, None)], LISTED)
+    assert [tuple(r) for r in resolve.resolve_events(one, steps=True).collect()] == [(5, 5, "created")]
+
+
+def test_copies_of_keys_are_replayed_in_time():
+    """300,000 listings of 1,000 keys that all match: each key's founder and the few that look for it are looked at, not all pairs."""
+    n, keys = 300_000, 1_000
+    match = resolve.Matches([(0, ["jazz"], ["hall"], "x")], [(0, 0)])
+    codes, sources = np.arange(n) % keys, np.arange(n) * 3 // n
+    began = time.monotonic()
+    event, step = resolve.replay_keys(codes, sources, [0] * n, [0] * n, (codes % 50).tolist(), (codes % 50 + 9).tolist(), match)
+    assert time.monotonic() - began < 20 and (event >= 0).all() and (step[:keys] == 0).all() and (event % keys == codes).all()
+
+
 def test_earlier_links_and_orphans(spark):
     schema = "listing long, source string, title string, venue string, lat double, lng double, starts_at timestamp, ends_at timestamp"
     at = lambda x: F.lit(x).cast("timestamp")

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable
 from heapq import heappop, heappush
-from itertools import count, permutations
+from itertools import combinations, count, permutations, product
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -410,15 +413,212 @@ def named_components(edges: DataFrame) -> DataFrame:
     return cut(edges.coalesce(1).mapInArrow(run, f"node {kind}, component {kind}"))
 
 
+class Matches:
+    """Which names (title at a venue) and places of a family match: names are (s, plain, words, v), near are pairs of places, both ways."""
+
+    def __init__(self, names: list[tuple], near: list[tuple]):
+        self.names = {s: (plain, words, v) for s, plain, words, v in names}
+        self.tokens = {s: " ".join(title_tokens(plain, words)) for s, plain, words, _ in names}
+        self.places: dict = {}
+        for a, b in near:
+            self.places.setdefault(a, []).append(b)
+        self.with_word: dict[str, list] = {}
+        for s, _, _, v in names:
+            for w in {*v.split("-")}:
+                self.with_word.setdefault(w, []).append(s)
+        self._alike: dict[tuple, bool] = {}
+        self._score: dict[tuple, float] = {}
+        self._beside: dict = {}
+
+    def alike(self, s, t) -> bool:
+        """Their titles match."""
+        if (s, t) not in self._alike:
+            (plain, words, _), (other, others, _) = self.names[s], self.names[t]
+            self._alike[s, t] = titles_match(title_tokens(plain, words, others), title_tokens(other, words, others))
+        return self._alike[s, t]
+
+    def score(self, s, t) -> float:
+        pair = self.tokens[s], self.tokens[t]
+        if pair not in self._score:
+            self._score[pair] = dice(*pair)
+        return self._score[pair]
+
+    def beside(self, s) -> list:
+        """The names whose venues and titles match."""
+        if s not in self._beside:
+            v = self.names[s][2]
+            some = {t for w in {*v.split("-")} for t in self.with_word[w]}
+            self._beside[s] = [t for t in sorted(some) if same_venue(v, self.names[t][2]) and self.alike(s, t)]
+        return self._beside[s]
+
+
+def same_venue(a: str, b: str) -> bool:
+    """venues_match() of two keys."""
+    x, y = {*a.split("-")}, {*b.split("-")}
+    return "unknown" not in (a, b) and (a == b or (len(min(x, y, key=len)) >= 2 and (x <= y or y <= x)))
+
+
+STEPS = ("created", "matched", "same key")
+
+
+def replay_keys(keys: np.ndarray, sources: np.ndarray, names: list, places: list, first: list, last: list, match: Matches) -> tuple[np.ndarray, np.ndarray]:
+    """(event, step) of listings in the order of replay, as replay_listings() has them without earlier links and overrides.
+
+    keys and sources are numbered, sources in order; an event is named by the position of its founder, a step by its place in
+    STEPS. An event has its founder's key, name, place and days for good, and whoever has a key that an event holds joins
+    it. So of a key only the listings up to its founder look for a match, and they look among founders alone.
+    """
+    event, step, week = np.full(len(keys), -1), np.full(len(keys), STEPS.index("same key"), "int8"), 7
+    order, sizes = np.argsort(keys, kind="stable"), np.bincount(keys)
+    begins, ends, by_key, keys = (np.cumsum(sizes) - sizes).tolist(), np.cumsum(sizes).tolist(), order.tolist(), keys.tolist()
+    starts, sources = np.searchsorted(sources, np.arange(sources[-1] + 1)).tolist(), sources.tolist()
+    at, todo = [*begins], sorted(by_key[i] for i in begins)
+    taken: set[tuple] = set()
+    on_day: dict[tuple, list] = {}
+    in_week: dict[tuple, list] = {}
+
+    def is_free(e: int, p: int, source: int) -> bool:
+        """No listing of the source is in the event so far: none that matched, none that came by its key."""
+        k = keys[e]
+        i = bisect_left(by_key, max(e, starts[source]), begins[k], ends[k])
+        return (e, source) not in taken and not (i < ends[k] and by_key[i] < p)
+
+    while todo:
+        p = heappop(todo)
+        k, s, source, began, ended, best, most = keys[p], names[p], sources[p], first[p], last[p], None, -1.0
+        if began is not None:
+            runs = ended > began
+            weeks = range(began // week, ended // week + 1) if runs else ()
+
+            def better(found: list, check: bool) -> None:
+                nonlocal best, most
+                for e in found:
+                    if e >= starts[source]:  # founders are in order; this one and those after it are of the source itself
+                        break
+                    if first[e] != began and not (first[e] <= ended and began <= last[e]):
+                        continue
+                    if check and not match.alike(s, names[e]):
+                        continue
+                    score = match.score(s, names[e])
+                    if (score > most or (score == most and e < best)) and is_free(e, p, source):
+                        best, most = e, score
+
+            for where, check in [(("n", t), False) for t in match.beside(s)] + [(("p", q), True) for q in match.places.get(places[p], ())]:
+                better(on_day.get((*where, began), ()), check)
+                for w in weeks:
+                    better(in_week.get((*where, w), ()), check)
+        if best is not None:
+            event[p], step[p] = best, STEPS.index("matched")
+            taken.add((best, source))
+            at[k] += 1
+            if at[k] < ends[k]:
+                heappush(todo, by_key[at[k]])
+            continue
+        event[order[at[k] : ends[k]]] = p
+        step[p] = STEPS.index("created")
+        if began is not None:
+            for where in (("n", s), ("p", places[p])) if places[p] is not None else (("n", s),):
+                on_day.setdefault((*where, began), []).append(p)
+                for w in weeks:
+                    in_week.setdefault((*where, w), []).append(p)
+    return event, step
+
+
+#: Titles are compared each with each up to so many; a title with more words that are also words of venues is taken to meet any.
+FEW_TITLES, OPEN_WORDS = 1 << 12, 4
+
+
+def may_match(a: str, a_open: list[str], b: str, b_open: list[str]) -> bool:
+    """False for no two titles that match at some venues; open are their words that some venue has too."""
+    if max(len(a_open), len(b_open)) > OPEN_WORDS:
+        return True
+    forms = lambda t, some: [[w for w in t.split() if w not in out] or t.split() for n in range(len(some) + 1) for out in combinations(some, n)]
+    return any(titles_match(x, y) for x, y in product(forms(a, a_open), forms(b, b_open)))
+
+
+def title_families(names: DataFrame, same: DataFrame) -> DataFrame:
+    """(plain, family) of the titles of names (plain, words): titles that match at some venues are one family; same are edges (a, b) besides."""
+    titles = names.select("plain", F.filter(F.split("plain", " "), lambda w: w != "").alias("w")).distinct()
+    venue_words = names.select(F.explode("words").alias("word")).distinct()
+    open_words = titles.select("plain", F.explode("w").alias("word")).join(venue_words, "word", "left_semi").groupBy("plain").agg(F.collect_set("word").alias("open"))
+    titles = cut(titles.join(open_words, "plain", "left").select("plain", F.coalesce("open", F.array().cast("array<string>")).alias("open")))
+    side = lambda p: titles.filter("plain <> ''").select(F.col("plain").alias(p), F.col("open").alias(p + "_open"))
+
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, a_open: pd.Series, b: pd.Series, b_open: pd.Series) -> pd.Series:
+        return pd.Series([may_match(x, [*xs], y, [*ys]) for x, xs, y, ys in zip(a, a_open, b, b_open)], dtype=bool)
+
+    met = side("a").repartition(titles.sparkSession.sparkContext.defaultParallelism).crossJoin(F.broadcast(side("b"))).filter("a < b")
+    met = met.filter((F.size("a_open") + F.size("b_open") > 0) | could_match(F.col("a"), F.col("b"))).filter(run("a", "a_open", "b", "b_open"))
+    named = named_components(met.select("a", "b").unionAll(same)).withColumnRenamed("node", "plain")
+    return titles.join(named, "plain", "left").select("plain", F.coalesce("component", "plain").alias("family"))
+
+
+def resolved_by_key(listings: DataFrame) -> DataFrame | None:
+    """(listing, event, step) without earlier links and overrides, with no pairs of listings made; None if there are many titles.
+
+    Titles that may match at some venues are a family, which is replayed by itself by replay_keys(): what a task looks at
+    grows with the keys, and copies of a key only join its event.
+    """
+    from tidemark.functions.text import TITLE_STOP, key_part
+
+    kind, none = dict(listings.dtypes)["listing"], F.array().cast("array<string>")
+    days = lambda c: F.datediff(c, F.lit("1970-01-05").cast("date"))
+    first, last = london_date(F.col("starts_at")), london_date(F.coalesce("ends_at", "starts_at"))
+    rows = cut(listings.select(F.col("listing").alias("id"), "source", "title", "venue", "lat", "lng", first.alias("first"), F.greatest(first, last).alias("last")))
+    words = lambda c: F.coalesce(key_words(F.col(c)), none)
+    names = rows.select("title", "venue").distinct().withColumn("s", F.monotonically_increasing_id())
+    names = cut(names.select("title", "venue", "s", F.array_join(plain_words(words("title")), " ").alias("plain"), words("venue").alias("words"), venue_key(F.col("venue")).alias("v"), key_part(F.col("title"), TITLE_STOP).alias("t")))
+    if names.select("plain").distinct().limit(FEW_TITLES + 1).count() > FEW_TITLES:
+        return None
+    named = lambda frame: frame.join(small(names), frame["title"].eqNullSafe(names["title"]) & frame["venue"].eqNullSafe(names["venue"])).drop("title", "venue")
+    key = F.concat_ws("|", "t", F.date_format("first", "yyyy-MM-dd"), "v")
+    odd = named(rows.filter("title IS NULL OR first IS NULL")).select(key.alias("key"), "plain").distinct()  # a key with a part left out can be another's
+    least = odd.groupBy("key").agg(F.min("plain").alias("a"))
+    families = title_families(names, odd.join(least, "key").filter("a <> plain").select("a", F.col("plain").alias("b")))
+    names = cut(names.join(F.broadcast(families), "plain"))
+
+    places = rows.filter("lat IS NOT NULL AND lng IS NOT NULL").select("lat", "lng").distinct()
+    places = cut(places.withColumn("place", F.monotonically_increasing_id()))
+    at = lambda p, q: places.select(F.col("lat").alias(p + "lat"), F.col("lng").alias(p + "lng"), F.col("place").alias(q))
+    near = cut(near_places(places).join(at("", "a"), ["lat", "lng"]).join(at("b_", "b"), ["b_lat", "b_lng"]).select("a", "b"))
+    ready = named(rows).join(small(places), ["lat", "lng"], "left")
+    ready = cut(ready.select("family", "id", "source", key.alias("key"), "s", "place", days("first").alias("first"), days("last").alias("last")))
+
+    of = lambda p: ready.filter("place IS NOT NULL").select("family", F.col("place").alias(p)).distinct()
+    near = small(near).join(of("a"), "a").join(of("b"), ["family", "b"]).select("family", "a", "b", F.lit(None).cast("string").alias("plain"), F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("string").alias("v"))
+    told = near.unionAll(names.select("family", "s", F.lit(None).cast("long"), "plain", "words", "v")).withColumnRenamed("family", "told_family")
+
+    def replay(group: pa.Table, told: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("source", "ascending"), ("id", "ascending")]))
+        is_near = told["b"].is_valid()
+        near, names = told.filter(is_near), told.filter(pc.invert(is_near))
+        match = Matches(
+            [(s, p.split(), w, v) for s, p, w, v in zip(names["a"].to_pylist(), names["plain"].to_pylist(), names["words"].to_pylist(), names["v"].to_pylist())], list(zip(near["a"].to_pylist(), near["b"].to_pylist())),
+        )
+        code = lambda c: group[c].combine_chunks().dictionary_encode("encode").indices.to_numpy()
+        held = [group[c].to_pylist() for c in ("s", "place", "first", "last")]
+        event, step = replay_keys(code("key"), code("source"), *held, match)
+        events = group["id"].take(pa.array(event))
+        return pa.table([group["id"], events.cast(group["id"].type), pa.array(STEPS).take(pa.array(step))], names=["listing", "event", "step"])
+
+    return ready.groupBy("family").cogroup(told.groupBy("told_family")).applyInArrow(replay, f"listing {kind}, event {kind}, step string")
+
+
 def resolve_events(listings: DataFrame, never: list[tuple] = (), force: list[tuple] = (), links: DataFrame | None = None, steps: bool = False) -> DataFrame:
     """(listing, event): the event of each listing (listing, source, title, venue, lat, lng, starts_at, ends_at).
 
     Listings that could meet are a component, which is replayed alone by replay_listings(). never and force: pairs of
     listings that must not, or must, share an event. links: (listing, event) of an earlier run. With steps, how it was found.
-    Listings that share no block with another, most of them, found an event each without leaving the JVM.
+    Listings that share no block with another, most of them, found an event each without leaving the JVM. Without links
+    and overrides, unless titles are many, no pairs are made: see resolved_by_key().
     """
     from tidemark.functions.text import dedupe_key
 
+    if links is None and not [*never, *force]:
+        found = resolved_by_key(listings)
+        if found is not None:
+            return found if steps else found.select("listing", "event")
     rows = listings.withColumn("key", dedupe_key(F.col("title"), london_date(F.col("starts_at")), F.col("venue"))).withColumnRenamed("listing", "id")
     kind = dict(rows.dtypes)["id"]
     spark = rows.sparkSession
